@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- billing
+# (l_orderkey, l_linenumber) repeats in the test tables; with part and
+# supplier the line is unique, so windows get a total order.
+LINE_KEY = ("l_orderkey", "l_linenumber", "transaction_count", "supplier_id")
+
 def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
@@ -30,6 +34,7 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 4).alias("avg_response_time"),
         (F.col("l_discount") * 5).alias("error_rate"),
         F.col("l_partkey").alias("transaction_count"),
+        F.col("l_suppkey").alias("supplier_id"),
     )
 
 
@@ -38,7 +43,8 @@ SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS incident_date,
        100.0 - l_tax * 50 - l_discount * 21 AS uptime_percent,
        l_quantity / 4 AS avg_response_time,
        l_discount * 5 AS error_rate,
-       l_partkey AS transaction_count
+       l_partkey AS transaction_count,
+       l_suppkey AS supplier_id
 FROM lineitem"""
 
 
@@ -365,6 +371,120 @@ SELECT o_orderkey AS order_key, CAST(o_orderkey AS VARCHAR) AS id_txt,
 FROM orders"""
 
 
+# ---------------------------------------------------------------- contract terms
+# FIXED VALUES: the two rule sets contracts are written with (standard follows
+# the sample contract's tiers; strict is the tighter variant).
+STANDARD_RULES_JSON = (
+    '[{"rule_id": "RULE_001", "metric": "uptime_percent", "threshold": 99.0, "threshold_operator": "<", '
+    '"penalty_amount": 500, "penalty_type": "monetary", "penalty_percentage": 5, '
+    '"description": "5% of the monthly fee if uptime falls below 99%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_002", "metric": "uptime_percent", "threshold": 98.9, "threshold_operator": "<", '
+    '"penalty_amount": 1000, "penalty_type": "monetary", "penalty_percentage": 10, '
+    '"description": "10% of the monthly fee if uptime falls below 98.9%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_003", "metric": "uptime_percent", "threshold": 98.0, "threshold_operator": "<", '
+    '"penalty_amount": 1500, "penalty_type": "monetary", "penalty_percentage": 15, '
+    '"description": "15% of the monthly fee if uptime falls below 98%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_004", "metric": "uptime_percent", "threshold": 95.0, "threshold_operator": "<", '
+    '"penalty_amount": 2500, "penalty_type": "monetary", "penalty_percentage": 25, '
+    '"description": "25% of the monthly fee if uptime falls below 95%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_005", "metric": "avg_response_time", "threshold": 2.0, "threshold_operator": ">", '
+    '"penalty_amount": 200, "penalty_type": "monetary", "penalty_percentage": 2, '
+    '"description": "2% per incident when response time exceeds 2 seconds", "applicable_period": "per incident"}, '
+    '{"rule_id": "RULE_006", "metric": "avg_response_time", "threshold": 5.0, "threshold_operator": ">", '
+    '"penalty_amount": 500, "penalty_type": "monetary", "penalty_percentage": 5, '
+    '"description": "5% per incident when response time exceeds 5 seconds", "applicable_period": "per incident"}, '
+    '{"rule_id": "RULE_007", "metric": "avg_response_time", "threshold": 10.0, "threshold_operator": ">", '
+    '"penalty_amount": 1000, "penalty_type": "monetary", "penalty_percentage": 10, '
+    '"description": "10% per incident when response time exceeds 10 seconds", "applicable_period": "per incident"}]')
+STRICT_RULES_JSON = (
+    '[{"rule_id": "RULE_001", "metric": "uptime_percent", "threshold": 99.5, "threshold_operator": "<", '
+    '"penalty_amount": 500, "penalty_type": "monetary", "penalty_percentage": 5, '
+    '"description": "5% below 99.5%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_002", "metric": "uptime_percent", "threshold": 98.5, "threshold_operator": "<", '
+    '"penalty_amount": 1500, "penalty_type": "monetary", "penalty_percentage": 15, '
+    '"description": "15% below 98.5%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_003", "metric": "uptime_percent", "threshold": 96.0, "threshold_operator": "<=", '
+    '"penalty_amount": 2500, "penalty_type": "monetary", "penalty_percentage": 25, '
+    '"description": "25% at or below 96%", "applicable_period": "monthly"}, '
+    '{"rule_id": "RULE_004", "metric": "avg_response_time", "threshold": 1.5, "threshold_operator": ">", '
+    '"penalty_amount": 200, "penalty_type": "monetary", "penalty_percentage": 2, '
+    '"description": "2% per incident above 1.5 seconds", "applicable_period": "per incident"}, '
+    '{"rule_id": "RULE_005", "metric": "avg_response_time", "threshold": 8.0, "threshold_operator": ">=", '
+    '"penalty_amount": 800, "penalty_type": "monetary", "penalty_percentage": 8, '
+    '"description": "8% per incident at or above 8 seconds", "applicable_period": "per incident"}, '
+    '{"rule_id": "RULE_006", "metric": "error_rate", "threshold": 0.3, "threshold_operator": ">", '
+    '"penalty_amount": 300, "penalty_type": "monetary", "penalty_percentage": 3, '
+    '"description": "3% per incident when the error rate exceeds 0.3", "applicable_period": "per incident"}, '
+    '{"rule_id": "RULE_007", "metric": "error_rate", "threshold": 0.5, "threshold_operator": "=", '
+    '"penalty_amount": 500, "penalty_type": "monetary", "penalty_percentage": 5, '
+    '"description": "5% when the error rate is exactly 0.5", "applicable_period": "per incident"}]')
+STANDARD_CONDITIONS_JSON = (
+    '[{"metric": "uptime_percent", "condition": "uptime_percent < 99", "penalty_rule": "credit by uptime tier"}, '
+    '{"metric": "avg_response_time", "condition": "avg_response_time > 2", "penalty_rule": "credit per incident"}]')
+STRICT_CONDITIONS_JSON = (
+    '[{"metric": "uptime_percent", "condition": "uptime_percent < 99.5", "penalty_rule": "credit by uptime tier"}, '
+    '{"metric": "avg_response_time", "condition": "avg_response_time > 1.5", "penalty_rule": "credit per incident"}, '
+    '{"metric": "error_rate", "condition": "error_rate > 0.3", "penalty_rule": "credit per incident"}]')
+STANDARD_FIELDS_JSON = '["incident_date", "uptime_percent", "avg_response_time"]'
+STRICT_FIELDS_JSON = '["incident_date", "uptime_percent", "avg_response_time", "error_rate", "availability_zone"]'
+
+
+def rule_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extracted-terms response per contract (nation); regions 3-4 use
+    the strict rule set, the fee grows with the region."""
+    n = table(spark, sf_dir, "nation")
+    strict = F.col("n_regionkey") >= 3
+    content = F.concat(
+        F.lit('{"sla_rules": '), F.when(strict, F.lit(STRICT_RULES_JSON)).otherwise(F.lit(STANDARD_RULES_JSON)),
+        F.lit(', "violation_conditions": '),
+        F.when(strict, F.lit(STRICT_CONDITIONS_JSON)).otherwise(F.lit(STANDARD_CONDITIONS_JSON)),
+        F.lit(', "sql_query": "SELECT incident_date, uptime_percent FROM billing", "data_fields_required": '),
+        F.when(strict, F.lit(STRICT_FIELDS_JSON)).otherwise(F.lit(STANDARD_FIELDS_JSON)),
+        F.lit(', "monthly_service_fee": '), (F.lit(10000) + F.col("n_regionkey") * 1000).cast("string"),
+        F.lit(', "max_monthly_penalty_percentage": '),
+        F.when(F.col("n_regionkey") == 4, F.lit("25")).otherwise(F.lit("30")), F.lit("}"))
+    return n.select(F.col("n_nationkey").alias("contract_id"), content.alias("content"))
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+RULE_RESPONSES_SQL = f"""
+SELECT n_nationkey AS contract_id,
+       '{{"sla_rules": ' || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_RULES_JSON)} ELSE {_q(STANDARD_RULES_JSON)} END
+       || ', "violation_conditions": '
+       || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_CONDITIONS_JSON)} ELSE {_q(STANDARD_CONDITIONS_JSON)} END
+       || ', "sql_query": "SELECT incident_date, uptime_percent FROM billing", "data_fields_required": '
+       || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_FIELDS_JSON)} ELSE {_q(STANDARD_FIELDS_JSON)} END
+       || ', "monthly_service_fee": ' || CAST(10000 + n_regionkey * 1000 AS VARCHAR)
+       || ', "max_monthly_penalty_percentage": ' || CASE WHEN n_regionkey = 4 THEN '25' ELSE '30' END || '}}' AS content
+FROM nation"""
+
+
+def billing_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Billing rows with the contract of their supplier (supplier's nation)."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"),
+                                                F.col("s_nationkey").alias("contract_id"))
+    return billing(spark, sf_dir).join(s, "supplier_id", "inner")
+
+
+BILLING_CONTRACTS_SQL = """
+SELECT b.*, s.s_nationkey AS contract_id FROM billing b JOIN supplier s ON s.s_suppkey = b.supplier_id"""
+
+
+def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announced maintenance: 30-minute windows opened by large signup events."""
+    ev = table(spark, sf_dir, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 450))
+    return ev.select(F.col("event_id").alias("window_id"), F.col("ts").alias("window_start"),
+                     F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("window_end"))
+
+
+MAINTENANCE_SQL = """
+SELECT event_id AS window_id, ts AS window_start, ts + INTERVAL 30 MINUTE AS window_end
+FROM events WHERE event_type = 'signup' AND value > 450"""
+
+
 VIEW_SQL = {
     "billing": BILLING_SQL,
     "incidents": INCIDENTS_SQL,
@@ -379,10 +499,23 @@ VIEW_SQL = {
     "responses": RESPONSES_SQL,
     "query_log": QUERY_LOG_SQL,
     "raw_orders_text": RAW_ORDERS_TEXT_SQL,
+    "rule_responses": RULE_RESPONSES_SQL,
+    "billing_contracts": BILLING_CONTRACTS_SQL,
+    "maintenance_windows": MAINTENANCE_SQL,
 }
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix an oracle statement with the CTEs of the domain views it uses."""
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{sql}" if names else sql
+_DEPENDS = {"billing_contracts": ["billing"]}
+
+
+def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
+    """Prefix an oracle statement with the CTEs of the domain views it uses
+    (plus ``extra`` statement-specific CTEs, in order)."""
+    order: list[str] = []
+    for n in names:
+        for dep in _DEPENDS.get(n, []) + [n]:
+            if dep not in order:
+                order.append(dep)
+    parts = [f"{n} AS ({VIEW_SQL[n]}\n)" for n in order]
+    parts += [f"{n} AS ({body}\n)" for n, body in (extra or {}).items()]
+    return f"WITH {', '.join(parts)}\n{sql}" if parts else sql

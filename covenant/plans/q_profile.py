@@ -209,7 +209,7 @@ def full_profile(spark, d):
 
 
 @register("shape", "AGG-6", oracle=with_views("""
-SELECT (SELECT count(*) FROM billing) AS input_rows, CAST(7 AS BIGINT) AS input_columns,
+SELECT (SELECT count(*) FROM billing) AS input_rows, CAST(8 AS BIGINT) AS input_columns,
        (SELECT count(*) FROM billing
          WHERE (CASE WHEN uptime_percent < 99.0 THEN 1 ELSE 0 END) + (CASE WHEN avg_response_time > 2.0 THEN 1 ELSE 0 END) > 0)
          AS output_rows,
@@ -262,7 +262,7 @@ def _dq_sql(frame, view, kinds):
 
 BILLING_KINDS = [("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("incident_date", "datetime"),
                  ("uptime_percent", "numeric"), ("avg_response_time", "numeric"), ("error_rate", "numeric"),
-                 ("transaction_count", "numeric")]
+                 ("transaction_count", "numeric"), ("supplier_id", "numeric")]
 
 DQ_REPORT_SQL = with_views(
     "SELECT * FROM (" + _dq_sql("approvals", "approvals", APPROVAL_KINDS) + "\nUNION ALL "
