@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covenant import terms
 
@@ -36,8 +37,12 @@ def detect_cost_columns(columns: Sequence[str]) -> dict[str, list[str]]:
 def cost_cells(df: DataFrame, detected: dict[str, list[str]] | None = None) -> DataFrame:
     """Unpivot detected cost columns to (cost_type, column_name, amount)."""
     detected = detected if detected is not None else detect_cost_columns(df.columns)
-    cells = [F.struct(F.lit(t).alias("cost_type"), F.lit(c).alias("column_name"),
-                      F.col(c).cast("string").try_cast(MONEY).alias("amount"))
+    def lenient(c):
+        # TYP-7: numbers cast directly, anything else parsed from text; bad → null
+        if isinstance(df.schema[c].dataType, T.NumericType):
+            return F.col(c).try_cast(MONEY)
+        return F.col(c).cast("string").try_cast(MONEY)
+    cells = [F.struct(F.lit(t).alias("cost_type"), F.lit(c).alias("column_name"), lenient(c).alias("amount"))
              for t, cols in detected.items() for c in cols]
     if not cells:
         return df.sparkSession.createDataFrame([], f"cost_type string, column_name string, amount {MONEY}")
