@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from covenant.operators import coercion as co
 from covenant.operators.text import table_name
 
+JSON_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"   # keep microseconds through JSON
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".txt": "text"}
 
 RESPONSE = T.StructType([
@@ -47,7 +48,8 @@ def read_data(spark: SparkSession, path: str, fmt: str | None = None, schema: T.
         df = r.option("header", True).option("inferSchema", False).csv(path)
         return co.coerce(df)[0] if coerce and schema is None else df
     if fmt == "json":
-        return r.option("multiLine", multiline_json).json(path)
+        return (r.option("multiLine", multiline_json).option("timestampNTZFormat", JSON_TS)
+                .option("timestampFormat", JSON_TS).json(path))
     if fmt == "parquet":
         return r.parquet(path)
     if fmt == "text":
@@ -63,8 +65,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_response_cache(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6: cached response records, key = file name without extension."""
+    """SRC-6: cached response records, key = file name without extension
+    (or the ``cache_key=`` folder when records are laid out by key)."""
     df = spark.read.option("multiLine", True).schema(RESPONSE).json(path)
+    if "cache_key" in df.columns:
+        return df
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("cache_key"), "*")
 
 
