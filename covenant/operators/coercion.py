@@ -33,8 +33,13 @@ def to_bool(c: Column) -> Column:
         F.array_contains(F.array(*[F.lit(w) for w in terms.TRUE_WORDS]), F.lower(c)))
 
 
+NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_number(c: Column) -> Column:
-    return c.try_cast("double")
+    """Decimal text only (a cheap regex first: casting text that is not a
+    number goes through the slow failure path of the cast)."""
+    return F.when(c.rlike(NUMBER_SHAPE), c.try_cast("double"))
 
 
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
@@ -119,7 +124,7 @@ def value_label(v: Column) -> Column:
     nulls = F.array(*[F.lit(w) for w in terms.NULL_WORDS])
     return (F.when(v.isNull() | F.array_contains(nulls, low), F.lit("string"))
             .when(low.isin("true", "false", "1", "0"), F.lit("boolean"))
-            .when(v.try_cast("double").isNotNull(),
+            .when(to_number(v).isNotNull(),
                   F.when(v.contains("."), F.lit("float")).otherwise(F.lit("integer")))
             .when((v.contains("-") | v.contains("/")) & F.length(v).isin(10, 19), F.lit("date"))
             .otherwise(F.lit("string")))

@@ -19,6 +19,11 @@ RAW_TEXT_COLS = ["id_txt", "flag_txt", "amount_txt", "date_txt", "mixed_txt", "p
 BOOL_WORDS = sql_list(terms.BOOLEAN_WORDS)
 TRUE_WORDS = sql_list(terms.TRUE_WORDS)
 ISO_GUARD = r"'^\d{4}-\d{2}-\d{2}'"
+NUM_GUARD = "'" + co.NUMBER_SHAPE + "'"
+
+
+def _sql_num(c):
+    return f"CASE WHEN regexp_matches({c}, {NUM_GUARD}) THEN TRY_CAST({c} AS DOUBLE) END"
 
 
 def _sql_dt(c):
@@ -38,7 +43,7 @@ SELECT '{c}' AS column_name, {i} AS position,
 FROM (SELECT count(*) AS nrows, count({c}) AS nn,
              count(*) FILTER (WHERE {c} IS NOT NULL AND lower({c}) NOT IN ({BOOL_WORDS})) AS nb,
              count(DISTINCT CASE WHEN lower({c}) IN ({BOOL_WORDS}) THEN {c} END) AS bs,
-             count(TRY_CAST({c} AS DOUBLE)) AS num, count({_sql_dt(c)}) AS dt
+             count({_sql_num(c)}) AS num, count({_sql_dt(c)}) AS dt
       FROM raw_orders_text) s""")
     return "\nUNION ALL".join(parts)
 
@@ -50,9 +55,9 @@ def coerce_decisions(spark, d):
 
 
 COERCED_SQL = f"""
-SELECT order_key, TRY_CAST(id_txt AS DOUBLE) AS id_txt,
+SELECT order_key, {_sql_num('id_txt')} AS id_txt,
        CASE WHEN flag_txt IS NULL THEN NULL ELSE lower(flag_txt) IN ({TRUE_WORDS}) END AS flag_txt,
-       TRY_CAST(amount_txt AS DOUBLE) AS amount_txt, {_sql_dt('date_txt')} AS date_txt,
+       {_sql_num('amount_txt')} AS amount_txt, {_sql_dt('date_txt')} AS date_txt,
        mixed_txt, prio_txt, empty_txt
 FROM raw_orders_text"""
 
@@ -89,7 +94,7 @@ def coerce_datetime(spark, d):
 def _label_sql(v):
     return (f"CASE WHEN {v} IS NULL OR lower({v}) IN ({sql_list(terms.NULL_WORDS)}) THEN 'string' "
             f"WHEN lower({v}) IN ('true', 'false', '1', '0') THEN 'boolean' "
-            f"WHEN TRY_CAST({v} AS DOUBLE) IS NOT NULL THEN CASE WHEN contains({v}, '.') THEN 'float' ELSE 'integer' END "
+            f"WHEN ({_sql_num(v)}) IS NOT NULL THEN CASE WHEN contains({v}, '.') THEN 'float' ELSE 'integer' END "
             f"WHEN (contains({v}, '-') OR contains({v}, '/')) AND length({v}) IN (10, 19) THEN 'date' "
             f"ELSE 'string' END")
 

@@ -60,7 +60,8 @@ def violations(spark, d):
     bc = A.billing_contracts(spark, d)
     meas = ru.measurements(bc, LINE_KEY + ["contract_id"], METRICS, extra=["incident_date"])
     ev = ru.evaluate(meas, _rules(spark, d), ["contract_id"])
-    t = jn.broadcast_if_small(ru.contract_terms(A.rule_responses(spark, d), ["contract_id"]))
+    # one row per contract: the planner broadcasts it from its scan size
+    t = ru.contract_terms(A.rule_responses(spark, d), ["contract_id"])
     return (ev.join(t, "contract_id", "inner")
             .withColumn("penalty", (F.col("penalty_percentage") * F.col("monthly_fee") / 100).cast("decimal(18,4)"))
             .select(*LINE_KEY, "contract_id", "incident_date", "metric", "value", "rule_id",
