@@ -19,61 +19,67 @@ LARGE_VALUE = 1e10
 REPORT_SCHEMA = "column_name string, check string, severity string, value double, detail string"
 
 
-def _check(col, check, severity, value, detail, fires):
-    return F.struct(F.lit(col).alias("column_name"), F.lit(check).alias("check"),
-                    severity.alias("severity") if not isinstance(severity, str) else F.lit(severity).alias("severity"),
-                    value.cast("double").alias("value"),
-                    (detail if detail is not None else F.lit(None).cast("string")).alias("detail"),
-                    fires.alias("fires"))
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _check(col: str, check: str, severity: str, value: str, detail: str | None, fires: str) -> str:
+    """One check as SQL struct text (built as text: one expression per
+    check instead of dozens of client round trips)."""
+    return (f"named_struct('column_name', {_lit(col)}, 'check', {_lit(check)}, 'severity', {severity}, "
+            f"'value', CAST({value} AS DOUBLE), 'detail', {detail or 'CAST(NULL AS STRING)'}, 'fires', {fires})")
 
 
 def dq_report(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     id_like = [f.name for f in fields if kind_of(f.dataType) == "numeric" and "id" in f.name.lower()]
     strings = columns_of(df, "string")
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = ["count(1) AS _rows"]
     for i, f in enumerate(fields):
-        c, k = F.col(f.name), kind_of(f.dataType)
-        aggs += [F.count_if(c.isNull()).alias(f"z{i}"), F.count(c).alias(f"n{i}")]
+        c, k = _q(f.name), kind_of(f.dataType)
+        aggs += [f"count_if({c} IS NULL) AS z{i}", f"count({c}) AS n{i}"]
         if k == "numeric":
-            aggs += [F.count_if(c < 0).alias(f"neg{i}"), F.max(c.cast("double")).alias(f"mx{i}")]
+            aggs += [f"count_if({c} < 0) AS neg{i}", f"max(CAST({c} AS DOUBLE)) AS mx{i}"]
         if k == "datetime":
-            aggs += [F.min(c.cast("timestamp_ntz")).alias(f"lo{i}"), F.max(c.cast("timestamp_ntz")).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    uniq = distinct_counts(df, id_like + strings) if (id_like or strings) else None
+            aggs += [f"min(CAST({c} AS TIMESTAMP_NTZ)) AS lo{i}", f"max(CAST({c} AS TIMESTAMP_NTZ)) AS hi{i}"]
+    wide = df.agg(*[F.expr(a) for a in aggs])
     uq = {}
-    if uniq is not None:
+    if id_like or strings:
+        uniq = distinct_counts(df, id_like + strings)
         # one pivoted row: a single aggregate over ≤ #columns rows
         piv = uniq.groupBy().pivot("column_name", id_like + strings).agg(F.first("unique_values"))
-        wide = wide.unionByName(piv, allowMissingColumns=True).agg(
-            *[F.max(c).alias(c) for c in wide.columns + [x for x in piv.columns if x not in wide.columns]])
-        uq = {c: F.coalesce(F.col(c), F.lit(0)) for c in id_like + strings}
-    rows = F.col("_rows")
-    checks = [_check("*", "has_results", "warning", rows, F.lit("Query returned no results"), rows == 0),
-              _check("*", "total_nulls", "metric",
-                     sum((F.col(f"z{i}") for i in range(len(fields))), F.lit(0)), None, rows > 0)]
+        piv = piv.select(*[F.col(_q(c)).alias(f"u{j}") for j, c in enumerate(id_like + strings)])
+        both = wide.unionByName(piv, allowMissingColumns=True)
+        wide = both.agg(*[F.expr(f"max({c}) AS {c}") for c in both.columns])
+        uq = {c: f"coalesce(u{j}, 0)" for j, c in enumerate(id_like + strings)}
+    checks = [_check("*", "has_results", "'warning'", "_rows", "'Query returned no results'", "_rows = 0"),
+              _check("*", "total_nulls", "'metric'", " + ".join([f"z{i}" for i in range(len(fields))] or ["0"]),
+                     None, "_rows > 0")]
     for i, f in enumerate(fields):
-        z, n, k = F.col(f"z{i}"), F.col(f"n{i}"), kind_of(f.dataType)
-        pct = F.round(F.try_divide(z, rows) * 100, 4)
-        checks.append(_check(f.name, "null_pct", F.when(pct > NULL_WARN_PCT, "warning").otherwise("info"),
-                             pct, None, (rows > 0) & (z > 0)))
+        k = kind_of(f.dataType)
+        pct = f"round(try_divide(z{i}, _rows) * 100, 4)"
+        checks.append(_check(f.name, "null_pct", f"CASE WHEN {pct} > {NULL_WARN_PCT} THEN 'warning' ELSE 'info' END",
+                             pct, None, f"_rows > 0 AND z{i} > 0"))
         if k == "numeric":
-            checks.append(_check(f.name, "negative_values", "info", F.col(f"neg{i}"), None,
-                                 (n > 0) & (F.col(f"neg{i}") > 0)))
-            checks.append(_check(f.name, "very_large_values", "info", F.col(f"mx{i}"), None,
-                                 (n > 0) & (F.col(f"mx{i}") > LARGE_VALUE)))
+            checks.append(_check(f.name, "negative_values", "'info'", f"neg{i}", None, f"n{i} > 0 AND neg{i} > 0"))
+            checks.append(_check(f.name, "very_large_values", "'info'", f"mx{i}", None,
+                                 f"n{i} > 0 AND mx{i} > {LARGE_VALUE}"))
             if f.name in uq:
-                dup = n - uq[f.name]
-                checks.append(_check(f.name, "id_duplicates", "info", dup, None, (n > 0) & (dup > 0)))
+                dup = f"(n{i} - {uq[f.name]})"
+                checks.append(_check(f.name, "id_duplicates", "'info'", dup, None, f"n{i} > 0 AND {dup} > 0"))
         elif k == "datetime":
-            lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-            checks.append(_check(f.name, "date_span", "info", F.timestamp_diff("DAY", lo, hi),
-                                 F.concat_ws(" to ", lo.cast("string"), hi.cast("string")), n > 0))
+            checks.append(_check(f.name, "date_span", "'info'", f"timestampdiff(DAY, lo{i}, hi{i})",
+                                 f"concat_ws(' to ', CAST(lo{i} AS STRING), CAST(hi{i} AS STRING))", f"n{i} > 0"))
         elif k == "string":
             u = uq[f.name]
-            checks.append(_check(f.name, "constant", "info", u, None, (rows > 0) & (u == 1)))
-            checks.append(_check(f.name, "all_unique", "info", u, None, (rows > 0) & (u != 1) & (u == rows)))
-    return (wide.select(F.inline(F.array(*checks))).filter("fires").drop("fires"))
+            checks.append(_check(f.name, "constant", "'info'", u, None, f"_rows > 0 AND {u} = 1"))
+            checks.append(_check(f.name, "all_unique", "'info'", u, None, f"_rows > 0 AND {u} <> 1 AND {u} = _rows"))
+    report = wide.selectExpr(f"inline(array({', '.join(checks)}))")
+    return report.filter("fires").drop("fires")
 
 
 def dq_status(report: DataFrame, by: list[str] | None = None) -> DataFrame:

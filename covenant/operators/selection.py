@@ -30,14 +30,19 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+def column_stats(long: DataFrame) -> dict:
+    """n, min, max per column in one pass (a row per column)."""
+    return {r["column_name"]: r for r in long.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+
+
 def kth_values(long: DataFrame, targets: dict[tuple[str, int], None] | Sequence[tuple[str, int]],
-               buckets: int = BUCKETS, final_rows: int = FINAL_ROWS) -> dict[tuple[str, int], float]:
+               buckets: int = BUCKETS, final_rows: int = FINAL_ROWS,
+               stats: dict | None = None) -> dict[tuple[str, int], float]:
     """Exact 0-based k-th smallest ``v`` per ``column_name`` for each (column, k)."""
     spark: SparkSession = long.sparkSession
     targets = list(dict.fromkeys(targets))
-    cols = sorted({c for c, _ in targets})
-    stats = {r["column_name"]: r for r in long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    stats = stats if stats is not None else column_stats(long)
     state = {}
     for c, k in targets:
         s = stats.get(c)
@@ -103,18 +108,17 @@ def _targets_frame(spark: SparkSession, rows):
     return spark.createDataFrame(rows, "tid int, column_name string, lo double, hi double")
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Interpolated median per column (mean of the two middle values)."""
     long = long_values(df, columns)
-    if counts is None:
-        counts = {r["column_name"]: r["n"] for r in
-                  long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stats = column_stats(long)
+    counts = {c: r["n"] for c, r in stats.items()}
     targets = []
     for c in columns:
         n = counts.get(c, 0)
         if n:
             targets += [(c, (n - 1) // 2), (c, n // 2)]
-    kv = kth_values(long, targets)
+    kv = kth_values(long, targets, stats=stats)
     out = {}
     for c in columns:
         n = counts.get(c, 0)
