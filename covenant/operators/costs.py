@@ -51,17 +51,21 @@ def cost_cells(df: DataFrame, detected: dict[str, list[str]] | None = None) -> D
 
 def cost_by_type(df: DataFrame, detected: dict[str, list[str]] | None = None) -> DataFrame:
     """AGG-7: total per type (unparseable → 0), average over *all* rows,
-    and the source columns. Row count is taken in the same job."""
+    and the source columns — one aggregate: every row yields one cell per
+    detected column, so rows = cells of a type / its column count."""
     detected = detected if detected is not None else detect_cost_columns(df.columns)
-    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]   # one number
     long = cost_cells(df, detected)
+    width = F.create_map(*[x for t, cs in detected.items() for x in (F.lit(t), F.lit(len(cs)))]) \
+        if detected else F.create_map().cast("map<string,int>")
     cols_txt = F.create_map(*[x for t, cs in detected.items() for x in (F.lit(t), F.lit(",".join(cs)))]) \
         if detected else F.create_map().cast("map<string,string>")
-    tot = long.groupBy("cost_type").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
+    tot = long.groupBy("cost_type").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("total"),
+                                        F.count(F.lit(1)).alias("cells"))
+    rows = F.col("cells") / width[F.col("cost_type")]
     return tot.select(
         "cost_type",
         F.col("total").cast("double").alias("total"),
-        (F.col("total").cast("double") / F.lit(rows) if rows else F.lit(0.0)).alias("average"),
+        (F.col("total").cast("double") / rows).alias("average"),
         cols_txt[F.col("cost_type")].alias("columns"),
     )
 

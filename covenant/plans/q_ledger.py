@@ -341,7 +341,7 @@ FROM audit_logs WINDOW w AS (PARTITION BY entity_type, entity_id ORDER BY "times
 def audit_timeline(spark, d):
     a = A.audit_logs(spark, d)
     t = wn.previous_in_order(a, ["entity_type", "entity_id"], ["timestamp", "id"], ["action", "id"],
-                             chunk=F.to_date("timestamp"))
+                             chunk=F.date_trunc("hour", "timestamp"))
     return t.select("id", "entity_type", "entity_id", "action", "prev_action", "prev_id")
 
 

@@ -134,8 +134,10 @@ FROM (SELECT v.*, CAST(date_trunc('month', incident_date) AS DATE) AS month, t.m
     "rule_responses", "billing_contracts", extra=RULE_CTES))
 def capped_credits(spark, d):
     v = violations(spark, d).withColumn("month", F.trunc("incident_date", "MM"))
+    # chunk = (day, block of 2^20 order keys): monotone in the sort order and
+    # fine enough that a hot contract-month is spread over many tasks
     r = wn.prior_running_sum(v, ["contract_id", "month"], ["incident_date", *LINE_KEY, "metric"],
-                             "penalty", chunk=F.col("incident_date"))
+                             "penalty", chunk=F.struct("incident_date", F.shiftright("l_orderkey", 20).alias("blk")))
     pen = F.col("penalty").cast("double")
     prior = F.col("prior_sum").cast("double")
     return r.select(*LINE_KEY, "metric", "contract_id", "month", pen.alias("penalty"),
