@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table feeding per-row text parsing (JSON, regex, casts): spread
+    over the cluster's cores when it arrives in fewer splits (no-op for
+    multi-file inputs)."""
+    from covenant.sources.files import spread
+    return spread(table(spark, sf_dir, name))
+
+
 # ---------------------------------------------------------------- billing
 # (l_orderkey, l_linenumber) repeats in the test tables; with part and
 # supplier the line is unique, so windows get a total order.
@@ -283,7 +291,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     The body shape depends on the event type so that every parse branch is
     exercised: bare JSON, JSON wrapped in prose, empty, prose only, broken.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = text_table(spark, sf_dir, "events")
     body = (F.when(F.col("event_type") == "view", F.col("props"))
             .when(F.col("event_type") == "click",
                   F.concat(F.lit("Here is the result:\n"), F.col("props"), F.lit("\nDone.")))
@@ -317,7 +325,7 @@ FROM events"""
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL texts to lint, one per event, built from the event's fields."""
-    ev = table(spark, sf_dir, "events")
+    ev = text_table(spark, sf_dir, "events")
     text = F.concat(
         F.lit("SELECT event_id, "), F.col("event_type"), F.lit("_score, ts FROM events WHERE value > "),
         F.get_json_object("props", "$.k"),
@@ -342,7 +350,7 @@ QUERY_LOG_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"
 
 def raw_orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rendered as text with injected bad values, input of the coercion gate."""
-    o = table(spark, sf_dir, "orders")
+    o = text_table(spark, sf_dir, "orders")
     bad = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
     return o.select(
         F.col("o_orderkey").alias("order_key"),

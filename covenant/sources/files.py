@@ -27,6 +27,16 @@ RESPONSE = T.StructType([
 ])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy work enough tasks when the input arrives in fewer
+    splits than the cluster has cores (e.g. one large single-row-group
+    file). Large multi-file inputs already have more splits than cores, so
+    this is a no-op there; filters and projections are still pushed through
+    the repartition into the scan."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def format_of(path: str) -> str:
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in FORMATS:
