@@ -59,7 +59,7 @@ def violations(spark, d):
     contract's fee as an exact decimal."""
     bc = A.billing_contracts(spark, d)
     meas = ru.measurements(bc, LINE_KEY + ["contract_id"], METRICS, extra=["incident_date"])
-    ev = ru.evaluate(meas, _rules(spark, d), ["contract_id"])
+    ev = ru.evaluate(meas, _rules(spark, d), ["contract_id"], row_key=LINE_KEY)
     # one row per contract: the planner broadcasts it from its scan size
     t = ru.contract_terms(A.rule_responses(spark, d), ["contract_id"])
     return (ev.join(t, "contract_id", "inner")
