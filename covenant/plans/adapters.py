@@ -438,20 +438,23 @@ STRICT_FIELDS_JSON = '["incident_date", "uptime_percent", "avg_response_time", "
 
 
 def rule_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One extracted-terms response per contract (nation); regions 3-4 use
-    the strict rule set, the fee grows with the region."""
-    n = table(spark, sf_dir, "nation")
-    strict = F.col("n_regionkey") >= 3
+    """One extracted-terms response per contract — a contract per supplier,
+    so the rule table grows with the data. Suppliers with a low balance
+    sign the strict rule set; the fee steps with the balance band."""
+    sp = table(spark, sf_dir, "supplier")
+    bal = F.col("s_acctbal")
+    strict = bal < 2000
+    band = F.when(bal < 0, 0).when(bal < 2500, 1).when(bal < 5000, 2).when(bal < 7500, 3).otherwise(4)
     content = F.concat(
         F.lit('{"sla_rules": '), F.when(strict, F.lit(STRICT_RULES_JSON)).otherwise(F.lit(STANDARD_RULES_JSON)),
         F.lit(', "violation_conditions": '),
         F.when(strict, F.lit(STRICT_CONDITIONS_JSON)).otherwise(F.lit(STANDARD_CONDITIONS_JSON)),
         F.lit(', "sql_query": "SELECT incident_date, uptime_percent FROM billing", "data_fields_required": '),
         F.when(strict, F.lit(STRICT_FIELDS_JSON)).otherwise(F.lit(STANDARD_FIELDS_JSON)),
-        F.lit(', "monthly_service_fee": '), (F.lit(10000) + F.col("n_regionkey") * 1000).cast("string"),
+        F.lit(', "monthly_service_fee": '), (F.lit(10000) + band * 1000).cast("string"),
         F.lit(', "max_monthly_penalty_percentage": '),
-        F.when(F.col("n_regionkey") == 4, F.lit("25")).otherwise(F.lit("30")), F.lit("}"))
-    return n.select(F.col("n_nationkey").alias("contract_id"), content.alias("content"))
+        F.when(bal < 0, F.lit("25")).otherwise(F.lit("30")), F.lit("}"))
+    return sp.select(F.col("s_suppkey").alias("contract_id"), content.alias("content"))
 
 
 def _q(s: str) -> str:
@@ -459,26 +462,28 @@ def _q(s: str) -> str:
 
 
 RULE_RESPONSES_SQL = f"""
-SELECT n_nationkey AS contract_id,
-       '{{"sla_rules": ' || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_RULES_JSON)} ELSE {_q(STANDARD_RULES_JSON)} END
+SELECT s_suppkey AS contract_id,
+       '{{"sla_rules": ' || CASE WHEN s_acctbal < 2000 THEN {_q(STRICT_RULES_JSON)} ELSE {_q(STANDARD_RULES_JSON)} END
        || ', "violation_conditions": '
-       || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_CONDITIONS_JSON)} ELSE {_q(STANDARD_CONDITIONS_JSON)} END
+       || CASE WHEN s_acctbal < 2000 THEN {_q(STRICT_CONDITIONS_JSON)} ELSE {_q(STANDARD_CONDITIONS_JSON)} END
        || ', "sql_query": "SELECT incident_date, uptime_percent FROM billing", "data_fields_required": '
-       || CASE WHEN n_regionkey >= 3 THEN {_q(STRICT_FIELDS_JSON)} ELSE {_q(STANDARD_FIELDS_JSON)} END
-       || ', "monthly_service_fee": ' || CAST(10000 + n_regionkey * 1000 AS VARCHAR)
-       || ', "max_monthly_penalty_percentage": ' || CASE WHEN n_regionkey = 4 THEN '25' ELSE '30' END || '}}' AS content
-FROM nation"""
+       || CASE WHEN s_acctbal < 2000 THEN {_q(STRICT_FIELDS_JSON)} ELSE {_q(STANDARD_FIELDS_JSON)} END
+       || ', "monthly_service_fee": '
+       || CAST(10000 + 1000 * CASE WHEN s_acctbal < 0 THEN 0 WHEN s_acctbal < 2500 THEN 1 WHEN s_acctbal < 5000 THEN 2
+                                   WHEN s_acctbal < 7500 THEN 3 ELSE 4 END AS VARCHAR)
+       || ', "max_monthly_penalty_percentage": ' || CASE WHEN s_acctbal < 0 THEN '25' ELSE '30' END || '}}' AS content
+FROM supplier"""
 
 
 def billing_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Billing rows with the contract of their supplier (supplier's nation)."""
+    """Billing rows with their contract (the supplier that delivers them)."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"),
-                                                F.col("s_nationkey").alias("contract_id"))
+                                                F.col("s_suppkey").alias("contract_id"))
     return billing(spark, sf_dir).join(s, "supplier_id", "inner")
 
 
 BILLING_CONTRACTS_SQL = """
-SELECT b.*, s.s_nationkey AS contract_id FROM billing b JOIN supplier s ON s.s_suppkey = b.supplier_id"""
+SELECT b.*, s.s_suppkey AS contract_id FROM billing b JOIN supplier s ON s.s_suppkey = b.supplier_id"""
 
 
 def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,17 +202,24 @@ def runs_per_query(spark, d):
     return lg.runs_per_query(A.ledger_queries(spark, d), A.calculations(spark, d))
 
 
+def _DOCS_SQL():
+    from covenant.plans.q_text import DOCS_SQL
+    return DOCS_SQL
+
+
 REGISTRY_VALUES = ", ".join(f"('{n}', {len(k)})" for n, _dsc, k in terms.DOCUMENT_TYPES)
 
 
 @register("type_fallback", ("JN-8",), oracle=with_views(f"""
-SELECT doc.id AS document_id, doc.document_type, coalesce(r.name, 'custom') AS resolved_type,
+SELECT doc.doc_id AS document_id, doc.document_type, coalesce(r.name, 'custom') AS resolved_type,
        coalesce(r.n_outputs, g.n_outputs) AS expected_outputs
-FROM ledger_documents doc
+FROM docs doc
 LEFT JOIN (VALUES {REGISTRY_VALUES}) r(name, n_outputs) ON r.name = lower(doc.document_type)
-JOIN (VALUES {REGISTRY_VALUES}) g(name, n_outputs) ON g.name = 'custom'""", "ledger_documents"))
+JOIN (VALUES {REGISTRY_VALUES}) g(name, n_outputs) ON g.name = 'custom'""", extra={"docs": _DOCS_SQL()}))
 def type_fallback(spark, d):
-    r = lg.resolve_types(A.ledger_documents(spark, d).withColumnRenamed("id", "document_id"), "document_type")
+    from covenant.plans.q_text import docs_in
+    docs = docs_in(spark, d).select(F.col("doc_id").alias("document_id"), "document_type")
+    r = lg.resolve_types(docs, "document_type")
     return r.select("document_id", "document_type", "resolved_type",
                     F.size("expected_outputs").alias("expected_outputs"))
 

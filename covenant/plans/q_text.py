@@ -334,11 +334,11 @@ SELECT name, arg_max(description, registered_at) AS description, arg_max(n_outpu
        max(registered_at) AS version
 FROM (SELECT name, description, len(string_split(outputs, ', ')) AS n_outputs, 0 AS registered_at FROM reg
       UNION ALL
-      SELECT DISTINCT lower(document_type), 'Registered from uploads', {len(GENERIC[2])}, 1 FROM ledger_documents) u
-GROUP BY name""", "ledger_documents", extra={"reg": REG_SQL}))
+      SELECT DISTINCT lower(document_type), 'Registered from uploads', {len(GENERIC[2])}, 1 FROM docs) u
+GROUP BY name""", extra={"reg": REG_SQL, "docs": DOCS_SQL}))
 def registry_override(spark, d):
     base = registry_frame(spark).withColumn("registered_at", F.lit(0))
-    new = (A.ledger_documents(spark, d).select(F.lower("document_type").alias("name")).distinct()
+    new = (docs_in(spark, d).select(F.lower("document_type").alias("name")).distinct()
            .select("name", F.lit("Registered from uploads").alias("description"),
                    F.array(*[F.lit(x) for x in GENERIC[2]]).alias("expected_outputs"),
                    F.lit(1).alias("registered_at")))
