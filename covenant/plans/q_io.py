@@ -61,7 +61,7 @@ def text_docs(spark, d):
     docs = fs.read_documents(spark, path)
     text = F.when(F.col("text_content").endswith("\n"),
                   F.expr("substring(text_content, 1, length(text_content) - 1)")).otherwise(F.col("text_content"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length(text).alias("n_chars"),
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"),
                        F.sha2(text, 256).alias("text_sha"), F.col("file_size").cast("bigint").alias("file_size"))
 
 
@@ -127,10 +127,10 @@ def json_rows(spark, d):
 
 @register("stream_row_penalty", ("RUL-5",), oracle=with_views("""
 SELECT l_orderkey, l_linenumber, transaction_count, supplier_id,
-       (CASE WHEN uptime_percent < 95.0 THEN 2500.0 WHEN uptime_percent < 98.0 THEN 1500.0
-             WHEN uptime_percent < 98.9 THEN 1000.0 WHEN uptime_percent < 99.0 THEN 500.0 ELSE 0.0 END)
-     + (CASE WHEN avg_response_time > 10.0 THEN 1000.0 WHEN avg_response_time > 5.0 THEN 500.0
-             WHEN avg_response_time > 2.0 THEN 200.0 ELSE 0.0 END) AS total_penalty
+       CAST(CASE WHEN uptime_percent < 95.0 THEN 2500.0 WHEN uptime_percent < 98.0 THEN 1500.0
+             WHEN uptime_percent < 98.9 THEN 1000.0 WHEN uptime_percent < 99.0 THEN 500.0 ELSE 0.0 END AS DOUBLE)
+     + CAST(CASE WHEN avg_response_time > 10.0 THEN 1000.0 WHEN avg_response_time > 5.0 THEN 500.0
+             WHEN avg_response_time > 2.0 THEN 200.0 ELSE 0.0 END AS DOUBLE) AS total_penalty
 FROM billing""", "billing"))
 def stream_row_penalty(spark, d):
     base = sk.scratch_path(spark, "stream")

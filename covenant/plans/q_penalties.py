@@ -11,13 +11,13 @@ from covenant.plans import adapters as A
 from covenant.plans.adapters import with_views
 from covenant.plans.registry import register
 
-UPTIME_CASE = ("CASE WHEN uptime_percent < 95.0 THEN 2500.0 WHEN uptime_percent < 98.0 THEN 1500.0 "
-               "WHEN uptime_percent < 98.9 THEN 1000.0 WHEN uptime_percent < 99.0 THEN 500.0 ELSE 0.0 END")
+UPTIME_CASE = ("CAST(CASE WHEN uptime_percent < 95.0 THEN 2500.0 WHEN uptime_percent < 98.0 THEN 1500.0 "
+               "WHEN uptime_percent < 98.9 THEN 1000.0 WHEN uptime_percent < 99.0 THEN 500.0 ELSE 0.0 END AS DOUBLE)")
 UPTIME_CASE_CONTRACT_ORDER = (
-    "CASE WHEN uptime_percent < 99.0 THEN 500.0 WHEN uptime_percent < 98.9 THEN 1000.0 "
-    "WHEN uptime_percent < 98.0 THEN 1500.0 WHEN uptime_percent < 95.0 THEN 2500.0 ELSE 0.0 END")
-RESPONSE_CASE = ("CASE WHEN avg_response_time > 10.0 THEN 1000.0 WHEN avg_response_time > 5.0 THEN 500.0 "
-                 "WHEN avg_response_time > 2.0 THEN 200.0 ELSE 0.0 END")
+    "CAST(CASE WHEN uptime_percent < 99.0 THEN 500.0 WHEN uptime_percent < 98.9 THEN 1000.0 "
+    "WHEN uptime_percent < 98.0 THEN 1500.0 WHEN uptime_percent < 95.0 THEN 2500.0 ELSE 0.0 END AS DOUBLE)")
+RESPONSE_CASE = ("CAST(CASE WHEN avg_response_time > 10.0 THEN 1000.0 WHEN avg_response_time > 5.0 THEN 500.0 "
+                 "WHEN avg_response_time > 2.0 THEN 200.0 ELSE 0.0 END AS DOUBLE)")
 
 
 def tiered_frame(spark, d):
@@ -81,7 +81,8 @@ def proportional_penalty(spark, d):
 
 @register("column_vs_column", ("PRJ-8", "RUL-8"), oracle=with_views("""
 SELECT incident_id, resolution_minutes, initial_response_minutes,
-       CASE WHEN resolution_minutes > initial_response_minutes * 4 THEN 250.0 ELSE 0.0 END AS resolution_penalty
+       CAST(CASE WHEN resolution_minutes > initial_response_minutes * 4 THEN 250.0 ELSE 0.0 END AS DOUBLE)
+         AS resolution_penalty
 FROM incidents""", "incidents"))
 def column_vs_column(spark, d):
     i = A.incidents(spark, d)
@@ -187,10 +188,11 @@ def incident_report(spark, d):
 
 @register("pct_penalty", ("RUL-3", "PRJ-6"), oracle=with_views(f"""
 SELECT l_orderkey, l_linenumber,
-       CASE WHEN uptime_percent < 95.0 THEN 25.0 WHEN uptime_percent < 98.0 THEN 15.0
-            WHEN uptime_percent < 98.9 THEN 10.0 WHEN uptime_percent < 99.0 THEN 5.0 ELSE 0.0 END AS uptime_credit_pct,
-       CASE WHEN avg_response_time > 10.0 THEN 10.0 WHEN avg_response_time > 5.0 THEN 5.0
-            WHEN avg_response_time > 2.0 THEN 2.0 ELSE 0.0 END AS response_credit_pct,
+       CAST(CASE WHEN uptime_percent < 95.0 THEN 25.0 WHEN uptime_percent < 98.0 THEN 15.0
+            WHEN uptime_percent < 98.9 THEN 10.0 WHEN uptime_percent < 99.0 THEN 5.0 ELSE 0.0 END AS DOUBLE)
+         AS uptime_credit_pct,
+       CAST(CASE WHEN avg_response_time > 10.0 THEN 10.0 WHEN avg_response_time > 5.0 THEN 5.0
+            WHEN avg_response_time > 2.0 THEN 2.0 ELSE 0.0 END AS DOUBLE) AS response_credit_pct,
        uptime_credit_pct / 100 * {terms.MONTHLY_SERVICE_FEE} AS uptime_penalty,
        response_credit_pct / 100 * {terms.MONTHLY_SERVICE_FEE} AS response_penalty
 FROM billing""", "billing"))

@@ -147,8 +147,8 @@ def capped_credits(spark, d):
 
 @register("monthly_attainment", "AGG-20", oracle=with_views(f"""
 SELECT contract_id, month, round(avg_uptime, 6) AS avg_uptime,
-       CASE WHEN avg_uptime < 95.0 THEN 25.0 WHEN avg_uptime < 98.0 THEN 15.0 WHEN avg_uptime < 98.9 THEN 10.0
-            WHEN avg_uptime < 99.0 THEN 5.0 ELSE 0.0 END AS credit_pct,
+       CAST(CASE WHEN avg_uptime < 95.0 THEN 25.0 WHEN avg_uptime < 98.0 THEN 15.0 WHEN avg_uptime < 98.9 THEN 10.0
+            WHEN avg_uptime < 99.0 THEN 5.0 ELSE 0.0 END AS DOUBLE) AS credit_pct,
        avg_uptime < {terms.UPTIME_TARGET} AS below_target
 FROM (SELECT contract_id, CAST(date_trunc('month', incident_date) AS DATE) AS month,
              CAST(sum(CAST(uptime_percent AS DECIMAL(38,10))) AS DOUBLE) / count(uptime_percent) AS avg_uptime

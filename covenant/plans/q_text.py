@@ -68,7 +68,7 @@ SELECT doc_id, resolved_type, length(prompt) AS prompt_chars, sha256(system || '
 FROM prompts""", extra=PROMPT_CTES))
 def prompt_table(spark, d):
     p = prompts(spark, d)
-    return p.select("doc_id", "resolved_type", F.length("prompt").alias("prompt_chars"),
+    return p.select("doc_id", "resolved_type", F.length("prompt").cast("bigint").alias("prompt_chars"),
                     tx.prompt_key(F.col("system"), F.col("prompt")).alias("prompt_key"))
 
 
@@ -346,7 +346,7 @@ def registry_override(spark, d):
     g = u.groupBy("name").agg(F.max_by(F.struct("description", "expected_outputs"), "registered_at").alias("r"),
                               F.max("registered_at").alias("version"))
     return g.select("name", F.col("r.description").alias("description"),
-                    F.size("r.expected_outputs").alias("n_outputs"), "version")
+                    F.size("r.expected_outputs").cast("bigint").alias("n_outputs"), "version")
 
 
 @register("prompt_usage", "EXT-2", oracle=with_views("""
@@ -356,4 +356,4 @@ def prompt_usage(spark, d):
     dd = docs_in(spark, d).filter(F.trim("custom_prompt") != "")
     return dd.groupBy("custom_prompt").agg(F.count(F.lit(1)).alias("usage_count")).select(
         F.substring(F.sha2("custom_prompt", 256), 1, 12).alias("prompt_id"), "usage_count",
-        F.length("custom_prompt").alias("prompt_chars"))
+        F.length("custom_prompt").cast("bigint").alias("prompt_chars"))
