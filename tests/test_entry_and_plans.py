@@ -49,3 +49,36 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_returnflag), GreaterThanOrEqual(l_shipdate" in plan \
         or "GreaterThanOrEqual(l_shipdate" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_returnflag:string,l_shipdate" in plan
+
+
+def _family(t: str) -> str:
+    t = t.lower()
+    for prefix, fam in (("decimal", "decimal"), ("array", "list")):
+        if t.startswith(prefix):
+            return fam
+    if t.endswith("[]"):
+        return "list"
+    return {"bigint": "int64", "int": "int32", "integer": "int32", "smallint": "int16", "double": "float64",
+            "float": "float32", "string": "str", "varchar": "str", "boolean": "bool", "date": "date",
+            "timestamp_ntz": "ts", "timestamp": "ts"}.get(t, t)
+
+
+def test_result_types_match_oracle(spark):
+    """Spark result types agree with the DuckDB oracle's (LIMIT 0 there)."""
+    import duckdb
+
+    from covenant.plans.adapters import TABLES
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    io = {"csv_roundtrip", "json_roundtrip", "text_docs", "cache_scan", "ledger_append", "results_write",
+          "cache_upsert", "stream_row_penalty"}
+    bad = []
+    for name, sql in E.oracle_sql().items():
+        if name in io:
+            continue
+        st = {c: _family(t) for c, t in E.queries()[name](spark, SF_SMALL).dtypes}
+        cur = con.execute(f"SELECT * FROM ({sql}) q LIMIT 0")
+        dt = {c[0]: _family(str(c[1])) for c in cur.description}
+        bad += [(name, c, st[c], dt.get(c)) for c in st if st[c] != dt.get(c)]
+    assert not bad, bad
