@@ -8,7 +8,6 @@ from covenant import terms
 from covenant.functions.columns import sql_list
 from covenant.operators import coercion as co
 from covenant.operators import execution as ex
-from covenant.operators import penalties as pen
 from covenant.operators import profile as pf
 from covenant.operators import quality as dq
 from covenant.plans import adapters as A
