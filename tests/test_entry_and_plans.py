@@ -35,6 +35,7 @@ def test_no_cartesian_or_nested_loop(spark):
         plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name   # JVM-side only
 
 
 def test_rule_eval_broadcasts_ladders(spark):
