@@ -53,3 +53,34 @@ def tokenizer_path() -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.packing import best_fit_pack
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: (host, path, action): the rules of the URL query's contract.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+URL_SQL = r"""
+with u as (
+  select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as pos from pages
+), p as (
+  select page_id,
+         case when pos > 0 then translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*', 0),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+         case when pos > 0 then regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1, 's') else '' end as path
+  from u
+), r(h, p, action) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), j as (
+  select page_id, host, path, (select max_by(r.h || r.p || ' ' || r.action, length(r.h || r.p)) from r
+         where (host = r.h or ends_with(host, '.' || r.h)) and starts_with(path, r.p)) as best from p
+)
+select page_id, host, path, split_part(best, ' ', 1) as rule, coalesce(split_part(best, ' ', 2), 'allow') as verdict from j
+"""
+
+
+@query("op2_url_filters", URL_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.urls import url_verdicts
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
