@@ -84,3 +84,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.urls import url_verdicts
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.secrets import secret_report
+    return secret_report(table(spark, sf_dir, "documents"))
