@@ -90,3 +90,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.secrets import secret_report
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.pii import pii_report
+    return pii_report(table(spark, sf_dir, "documents"))
