@@ -96,3 +96,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.pii import pii_report
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), iw as (
+  select distinct item_id, least(10, len(w)) as n, w[p:p + least(10, len(w)) - 1] as win
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from i where len(w) > 0)
+), dw as (
+  select doc_id, n, p, w[p:p + n - 1] as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from iw) where len(w) >= n)
+), hit as (
+  select doc_id, p, dw.n, item_id from dw join iw on dw.n = iw.n and dw.win = iw.win
+), words as (
+  select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hit) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct doc_id, item_id::varchar as item_id from hit) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
+@query("op9_decontamination", DECONTAMINATION_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.decontaminate import contamination_report
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
