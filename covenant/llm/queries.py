@@ -129,3 +129,10 @@ from d left join words using (doc_id) left join items using (doc_id)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.decontaminate import contamination_report
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.quality import quality_rules
+    q = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
