@@ -136,3 +136,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.quality import quality_rules
     q = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+         else list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) end as s from w
+), c as (
+  select s, min(doc_id) as rep, len(s) as n from (select doc_id, list_sort(s) as s from s) where len(s) > 0 group by s
+), g as (
+  select rep, n, unnest(s) as g from c
+), f as (
+  select rep, n, g, row_number() over (partition by rep order by df, g) as p
+  from (select rep, n, g, count(*) over (partition by g) as df from g)
+), cand as (
+  select distinct a.rep as a, b.rep as b, a.n as an, b.n as bn from f a join f b on a.g = b.g and a.rep < b.rep
+  where 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) and 10 * (a.p - 1) <= a.n and 10 * (b.p - 1) <= b.n
+), l as (
+  select a, b from (select a, b, an, bn, len(list_intersect(x.s, y.s)) as o from cand join c x on x.rep = a join c y on y.rep = b)
+  where 100 * o >= 90 * (an + bn - o)
+), e as (
+  select a as u, b as v from l union select b, a from l
+), r(node, reach) as (
+  select rep, rep from c union select r.node, e.v from r join e on e.u = r.reach
+), comp as (
+  select node as rep, min(reach) as component_id from r group by node
+), docs as (
+  select s.doc_id, len(s.s) as n, c.rep from s left join c on c.s = list_sort(s.s)
+)
+select doc_id, n::bigint as n_shingles, coalesce(component_id, doc_id) as component_id from docs left join comp using (rep)
+"""
+
+
+@query("op6_jaccard_join", JACCARD_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
