@@ -37,6 +37,8 @@ BITS = 22
 #: Distinct windows up to this count are broadcast to the candidates; a window
 #: is at most ``WINDOW`` words. Beyond it they are joined by a shuffle.
 BROADCAST_WINDOWS = 50_000
+#: Digests of contaminated texts (about 100 bytes each) up to which they are broadcast.
+BROADCAST_TEXTS = 200_000
 
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -190,6 +192,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, *, key: str = "doc_i
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **names) -> DataFrame:
     """The rows in which no window occurs, with all their columns."""
     columns = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = stage_table(inner_names(docs, columns).withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-input")
-    hit = contamination(rows, items, key="row_id", text=columns[text], **names).where("n_hit > 0").select("row_id")
-    return rows.join(hit, "row_id", "left_anti").select(*[F.col(n).alias(c) for c, n in columns.items()])
+    rows = inner_names(docs, columns).withColumn("text_id", F.sha2(F.coalesce(F.col(columns[text]), F.lit("")).cast("binary"), 256))
+    hit = contamination(rows, items, key="text_id", text=columns[text], **names).where("n_hit > 0").select("text_id").distinct()
+    hit = stage_table(hit, "contaminated-texts")
+    hit = F.broadcast(hit) if small_enough(hit, BROADCAST_TEXTS) else hit
+    return rows.join(hit, "text_id", "left_anti").select(*[F.col(n).alias(c) for c, n in columns.items()])
