@@ -175,3 +175,9 @@ select doc_id, n::bigint as n_shingles, coalesce(component_id, doc_id) as compon
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.jaccard import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
