@@ -37,6 +37,16 @@ PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 CACHE_WORDS = 400_000
 
 
+def _byte_level() -> list[str]:
+    """Byte-level BPE's character of each byte: visible Latin-1 stands for itself, others follow from 256 on."""
+    visible = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 class _Apart(Exception):
     """A word whose ids depend on the white space beside it."""
 
@@ -53,12 +63,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaced: dict[str, bytes] = _Cache(self, " ")
         self.bare: dict[str, bytes] = _Cache(self, "")
+        self.newline = self.raw("\n")
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def letters(self, text: str) -> bytes:
+        """Ids of one pre-token: letters, with a space before them or none."""
+        level = "".join(map(_BYTE_LEVEL.__getitem__, text.encode()))
+        return np.array([t.id for t in self.model.tokenize(level)], dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -82,10 +99,23 @@ class WordEncoder:
 
 
 class _Cache(dict):
+    """Ids by word, in two generations: words not used for long are dropped."""
+
     def __init__(self, encoder: WordEncoder, lead: str):
         self.encoder, self.lead = encoder, lead
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
+        if word in self.older:
+            return self.keep(word, self.older[word])
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Apart
         if "\n" in word:
@@ -95,24 +125,18 @@ class _Cache(dict):
                 return self.encoder.raw(self.lead + word)
             feed = self.encoder.newline
             return self[head] + b"".join(feed + bare[x] for x in lines)
+        if word.isalpha():
+            return self.keep(word, self.encoder.letters(self.lead + word))
         if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():
-            ids = self[word[:-1]] + self.encoder.bare[word[-1]]
-        else:
-            ids = self.encoder.raw(self.lead + word)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+            return self.keep(word, self[word[:-1]] + self.encoder.bare[word[-1]])
+        return self.keep(word, self.encoder.raw(self.lead + word))
 
 
 def _encoder(path: str) -> WordEncoder:
     key = os.path.abspath(path)
     if key not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        e = WordEncoder(path)
-        e.newline = e.raw("\n")
-        _ENCODERS[key] = e
+        _ENCODERS[key] = WordEncoder(path)
     return _ENCODERS[key]
 
 
