@@ -187,3 +187,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.weaklabel import quality_classifier
     return quality_classifier(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.lm import lm_scores
+    return lm_scores(table(spark, sf_dir, "documents"))
