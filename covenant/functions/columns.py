@@ -27,15 +27,6 @@ def compare(left: Column, op: str, right) -> Column:
         raise ValueError(f"unsupported threshold operator {op!r}") from e
 
 
-def compare_dynamic(left: Column, op: Column, right: Column) -> Column:
-    """Comparison whose operator is itself a column (rules as data)."""
-    expr = None
-    for sym, fn in _OPS.items():
-        branch = fn(left, right)
-        expr = F.when(op == sym, branch) if expr is None else expr.when(op == sym, branch)
-    return expr.otherwise(F.lit(False))
-
-
 def tiered(value: Column, tiers: Sequence[tuple[float, float]], op: str) -> Column:
     """First-match tier ladder, like a SQL ``CASE``: tiers are tried in order.
 
@@ -67,11 +58,6 @@ def positive_or_zero(c: Column) -> Column:
     return F.when(v > 0, v).otherwise(F.lit(0.0))
 
 
-def money(c: Column, scale: int = 4) -> Column:
-    """Round a double money amount at the output edge."""
-    return F.round(c.cast("double"), scale)
-
-
 def sql_list(values: Iterable[str]) -> str:
     """Render strings as a SQL list literal body: 'a', 'b'."""
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)

@@ -15,23 +15,22 @@ from pyspark.sql import types as T
 
 from covenant import terms
 
-MONEY = "decimal(18,4)"
+#: Amounts up to 24 digits before the point; sums keep four decimals exactly.
+MONEY = "decimal(28,4)"
+
+
+#: What names a column's cost type: (type, text in the name, rank); a type's
+#: columns are those of its best-ranked text.
+COST_NAME_RULES = [(t, f"_{t}", 0) for t in terms.COST_TYPES] + \
+    [(t, word, 1) for t, words in terms.COST_COMMON_WORDS for word in words]
 
 
 def detect_cost_columns(columns: Sequence[str]) -> dict[str, list[str]]:
-    """AGG-9: ``_<type>`` in the name first; common words only for types
-    that found no column by suffix."""
-    found: dict[str, list[str]] = {}
-    for t in terms.COST_TYPES:
-        m = [c for c in columns if f"_{t}" in c.lower()]
-        if m:
-            found[t] = m
-    for t, words in terms.COST_COMMON_WORDS:
-        if t not in found:
-            m = [c for c in columns if any(w in c.lower() for w in words)]
-            if m:
-                found[t] = m
-    return found
+    """AGG-9: cost type → its columns, in the columns' order."""
+    hits = {(t, rank, i) for i, c in enumerate(columns) for t, text, rank in COST_NAME_RULES if text in c.lower()}
+    best = {t: min(r for u, r, _ in hits if u == t) for t, _, _ in hits}
+    return {t: [columns[i] for u, r, i in sorted(hits) if u == t and r == best[t]]
+            for t in dict.fromkeys(t for t, _, _ in COST_NAME_RULES) if t in best}
 
 
 def cost_cells(df: DataFrame, detected: dict[str, list[str]] | None = None) -> DataFrame:
@@ -88,11 +87,12 @@ def cost_by_period(df: DataFrame) -> DataFrame:
 
 def proof_summary(df: DataFrame) -> DataFrame:
     """AGG-11: totals, by type (original/calculated/delta), by currency
-    (calculated; a missing currency counts as USD) — one GROUPING SETS
-    aggregate (Expand ×3 after partial aggregation)."""
+    (calculated; a missing currency counts as USD). Lines are summed by
+    (type, currency) first, so GROUPING SETS expands that small result only."""
     cur = F.coalesce(F.col("cost_currency"), F.lit("USD")).alias("currency")
-    g = (df.select("cost_type", cur, "original_cost", "calculated_cost", "delta_cost")
-         .groupingSets([[], ["cost_type"], ["currency"]], "cost_type", "currency")
+    pre = df.groupBy("cost_type", cur).agg(F.sum("original_cost").alias("original_cost"), F.sum("calculated_cost").alias("calculated_cost"),
+                                           F.sum("delta_cost").alias("delta_cost"))
+    g = (pre.groupingSets([[], ["cost_type"], ["currency"]], "cost_type", "currency")
          .agg(F.sum("original_cost").alias("o"), F.sum("calculated_cost").alias("c"),
               F.sum("delta_cost").alias("d"), F.grouping_id().alias("gid")))
     level = F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "by_type").otherwise("by_currency")
@@ -115,9 +115,10 @@ def cost_type_stats(df: DataFrame, measure: str = "calculated_cost") -> DataFram
 
 
 def cost_summary(df: DataFrame, measure: str = "calculated_cost") -> DataFrame:
-    """AGG-13: totals by type, by period and overall in one aggregate."""
-    g = (df.groupingSets([["cost_type"], ["period_start"], []], "cost_type", "period_start")
-         .agg(F.sum(measure).alias("s"), F.count(F.lit(1)).alias("lines"), F.grouping_id().alias("gid")))
+    """AGG-13: totals by type, by period and overall, from sums by (type, period)."""
+    pre = df.groupBy("cost_type", "period_start").agg(F.sum(measure).alias("s"), F.count(F.lit(1)).alias("lines"))
+    g = (pre.groupingSets([["cost_type"], ["period_start"], []], "cost_type", "period_start")
+         .agg(F.sum("s").alias("s"), F.sum("lines").alias("lines"), F.grouping_id().alias("gid")))
     return g.select(
         F.when(F.col("gid") == 1, "by_type").when(F.col("gid") == 2, "by_period").otherwise("total").alias("level"),
         "cost_type", "period_start", F.col("s").cast("double").alias("amount"), "lines")

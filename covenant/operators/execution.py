@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,28 @@ def default_query(table_name: str) -> str:
 def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Register ``tables`` as temp views and run one read-only statement.
 
-    Spark's analyzer binds names and types on ``spark.sql``; a statement that
-    is not a query (DDL/DML, several statements) is refused up front.
+    Spark's analyzer binds names and types. The statement is analysed as a
+    subquery first, where the grammar has no commands, so DDL and DML (also
+    behind a WITH) and several statements are refused before anything runs;
+    files cannot be named as tables. The views are dropped once names are bound.
     """
-    if not _LEADING.match(sql or ""):
+    body = (sql or "").strip().rstrip(";")
+    if not _LEADING.match(body):
         raise ValueError("only a single SELECT/WITH query is accepted")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        try:
+            spark.sql(f"SELECT * FROM (\n{body}\n)").schema
+        except ParseException as e:
+            raise ValueError("only a single SELECT/WITH query is accepted") from e
+        return spark.sql(body)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
+        for name in tables:
+            spark.catalog.dropTempView(name)
 
 
 def bounded_sample(df: DataFrame, order: Sequence[str], n: int = terms.RESULT_SAMPLE_LIMIT) -> DataFrame:

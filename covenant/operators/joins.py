@@ -41,9 +41,10 @@ def point_in_interval(points: DataFrame, ts_col: str, intervals: DataFrame, star
     ``left_semi`` (points inside some interval) or ``left_anti`` (outside
     all), so a point is emitted at most once.
     """
-    iv = intervals.select(*on, F.col(start_col).alias("_s"), F.col(end_col).alias("_e"),
-                          F.explode(interval_buckets(F.col(start_col), F.col(end_col), bucket_micros))
-                          .alias("_b"))
+    # an open interval (null end) lasts until the last point; a reversed one covers nothing
+    last = points.agg(F.max(ts_col)).first()[0]
+    iv = intervals.select(*on, F.col(start_col).alias("_s"), F.coalesce(F.col(end_col), F.lit(last)).alias("_e")).where("_s <= _e")
+    iv = iv.withColumn("_b", F.explode(interval_buckets(F.col("_s"), F.col("_e"), bucket_micros)))
     pts = points.withColumn("_b", F.floor(micros(F.col(ts_col)) / bucket_micros))
     cond = [pts["_b"] == iv["_b"]] + [pts[k] == iv[k] for k in on]
     cond.append(pts[ts_col].between(iv["_s"], iv["_e"]))

@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 from covenant import terms
 from covenant.operators import execution as ex
-from covenant.operators import windows as wn
+from covenant.operators.joins import broadcast_if_small
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def trailing_days(df: DataFrame, col: str, as_of: str, days: int) -> DataFrame:
-    """FLT-3: rows in ``(as_of - days, as_of]`` by a parameter, not the clock."""
-    a = F.lit(as_of).cast("date")
-    return df.filter((F.col(col) >= F.date_sub(a, days)) & (F.col(col) <= a))
+    """FLT-3: rows from ``as_of - days`` on; ``as_of`` is a parameter, not the clock."""
+    return df.filter(F.col(col) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
 def filter_costs(df: DataFrame, cost_type: str | None = None, start: str | None = None,
@@ -99,12 +98,13 @@ def registry_frame(spark, extra: Sequence[tuple[str, str, list[str]]] = ()) -> D
 
 def resolve_types(df: DataFrame, type_col: str, registry: DataFrame | None = None) -> DataFrame:
     """JN-8: document type → registry entry, unknown types fall back to the
-    generic one. The registry is a handful of rows: a broadcast side."""
+    generic one. Names are matched in lower case; of entries with one name the
+    last description counts. Broadcast only after a check of the size."""
     reg = registry if registry is not None else registry_frame(df.sparkSession)
     generic = next(r for r in terms.DOCUMENT_TYPES if r[0] == terms.GENERIC_TYPE)
-    r = F.broadcast(reg.select(F.col("name").alias("_name"), F.col("description").alias("_desc"),
-                               F.col("expected_outputs").alias("_exp")))
-    j = df.join(r, F.lower(F.col(type_col)) == F.col("_name"), "left")
+    r = (reg.groupBy(F.lower("name").alias("_name")).agg(F.max(F.struct("description", "expected_outputs")).alias("_e"))
+         .select("_name", F.col("_e.description").alias("_desc"), F.col("_e.expected_outputs").alias("_exp")))
+    j = df.join(broadcast_if_small(r), F.lower(F.col(type_col)) == F.col("_name"), "left")
     return (j.withColumn("resolved_type", F.coalesce(F.col("_name"), F.lit(generic[0])))
              .withColumn("type_description", F.coalesce(F.col("_desc"), F.lit(generic[1])))
              .withColumn("expected_outputs", F.coalesce(F.col("_exp"), F.array(*[F.lit(x) for x in generic[2]])))
@@ -112,25 +112,27 @@ def resolve_types(df: DataFrame, type_col: str, registry: DataFrame | None = Non
 
 
 def approval_queue(calculations: DataFrame, approvals: DataFrame) -> DataFrame:
-    """AUD-1: successful calculations whose approval is still pending."""
+    """AUD-1: successful calculations whose approval is still pending, or for
+    which none has been opened (escalation unknown: null)."""
     c = calculations.filter(F.col("execution_status") == "success").select(
         F.col("id").alias("calculation_id"), "query_id", "executed_at")
-    a = approvals.filter(F.col("request_status") == "pending").select("calculation_id", "requires_escalation")
-    return c.join(a, "calculation_id")
+    a = approvals.select("calculation_id", "requires_escalation", F.col("request_status").alias("_status"))
+    return c.join(a, "calculation_id", "left").filter(F.coalesce(F.col("_status") == "pending", F.lit(True))).drop("_status")
 
 
-DECISION_STATE = {"approve": "approved", "reject": "rejected", "escalate": "escalated"}
+DECISION_STATE = {"approve": "approved", "reject": "rejected", "escalate": "escalated", "revoke": "revoked"}
 
 
 def fold_decisions(log: DataFrame, key: str = "calculation_id") -> DataFrame:
     """AUD-2: current state per calculation from its decision log; ``hold``
-    changes nothing; the latest other decision wins by (time, id)."""
+    changes nothing; the latest other decision wins by (time, id); a decision
+    that is none of these is reported as ``unknown``, not as pending."""
     not_hold = F.col("decision") != "hold"
     last = F.max_by(F.when(not_hold, F.col("decision")),
                     F.when(not_hold, F.struct("decided_at", "decision_id")))
     g = log.groupBy(key).agg(last.alias("_d"), F.max(F.when(not_hold, F.col("decided_at"))).alias("decided_at"),
                              F.count(F.lit(1)).alias("decisions"))
-    state = F.lit("pending")
+    state = F.when(F.col("_d").isNull(), F.lit("pending")).otherwise(F.lit("unknown"))
     for dec, st in reversed(list(DECISION_STATE.items())):
         state = F.when(F.col("_d") == dec, F.lit(st)).otherwise(state)
     return g.select(key, state.alias("state"), "decided_at", "decisions")
@@ -138,42 +140,36 @@ def fold_decisions(log: DataFrame, key: str = "calculation_id") -> DataFrame:
 
 def proof_documents(approvals: DataFrame, calculations: DataFrame, queries: DataFrame, documents: DataFrame,
                     users: DataFrame, costs: DataFrame) -> DataFrame:
-    """AUD-3: one proof row per approved approval, with the evidence (≤ 20
-    cost lines, chosen before collecting) as a nested array."""
+    """AUD-3: one proof row per approved approval, with all its cost lines as
+    JSON texts in their own order (a calculation's lines are one proof's
+    content, so they have to meet in one row)."""
     chain = proof_chain(approvals, calculations, queries, documents)
     a = approvals.select(F.col("id").alias("approval_id"), "approved_by", "requires_escalation")
     u = users.select(F.col("id").alias("approved_by"), F.col("username").alias("approver"))
-    k = cost_totals_per_calculation(costs)
-    sample = wn.top_k_per_group(costs, ["calculation_id"], ["l_orderkey", "l_linenumber", "original_cost"],
-                                terms.PROOF_SAMPLE_LIMIT, ["l_orderkey", "l_linenumber", "period_start",
-                                                           "original_cost"])
-    ev = sample.groupBy("calculation_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "cost_type", "cost_currency", "original_cost", "calculated_cost", "delta_cost",
-        "period_start", "period_end"))).alias("cost_breakdown"))
-    p = (chain.join(a, "approval_id").join(u, "approved_by", "left").join(k, "calculation_id", "left")
-         .join(ev, "calculation_id", "left"))
+    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in LINE_FIELDS]), {"ignoreNullFields": "false"})
+    k = costs.groupBy("calculation_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("calculated_cost").alias("calc"),
+                                            F.array_sort(F.collect_list(line)).alias("cost_breakdown"))
+    p = chain.join(a, "approval_id").join(u, "approved_by", "left").join(k, "calculation_id", "left")
     return p.select(
         "approval_id", "calculation_id", "filename", "document_type", "execution_status",
         F.coalesce("lines", F.lit(0)).cast("bigint").alias("cost_lines"),
-        F.coalesce(F.col("calc"), F.lit(0)).cast("decimal(18,4)").alias("calculated_total"),
+        F.coalesce(F.col("calc"), F.lit(0)).cast("decimal(28,4)").alias("calculated_total"),
         F.date_format("approval_date", ISO_SECONDS).alias("approval_date_iso"),
         F.col("approver").alias("approved_by"), "requires_escalation",
-        F.coalesce("cost_breakdown", F.array()).alias("cost_breakdown"))
+        F.coalesce("cost_breakdown", F.array().cast("array<string>")).alias("cost_breakdown"))
+
+
+LINE_FIELDS = ("calculated_cost", "cost_currency", "cost_type", "delta_cost", "original_cost", "period_end", "period_start")
+PROOF_FIELDS = ("approval_date_iso", "approval_id", "approved_by", "calculated_total", "calculation_id", "cost_lines",
+                "document_type", "execution_status", "filename", "requires_escalation")
 
 
 def canonical(p: DataFrame) -> Column:
-    """AUD-4: the proof's canonical text — fields in sorted order, no hash
-    field, fixed formats (ISO seconds, decimals as text, booleans lower)."""
-    def s(c):
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.concat(
-        F.lit('{"approval_date":"'), s("approval_date_iso"), F.lit('","approval_id":'), s("approval_id"),
-        F.lit(',"approved_by":"'), s("approved_by"), F.lit('","calculated_total":"'), s("calculated_total"),
-        F.lit('","calculation_id":'), s("calculation_id"), F.lit(',"cost_lines":'), s("cost_lines"),
-        F.lit(',"document_type":"'), F.col("document_type"), F.lit('","execution_status":"'),
-        F.col("execution_status"), F.lit('","filename":"'), F.col("filename"),
-        F.lit('","requires_escalation":'), F.when(F.col("requires_escalation"), "true").otherwise("false"),
-        F.lit("}"))
+    """AUD-4: the proof's canonical text — a JSON object of its fields as
+    texts, in sorted order, nulls kept and characters escaped, then one JSON
+    line per cost line."""
+    head = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in PROOF_FIELDS]), {"ignoreNullFields": "false"})
+    return F.array_join(F.concat(F.array(head), F.col("cost_breakdown")), "\n")
 
 
 def with_proof_hash(p: DataFrame) -> DataFrame:
@@ -187,11 +183,14 @@ def verify(p: DataFrame, stored: str = "proof_hash") -> DataFrame:
 
 def verify_demo(p: DataFrame) -> DataFrame:
     """Store hashes (none for escalated proofs), alter the filename of proofs
-    with more than five cost lines, then verify every proof."""
+    with more than five cost lines and drop the last line of those with three
+    to five, then verify every proof."""
     stored = with_proof_hash(p).withColumn(
         "proof_hash", F.when(F.col("requires_escalation"), F.lit(None).cast("string")).otherwise(F.col("proof_hash")))
     tampered = stored.withColumn("filename", F.when(F.col("cost_lines") > 5, F.lit("tampered.txt"))
                                  .otherwise(F.col("filename")))
+    tampered = tampered.withColumn("cost_breakdown", F.when(F.col("cost_lines").between(3, 5), F.slice("cost_breakdown", 1, F.col("cost_lines").cast("int") - 1))
+                                   .otherwise(F.col("cost_breakdown")))
     return verify(tampered).select("approval_id", "verified")
 
 

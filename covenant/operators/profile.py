@@ -32,10 +32,13 @@ def columns_of(df: DataFrame, kind: str) -> list[str]:
 
 
 def _num(c: str) -> Column:
-    return F.col(c).cast("double") + 0.0        # folds -0.0 into 0.0
+    x = F.col(quoted(c)).cast("double")
+    return F.when(~F.isnan(x), x + 0.0)         # NaN counts as null; folds -0.0 into 0.0
 
 
-EXACT_SUM = "decimal(38,10)"
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _exact_sum(df: DataFrame, c: str) -> Column:
@@ -43,8 +46,11 @@ def _exact_sum(df: DataFrame, c: str) -> Column:
     the total does not depend on how rows were split across tasks."""
     dt = df.schema[c].dataType
     if isinstance(dt, T.IntegralType):
-        return F.sum(F.col(c)).cast("double")
-    return F.sum(F.col(c).cast(EXACT_SUM)).cast("double")
+        return F.sum(F.col(quoted(c)).cast("decimal(28,0)")).cast("double")
+    x = _num(c)
+    exact = x.try_cast("decimal(28,10)")        # what does not fit is added as a double
+    return (F.coalesce(F.sum(exact).cast("double"), F.when(F.count(x) > 0, F.lit(0.0)))
+            + F.coalesce(F.sum(F.when(exact.isNull(), x)), F.lit(0.0)))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact_median: bool = True) -> DataFrame:
@@ -55,7 +61,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact_m
     aggs = []
     for i, c in enumerate(cols):
         x = _num(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), _exact_sum(df, c).alias(f"s{i}"),
                  F.stddev_samp(x).alias(f"sd{i}")]
         if not exact_median:

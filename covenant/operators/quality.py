@@ -40,9 +40,11 @@ def dq_report(df: DataFrame) -> DataFrame:
     aggs = ["count(1) AS _rows"]
     for i, f in enumerate(fields):
         c, k = _q(f.name), kind_of(f.dataType)
-        aggs += [f"count_if({c} IS NULL) AS z{i}", f"count({c}) AS n{i}"]
+        if k == "numeric":      # NaN counts as null
+            c = f"CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN {c} END"
+        aggs += [f"count_if(({c}) IS NULL) AS z{i}", f"count({c}) AS n{i}"]
         if k == "numeric":
-            aggs += [f"count_if({c} < 0) AS neg{i}", f"max(CAST({c} AS DOUBLE)) AS mx{i}"]
+            aggs += [f"count_if(({c}) < 0) AS neg{i}", f"max(CAST(({c}) AS DOUBLE)) AS mx{i}"]
         if k == "datetime":
             aggs += [f"min(CAST({c} AS TIMESTAMP_NTZ)) AS lo{i}", f"max(CAST({c} AS TIMESTAMP_NTZ)) AS hi{i}"]
     wide = df.agg(*[F.expr(a) for a in aggs])

@@ -95,9 +95,14 @@ def json_body(content: Column) -> Column:
             .when((inner != "") & F.try_parse_json(inner).isNotNull(), inner))
 
 
-def error_type(status: Column, model: Column) -> Column:
-    """TXT-7: error class of a response."""
-    return (F.when(model.endswith("-error"), F.lit("llm_error"))
+ERROR_TYPES = ("llm_error", "extraction_error", "json_extraction_error")
+
+
+def error_type(status: Column, model: Column, content: Column | None = None) -> Column:
+    """TXT-7: error class of a response; an error record names it in its body."""
+    named = F.get_json_object(content, "$.type") if content is not None else F.lit(None).cast("string")
+    return (F.when(named.isin(*ERROR_TYPES), named)
+            .when(model.endswith("-error") | (model == "error"), F.lit("llm_error"))
             .when(status == "empty", F.lit("extraction_error"))
             .when(status == "unparseable", F.lit("json_extraction_error")))
 

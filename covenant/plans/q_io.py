@@ -82,8 +82,8 @@ def cache_scan(spark, d):
         F.lit("conversation-model").alias("model"), F.lit(True).alias("cached"),
         F.lit("2024-01-01T00:00:00").alias("timestamp"))
     path = sk.scratch_path(spark, "cache")
-    rec.write.partitionBy("cache_key").json(path)
-    back = fs.read_response_cache(spark, path)
+    rec.write.json(path)
+    back = fs.read_response_cache(spark, path, lines=True)
     return back.select(F.col("cache_key"), "content", F.col("usage.input_tokens").alias("input_tokens"),
                        F.col("usage.output_tokens").alias("output_tokens"))
 

@@ -248,8 +248,8 @@ def set_ops(spark, d):
 # ------------------------------------------------------------------ workflow
 @register("approval_queue", "AUD-1", oracle=with_views("""
 SELECT c.id AS calculation_id, c.query_id, c.executed_at, a.requires_escalation
-FROM calculations c JOIN approvals a ON a.calculation_id = c.id
-WHERE c.execution_status = 'success' AND a.request_status = 'pending'""", "calculations", "approvals"))
+FROM calculations c LEFT JOIN approvals a ON a.calculation_id = c.id
+WHERE c.execution_status = 'success' AND (a.id IS NULL OR a.request_status = 'pending')""", "calculations", "approvals"))
 def approval_queue(spark, d):
     return lg.approval_queue(A.calculations(spark, d), A.approvals(spark, d))
 
@@ -258,7 +258,7 @@ def approval_queue(spark, d):
 SELECT calculation_id,
        CASE arg_max(decision, (decided_at, decision_id)) FILTER (WHERE decision <> 'hold')
             WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'escalate' THEN 'escalated'
-            ELSE 'pending' END AS state,
+            WHEN 'revoke' THEN 'revoked' ELSE CASE WHEN count(*) FILTER (WHERE decision <> 'hold') = 0 THEN 'pending' ELSE 'unknown' END END AS state,
        max(decided_at) FILTER (WHERE decision <> 'hold') AS decided_at,
        count(*) AS decisions
 FROM decision_log GROUP BY calculation_id""", "decision_log"))
@@ -275,22 +275,28 @@ def latest_state(spark, d):
                              ["action", "entity_type", "timestamp"])
 
 
+LINES_CTE = """
+SELECT calculation_id, calculated_cost, CAST(json_object(
+         'calculated_cost', CAST(CAST(calculated_cost AS DECIMAL(18,4)) AS VARCHAR), 'cost_currency', cost_currency, 'cost_type', cost_type,
+         'delta_cost', CAST(CAST(delta_cost AS DECIMAL(18,4)) AS VARCHAR), 'original_cost', CAST(CAST(original_cost AS DECIMAL(18,2)) AS VARCHAR),
+         'period_end', CAST(CAST(period_end AS DATE) AS VARCHAR), 'period_start', CAST(CAST(period_start AS DATE) AS VARCHAR)) AS VARCHAR) AS line
+FROM cost_breakdowns"""
 PROOF_CTE = f"""
 SELECT a.id AS approval_id, c.id AS calculation_id, doc.filename, doc.document_type, c.execution_status,
-       coalesce(k.lines, 0) AS cost_lines, coalesce(k.calc, CAST(0 AS DECIMAL(18,4))) AS calculated_total,
+       coalesce(k.lines, 0) AS cost_lines, coalesce(k.calc, CAST(0 AS DECIMAL(28,4))) AS calculated_total,
        CAST(strftime(a.approval_date, '%Y-%m-%dT%H:%M:%S') AS VARCHAR) AS approval_date_iso,
-       u.username AS approved_by, a.requires_escalation
+       u.username AS approved_by, a.requires_escalation, k.cost_breakdown
 FROM approvals a JOIN calculations c ON c.id = a.calculation_id JOIN ledger_queries q ON q.id = c.query_id
 JOIN ledger_documents doc ON doc.id = q.document_id LEFT JOIN users u ON u.id = a.approved_by
-LEFT JOIN (SELECT calculation_id, count(*) AS lines, CAST(sum(calculated_cost) AS DECIMAL(18,4)) AS calc
-           FROM cost_breakdowns GROUP BY calculation_id) k ON k.calculation_id = c.id
+LEFT JOIN (SELECT calculation_id, count(*) AS lines, CAST(sum(calculated_cost) AS DECIMAL(28,4)) AS calc,
+                  list(line ORDER BY line) AS cost_breakdown
+           FROM cost_json GROUP BY calculation_id) k ON k.calculation_id = c.id
 WHERE a.request_status = 'approved'"""
-CANON_SQL = ("'{{\"approval_date\":\"' || coalesce(approval_date_iso, '') || '\",\"approval_id\":' || CAST(approval_id AS VARCHAR)"
-             " || ',\"approved_by\":\"' || coalesce(approved_by, '') || '\",\"calculated_total\":\"'"
-             " || CAST(calculated_total AS VARCHAR) || '\",\"calculation_id\":' || CAST(calculation_id AS VARCHAR)"
-             " || ',\"cost_lines\":' || CAST(cost_lines AS VARCHAR) || ',\"document_type\":\"' || document_type"
-             " || '\",\"execution_status\":\"' || execution_status || '\",\"filename\":\"' || filename"
-             " || '\",\"requires_escalation\":' || CASE WHEN requires_escalation THEN 'true' ELSE 'false' END || '}}'")
+CANON_SQL = ("array_to_string(list_prepend(CAST(json_object('approval_date_iso', approval_date_iso, 'approval_id', CAST(approval_id AS VARCHAR),"
+             " 'approved_by', approved_by, 'calculated_total', CAST(calculated_total AS VARCHAR), 'calculation_id', CAST(calculation_id AS VARCHAR),"
+             " 'cost_lines', CAST(cost_lines AS VARCHAR), 'document_type', document_type, 'execution_status', execution_status,"
+             " 'filename', filename, 'requires_escalation', CAST(requires_escalation AS VARCHAR)) AS VARCHAR),"
+             " coalesce(cost_breakdown, [])), chr(10))")
 PROOF_VIEWS = ("approvals", "calculations", "ledger_queries", "ledger_documents", "users", "cost_breakdowns")
 
 
@@ -301,32 +307,35 @@ def proofs(spark, d):
 
 @register("proof_doc", "AUD-3", oracle=with_views(
     "SELECT approval_id, calculation_id, filename, document_type, cost_lines, CAST(calculated_total AS DOUBLE) "
-    "AS calculated_total, approved_by FROM proofs", *PROOF_VIEWS, extra={"proofs": PROOF_CTE}))
+    "AS calculated_total, approved_by, unnest(CASE WHEN cost_lines = 0 THEN [NULL] ELSE cost_breakdown END) AS line FROM proofs", *PROOF_VIEWS, extra={"cost_json": LINES_CTE, "proofs": PROOF_CTE}))
 def proof_doc(spark, d):
     p = proofs(spark, d)
     return p.select("approval_id", "calculation_id", "filename", "document_type", "cost_lines",
-                    F.col("calculated_total").cast("double").alias("calculated_total"), "approved_by")
+                    F.col("calculated_total").cast("double").alias("calculated_total"), "approved_by",
+                    F.explode_outer("cost_breakdown").alias("line"))
 
 
 @register("proof_hash", "AUD-4", oracle=with_views(
-    f"SELECT approval_id, sha256({CANON_SQL.format()}) AS proof_hash FROM proofs",
-    *PROOF_VIEWS, extra={"proofs": PROOF_CTE}))
+    f"SELECT approval_id, sha256({CANON_SQL}) AS proof_hash FROM proofs",
+    *PROOF_VIEWS, extra={"cost_json": LINES_CTE, "proofs": PROOF_CTE}))
 def proof_hash(spark, d):
     return lg.with_proof_hash(proofs(spark, d)).select("approval_id", "proof_hash")
 
 
 VERIFY_CTES = {
+    "cost_json": LINES_CTE,
     "proofs": PROOF_CTE,
-    "hashed": f"SELECT p.*, CASE WHEN requires_escalation THEN NULL ELSE sha256({CANON_SQL.format()}) END AS stored "
+    "hashed": f"SELECT p.*, CASE WHEN requires_escalation THEN NULL ELSE sha256({CANON_SQL}) END AS stored "
               "FROM proofs p",
     "tampered": "SELECT approval_id, approval_date_iso, approved_by, calculated_total, calculation_id, cost_lines, "
                 "document_type, execution_status, CASE WHEN cost_lines > 5 THEN 'tampered.txt' ELSE filename END "
-                "AS filename, requires_escalation, stored FROM hashed",
+                "AS filename, requires_escalation, CASE WHEN cost_lines BETWEEN 3 AND 5 THEN cost_breakdown[1:cost_lines - 1] "
+                "ELSE cost_breakdown END AS cost_breakdown, stored FROM hashed",
 }
 
 
 @register("proof_verify", "AUD-5", oracle=with_views(
-    f"SELECT approval_id, coalesce(sha256({CANON_SQL.format()}) = stored, FALSE) AS verified FROM tampered",
+    f"SELECT approval_id, coalesce(sha256({CANON_SQL}) = stored, FALSE) AS verified FROM tampered",
     *PROOF_VIEWS, extra=VERIFY_CTES))
 def proof_verify(spark, d):
     return lg.verify_demo(proofs(spark, d))
@@ -389,7 +398,7 @@ def filter_or(spark, d):
 
 @register("filter_trailing_90d", "FLT-3", oracle=with_views(f"""
 SELECT l_orderkey, l_linenumber, transaction_count, supplier_id, incident_date FROM billing
-WHERE incident_date >= DATE '{AS_OF}' - INTERVAL 90 DAY AND incident_date <= DATE '{AS_OF}'""", "billing"))
+WHERE incident_date >= DATE '{AS_OF}' - INTERVAL 90 DAY""", "billing"))
 def filter_trailing_90d(spark, d):
     return lg.trailing_days(A.billing(spark, d), "incident_date", AS_OF, 90).select(*LINE_KEY, "incident_date")
 

@@ -59,7 +59,7 @@ def violations(spark, d):
     contract's fee as an exact decimal."""
     bc = A.billing_contracts(spark, d)
     meas = ru.measurements(bc, LINE_KEY + ["contract_id"], METRICS, extra=["incident_date"])
-    ev = ru.evaluate(meas, _rules(spark, d), ["contract_id"], row_key=LINE_KEY)
+    ev = ru.evaluate(meas, _rules(spark, d), ["contract_id"])
     # one row per contract: the planner broadcasts it from its scan size
     t = ru.contract_terms(A.rule_responses(spark, d), ["contract_id"])
     return (ev.join(t, "contract_id", "inner")
@@ -113,11 +113,7 @@ GROUP BY v.contract_id, CAST(date_trunc('month', incident_date) AS DATE)""",
     "rule_responses", "billing_contracts", extra=RULE_CTES))
 def monthly_cap(spark, d):
     v = violations(spark, d).withColumn("month", F.trunc("incident_date", "MM"))
-    return (v.groupBy("contract_id", "month")
-            .agg(F.count(F.lit(1)).alias("violations"), F.sum("penalty").cast("double").alias("raw_total"),
-                 F.max("monthly_cap").alias("_cap"))
-            .select("contract_id", "month", "violations", "raw_total",
-                    F.least("raw_total", "_cap").alias("capped_total")))
+    return ru.monthly_totals(v, ["contract_id", "month"], "penalty", F.col("monthly_cap"))
 
 
 @register("capped_credits", "WIN-2", oracle=with_views("""
@@ -136,13 +132,10 @@ def capped_credits(spark, d):
     v = violations(spark, d).withColumn("month", F.trunc("incident_date", "MM"))
     # chunk = (day, block of 2^20 order keys): monotone in the sort order and
     # fine enough that a hot contract-month is spread over many tasks
-    r = wn.prior_running_sum(v, ["contract_id", "month"], ["incident_date", *LINE_KEY, "metric"],
-                             "penalty", chunk=F.struct("incident_date", F.shiftright("l_orderkey", 20).alias("blk")))
-    pen = F.col("penalty").cast("double")
-    prior = F.col("prior_sum").cast("double")
-    return r.select(*LINE_KEY, "metric", "contract_id", "month", pen.alias("penalty"),
-                    prior.alias("prior_sum"),
-                    F.greatest(F.lit(0.0), F.least(pen, F.col("monthly_cap") - prior)).alias("credit"))
+    r = wn.capped_in_order(v, ["contract_id", "month"], ["incident_date", *LINE_KEY, "metric"], "penalty", F.col("monthly_cap"),
+                           chunk=F.struct("incident_date", F.shiftright("l_orderkey", 20).alias("blk")))
+    return r.select(*LINE_KEY, "metric", "contract_id", "month", *[F.col(c).cast("double").alias(c) for c in ("penalty", "prior_sum", "credit")])
+
 
 
 @register("monthly_attainment", "AGG-20", oracle=with_views(f"""

@@ -162,7 +162,7 @@ SELECT error_type, count(*) AS responses FROM (
 WHERE error_type IS NOT NULL GROUP BY error_type""", "responses"))
 def response_errors(spark, d):
     r = A.responses(spark, d)
-    e = r.select(tx.error_type(tx.json_status(F.col("content")), F.col("model")).alias("error_type"))
+    e = r.select(tx.error_type(tx.json_status(F.col("content")), F.col("model"), F.col("content")).alias("error_type"))
     return e.filter(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count(F.lit(1)).alias("responses"))
 
 

@@ -1,11 +1,12 @@
-"""Session defaults and lineage helpers."""
+"""Session defaults and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,8 +44,9 @@ def get_session(master: str | None = None, app: str = "covenant",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private folder is created
-    and registered; on a cluster the configured shared path is always used.
+    Only when the setting is absent (local runs and tests) a private folder is
+    created and registered, with a warning unless the session is local; on a
+    cluster the configured shared path is always used.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -54,12 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a folder that executors may not share", stacklevel=2)
     local = tempfile.mkdtemp(prefix="covenant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

@@ -74,13 +74,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                      F.col("value").alias("text_content"), "*").drop("value")
 
 
-def read_response_cache(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6: cached response records, key = file name without extension
-    (or the ``cache_key=`` folder when records are laid out by key)."""
-    df = spark.read.option("multiLine", True).schema(RESPONSE).json(path)
-    if "cache_key" in df.columns:
-        return df
-    return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("cache_key"), "*")
+def read_response_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC-6: cached response records.
+
+    By default a small file holds one record, spread over lines or not, or one
+    per line; the key is the file name without extension (or the ``cache_key=``
+    folder). ``lines``: large files of one record a line that name their key."""
+    if lines:
+        keyed = T.StructType([T.StructField("cache_key", T.StringType()), *RESPONSE.fields])
+        return spark.read.schema(keyed).json(path)
+    whole = spark.read.text(path, wholetext=True)
+    parts = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    one_per_line = F.forall(parts, lambda x: F.startswith(F.trim(x), F.lit("{")) & F.endswith(F.trim(x), F.lit("}")))
+    key = F.col("cache_key") if "cache_key" in whole.columns else F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    records = whole.select(key.alias("cache_key"), F.explode(F.when(one_per_line, parts).otherwise(F.array("value"))).alias("_r"))
+    return records.select("cache_key", F.from_json("_r", RESPONSE).alias("_r")).select("cache_key", "_r.*")
 
 
 def with_table_names(df: DataFrame, file_col: str, out: str = "table_name") -> DataFrame:
