@@ -30,6 +30,8 @@ from covenant.llm.quality import measure_texts
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ("length", "repeats", "lines", "symbols", "letters", "case", "marks", "endings", "variety")
 EM_ROUNDS = 200
+#: Votes from which a pattern takes part in the estimation.
+ENOUGH = 4
 FEATURE_BITS = 18
 #: Documents of each side that the scorer is fitted on.
 SAMPLE = 8000
@@ -57,7 +59,7 @@ def votes(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
     at = np.searchsorted(offsets[1:], np.arange(len(data)), side="right")
     letters = np.bincount(at[_LETTER[data]], minlength=w.n_docs)
     some = n_words >= 20
-    columns = [vote((n_words >= 50) & (chars / words < 9), (n_words < 10) | (chars / words > 15)),
+    columns = [vote((n_words >= 50) & (chars / words < 9), (n_words < 3) | (chars / words > 15)),
                vote(some & (repeats == 0), repeats > 0.2 * words),
                vote((lines >= 3) & (dup_lines == 0), dup_lines > 0.3 * lines),
                vote(some & (symbols == 0), symbols > 0.1 * words),
@@ -72,15 +74,22 @@ def votes(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(posteriors of being good per pattern, chance of each vote: [class, labeller, vote]).
 
-    Starts from "good unless a labeller says bad"; Laplace-smoothed.
+    Starts from "good unless a labeller says bad"; Laplace-smoothed. Fitted on
+    patterns with at least ``ENOUGH`` votes, where votes overlap; there an
+    abstention is a vote like any other. Patterns with fewer votes (short texts)
+    are judged by the votes cast alone.
     """
-    post = np.where((patterns == BAD).any(axis=1), 0.1, 0.9)
+    full = (patterns != ABSTAIN).sum(axis=1) >= min(ENOUGH, patterns.shape[1] // 2)
     hot = np.stack([patterns == v for v in range(3)], axis=2).astype(np.float64)
+    post = np.where((patterns == BAD).any(axis=1), 0.1, 0.9)
+    share = counts * full
     for _ in range(rounds):
-        weight = np.stack([(1 - post) * counts, post * counts])
+        weight = np.stack([(1 - post) * share, post * share])
         chance = (np.einsum("cp,plv->clv", weight, hot) + 1) / (weight.sum(axis=1)[:, None, None] + 3)
-        prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        logs = np.log(prior)[:, None] + np.einsum("plv,clv->cp", hot, np.log(chance))
+        prior = (weight.sum(axis=1) + 1) / (share.sum() + 2)
+        cast = chance / (1 - chance[:, :, ABSTAIN:ABSTAIN + 1])
+        cast[:, :, ABSTAIN] = 1
+        logs = np.log(prior)[:, None] + np.where(full, np.einsum("plv,clv->cp", hot, np.log(chance)), np.einsum("plv,clv->cp", hot, np.log(cast)))
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
