@@ -111,17 +111,15 @@ def cost_summary(spark, d):
 @register("cost_delta", "JN-5", oracle=with_views("""
 SELECT coalesce(o.period_start, c.period_start) AS period_start, coalesce(o.amount, 0.0) AS original,
        coalesce(c.amount, 0.0) AS calculated, coalesce(c.amount, 0.0) - coalesce(o.amount, 0.0) AS delta
-FROM (SELECT period_start, CAST(sum(original_cost) AS DOUBLE) AS amount FROM cost_breakdowns
-      WHERE cost_currency IS NULL AND period_start < DATE '1999-01-01' GROUP BY period_start) o
-FULL OUTER JOIN (SELECT period_start, CAST(sum(calculated_cost) AS DOUBLE) AS amount FROM cost_breakdowns
-      WHERE cost_currency = 'USD' AND period_start >= DATE '1997-01-01' GROUP BY period_start) c
-  ON o.period_start = c.period_start""", "cost_breakdowns"))
+FROM (SELECT period_start, CAST(sum(original_cost) AS DOUBLE) AS amount FROM cost_breakdowns GROUP BY period_start) o
+FULL OUTER JOIN (SELECT CAST(period_start + INTERVAL 1 MONTH AS DATE) AS period_start, CAST(sum(calculated_cost) AS DOUBLE) AS amount
+      FROM cost_breakdowns GROUP BY ALL) c ON o.period_start = c.period_start""", "cost_breakdowns"))
 def cost_delta(spark, d):
+    """All lines on both sides: billed by period, settled in the following month."""
     cb = A.cost_breakdowns(spark, d)
-    o = (cb.filter(F.col("cost_currency").isNull() & (F.col("period_start") < F.lit("1999-01-01").cast("date")))
-         .groupBy("period_start").agg(F.sum("original_cost").cast("double").alias("amount")))
-    c = (cb.filter((F.col("cost_currency") == "USD") & (F.col("period_start") >= F.lit("1997-01-01").cast("date")))
-         .groupBy("period_start").agg(F.sum("calculated_cost").cast("double").alias("amount")))
+    o = cb.groupBy("period_start").agg(F.sum("original_cost").cast("double").alias("amount"))
+    c = (cb.groupBy(F.add_months("period_start", 1).alias("period_start"))
+         .agg(F.sum("calculated_cost").cast("double").alias("amount")))
     return cs.cost_delta(o, c, "period_start")
 
 

@@ -237,34 +237,32 @@ def required_fields(spark, d):
     return t.select("contract_id", F.concat_ws(",", miss).alias("missing_fields"), (F.size(miss) == 0).alias("complete"))
 
 
-SLA_KEYS = next(k for n, _d, k in terms.DOCUMENT_TYPES if n == "sla")
+def _completeness_sql(source: str, keys: list[str], response_id: str, body: str, table: str) -> str:
+    return (f"SELECT '{source}' AS source, {response_id} AS response_id, {len(keys)} AS n_expected, "
+            f"list_sort(list_filter([{sql_list(keys)}], lambda x: NOT list_contains(coalesce(json_keys({body}), []), x))) AS missing FROM {table}")
 
 
 @register("completeness", ("TXT-12", "SET-4"), oracle=with_views(f"""
 SELECT source, response_id, array_to_string(missing, ',') AS missing_outputs,
        round(1 - len(missing) / n_expected, 4) AS completeness
-FROM (SELECT 'terms' AS source, contract_id AS response_id, {len(SLA_KEYS)} AS n_expected,
-             list_sort(list_filter([{sql_list(SLA_KEYS)}], lambda x: NOT list_contains(json_keys(content), x))) AS missing
-      FROM rule_responses
-      UNION ALL
-      SELECT 'responses', response_id, {len(GENERIC[2])},
-             list_sort(list_filter([{sql_list(GENERIC[2])}], lambda x: NOT list_contains(json_keys(body), x)))
-      FROM (SELECT response_id, {BODY_SQL} AS body FROM responses) b WHERE body IS NOT NULL) m""",
+FROM ({" UNION ALL ".join(_completeness_sql(n, k, "contract_id", "content", "rule_responses") for n, _d, k in terms.DOCUMENT_TYPES)}
+      UNION ALL {_completeness_sql("responses", GENERIC[2], "response_id", "body", f"(SELECT response_id, {BODY_SQL} AS body FROM responses) b")}) m""",
     "rule_responses", "responses"))
 def completeness(spark, d):
+    """Term responses against every document type's keys, and all other
+    responses against the generic ones; without a JSON body all are missing."""
     def missing(expected, body):
         exp = F.array(*[F.lit(x) for x in expected])
-        return F.array_sort(F.array_except(exp, F.json_object_keys(body)))
-    t = A.rule_responses(spark, d).select(F.lit("terms").alias("source"), F.col("contract_id").alias("response_id"),
-                                          missing(SLA_KEYS, F.col("content")).alias("m"),
-                                          F.lit(len(SLA_KEYS)).alias("n"))
+        return F.array_sort(F.coalesce(F.array_except(exp, F.json_object_keys(body)), exp))
+    t = A.rule_responses(spark, d)
+    checks = F.array(*[F.struct(F.lit(n).alias("source"), missing(k, F.col("content")).alias("m"), F.lit(len(k)).alias("n"))
+                       for n, _d, k in terms.DOCUMENT_TYPES])
+    t = t.select(F.col("contract_id").alias("response_id"), F.explode(checks).alias("c")).select("c.source", "response_id", "c.m", "c.n")
     r = (A.responses(spark, d).select("response_id", tx.json_body(F.col("content")).alias("body"))
-         .filter(F.col("body").isNotNull())
          .select(F.lit("responses").alias("source"), "response_id", missing(GENERIC[2], F.col("body")).alias("m"),
                  F.lit(len(GENERIC[2])).alias("n")))
-    u = t.unionByName(r)
-    return u.select("source", "response_id", F.concat_ws(",", "m").alias("missing_outputs"),
-                    F.round(1 - F.size("m") / F.col("n"), 4).alias("completeness"))
+    return t.unionByName(r).select("source", "response_id", F.concat_ws(",", "m").alias("missing_outputs"),
+                                   F.round(1 - F.size("m") / F.col("n"), 4).alias("completeness"))
 
 
 # ---------------------------------------------------------------- names / schemas / registry
