@@ -24,30 +24,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def append_ledger(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """SNK-1: append run records (idempotent per run id when the caller
-    filters re-runs with ``latest_per_key``)."""
-    w = rows.write.mode("append")
+    """SNK-1: append run records. Partitioned by run, a retry replaces the
+    partitions it writes instead of doubling their rows; other runs stay."""
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def write_results(result: DataFrame, path: str, run_id: str) -> DataFrame:
     """SNK-2: persist the full result under ``run_id=<id>`` and return the
-    re-read frame (a written table as the lineage cut)."""
+    re-read frame (a written table as the lineage cut). A retry with the same
+    run id replaces its rows."""
     spark = result.sparkSession
-    result.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    append_ledger(result.withColumn("run_id", F.lit(run_id)), path, ["run_id"])
     return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
 def upsert_cache(existing: DataFrame | None, incoming: DataFrame, key: Sequence[str], order: Sequence[str],
-                 path: str) -> DataFrame:
-    """SNK-3: last write wins per key (aggregate, not a sort per key)."""
+                 path: str, version: int = 0) -> DataFrame:
+    """SNK-3: last write wins per key (aggregate, not a sort per key).
+
+    The new state goes to a folder of its own ``version``, so the store that
+    ``existing`` reads is never overwritten while it is read."""
     allrows = incoming if existing is None else existing.unionByName(incoming, allowMissingColumns=True)
     cols = [c for c in allrows.columns if c not in key]
     latest = latest_per_key(allrows, key, order, cols)
-    latest.write.mode("overwrite").parquet(path)
-    return allrows.sparkSession.read.parquet(path)
+    target = f"{path.rstrip('/')}/version-{version:08d}"
+    latest.write.mode("overwrite").parquet(target)
+    return allrows.sparkSession.read.schema(latest.schema).parquet(target)
 
 
 def json_rows(df: DataFrame, out: str = "json") -> DataFrame:

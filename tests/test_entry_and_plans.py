@@ -1,9 +1,21 @@
 """Driver contract, every registered query at sf0.001, plan shape checks."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF_SMALL
+from covenant.plans.adapters import TABLES
+from covenant.plans.registry import ORACLE, QUERIES
+from tests.conftest import SF_ORACLE, SF_SMALL
+from tools.check_oracle import digest
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_ORACLE}/{t}.parquet')")
+    return con
 
 
 def test_entry_runs(spark):
@@ -16,11 +28,17 @@ def test_oracle_keys_are_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_query_runs_small(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    assert df.count() >= 0
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_its_oracle(spark, duck, name):
+    df = QUERIES[name](spark, SF_ORACLE)
+    rows = df.collect()
     assert len(df.columns) == len(set(df.columns))
+    if name in ORACLE:
+        cur = duck.execute(ORACLE[name])
+        want = cur.fetchall()
+        columns = [c[0] for c in cur.description]
+        assert sorted(df.columns) == sorted(columns) and len(rows) == len(want)
+        assert digest(df.columns, rows)[0] == digest(columns, want)[0]
 
 
 def _plan(df):
@@ -28,7 +46,7 @@ def _plan(df):
 
 
 def test_no_cartesian_or_nested_loop(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name in {"csv_roundtrip", "json_roundtrip", "text_docs", "cache_scan", "ledger_append",
                     "results_write", "cache_upsert", "stream_row_penalty"}:
             continue
@@ -64,22 +82,16 @@ def _family(t: str) -> str:
             "timestamp_ntz": "ts", "timestamp": "ts"}.get(t, t)
 
 
-def test_result_types_match_oracle(spark):
+def test_result_types_match_oracle(spark, duck):
     """Spark result types agree with the DuckDB oracle's (LIMIT 0 there)."""
-    import duckdb
-
-    from covenant.plans.adapters import TABLES
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     io = {"csv_roundtrip", "json_roundtrip", "text_docs", "cache_scan", "ledger_append", "results_write",
           "cache_upsert", "stream_row_penalty"}
     bad = []
-    for name, sql in E.oracle_sql().items():
+    for name, sql in ORACLE.items():
         if name in io:
             continue
-        st = {c: _family(t) for c, t in E.queries()[name](spark, SF_SMALL).dtypes}
-        cur = con.execute(f"SELECT * FROM ({sql}) q LIMIT 0")
+        st = {c: _family(t) for c, t in QUERIES[name](spark, SF_SMALL).dtypes}
+        cur = duck.execute(f"SELECT * FROM ({sql}) q LIMIT 0")
         dt = {c[0]: _family(str(c[1])) for c in cur.description}
         bad += [(name, c, st[c], dt.get(c)) for c in st if st[c] != dt.get(c)]
     assert not bad, bad
