@@ -36,7 +36,8 @@ def choose_prompt(custom: Column, typed: Column) -> Column:
 
 
 def full_prompt(base: Column, instructions: Column, document: Column) -> Column:
-    """TXT-1: prompt + optional instructions + the whole document text."""
+    """TXT-1: prompt + optional instructions + the whole document text.
+    FIXED VALUES: the headings of the instructions and the document."""
     instr = F.when(F.coalesce(instructions, F.lit("")) != "",
                    F.concat(F.lit("Additional Instructions: "), instructions)).otherwise(F.lit(""))
     return F.concat(base, F.lit(NL + NL), instr, F.lit(NL + NL + "---" + NL + "Document to Analyze:" + NL), document,
@@ -61,12 +62,11 @@ def prompt_table(docs: DataFrame, type_col: str, text_col: str, custom_col: str,
 
 # ---------------------------------------------------------------- cache
 def split_cache(prompts: DataFrame, cache_keys: DataFrame, key: str = "prompt_key") -> DataFrame:
-    """JN-6 + TXT-5: status hit/miss per prompt via semi/anti joins on the
-    de-duplicated key set (the key set, not the prompts, is shuffled)."""
-    keys = cache_keys.select(key).distinct()
-    hit = prompts.join(keys, key, "left_semi").withColumn("status", F.lit("hit"))
-    miss = prompts.join(keys, key, "left_anti").withColumn("status", F.lit("miss"))
-    return hit.unionByName(miss)
+    """JN-6 + TXT-5: status hit/miss per prompt by one left join to the
+    de-duplicated key set, so both sides are read once."""
+    keys = cache_keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_cached", F.lit(True))
+    status = F.when(F.col("_cached"), F.lit("hit")).otherwise(F.lit("miss"))
+    return prompts.join(keys, key, "left").withColumn("status", status).select(*prompts.columns, "status")
 
 
 def dedupe_prompts(prompts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -118,7 +118,8 @@ def schema_profile(df: DataFrame, key: str, table: str) -> DataFrame:
 
 def schema_text(profile: DataFrame) -> DataFrame:
     """TXT-3: the schema block of each table (≤ one line per column, so the
-    per-table list is bounded by the schema width)."""
+    per-table list is bounded by the schema width). FIXED VALUES: the wording
+    "Table Name", "Total Columns" and the line form are what prompts expect."""
     line = F.concat(F.col("position").cast("string"), F.lit(". `"), F.col("column_name"), F.lit("` ("),
                     F.col("type_label"), F.lit(") = "), F.coalesce(F.col("sample"), F.lit("NULL")))
     g = profile.groupBy("table_name").agg(

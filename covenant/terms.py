@@ -33,7 +33,8 @@ RESPONSE_PROPORTIONAL_RATE = 50.0
 # Monthly allowance of replication-lag breaches before a breach counts
 MONTHLY_BREACH_ALLOWANCE = 2
 
-# Per-severity response / resolution limits in minutes (incident fixtures)
+# Per-severity response / resolution limits in minutes: the library's own
+# defaults, not fixed by any contract
 SEVERITY_LIMITS = [
     # severity, initial response limit, resolution limit
     ("critical", 5, 120),
@@ -94,5 +95,3 @@ PROMPT_KEY_SEPARATOR = "||"
 # Proof id: first 16 hex characters of sha256(approval id || ISO time)
 PROOF_ID_HEX_CHARS = 16
 RESULT_SAMPLE_LIMIT = 1000
-PROOF_SAMPLE_LIMIT = 20
-COST_SAMPLE_LIMIT = 10
