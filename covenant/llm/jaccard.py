@@ -5,18 +5,25 @@ its columns. The product of the matrix with its transpose holds the overlap
 counts; it is taken only over tiles that can hold a link.
 
 1. Equal sets are one class; the rest works on one row per class.
-2. Size-derived bounds. Sets of sizes a and b that link differ in at most
-   ``(a + b) (1 - t) / (1 + t)`` n-grams, so sizes in a band have a largest
-   difference D. The columns are dealt into more than D blocks by hash; rows
-   that link agree on a whole block. A row therefore meets only rows with which
-   it shares (band, block, the block's content).
-3. Tiles. In each such group the rows are multiplied with the least row of the
-   group: overlaps are accumulated over column blocks, and a pair is discarded
-   as soon as its count and what is left cannot reach the bound.
-4. Links form components. A group whose rows are in one component needs no
-   other pair; in the others the next row is taken, until few enough pairs are
-   left to multiply them all. So no link between different components is lost,
-   and groups of near copies never form all their pairs.
+2. Size-derived bounds. Rows that link share at least t of the larger row's
+   n-grams, so of any order of the columns, the first ``n - ceil(t n) + 1``
+   columns of two linked rows have one in common, and for the smaller row it
+   is among its first ``n - ceil(2t/(1+t) n) + 1``; only rows that share such a
+   column meet, and places in the order bound what they can share behind it. The order is by rarity, so common passages come last: document
+   counts are added up over all documents in a sketch of ``CELLS`` counters.
+   Its errors only change the order, which is the same for all rows.
+3. Rows also carry how many of their columns fall into each of ``BUCKETS``
+   buckets; the sum of the smaller counts bounds a pair's overlap, and pairs
+   below the bound that their sizes ask for are discarded before any set moves.
+4. Tiles. The rows that meet in a column are multiplied with the least of
+   them, first each row with the one it meets most often: overlaps are
+   accumulated over column blocks, and a pair is discarded as soon as its count
+   and what is left cannot reach the bound.
+5. Links form components; pairs inside one are not multiplied again. Where all rows of a column are in one component, no
+   other pair is needed; where at most ``DIRECT`` rows meet, the pairs between
+   components are multiplied; else the next row is taken as in 4. So no link
+   between different components is lost, and groups of near copies never form
+   all their pairs.
 
 n-grams are compared by 64-bit hashes of whole n-grams.
 """
@@ -24,8 +31,8 @@ n-grams are compared by 64-bit hashes of whole n-grams.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,44 +44,25 @@ from pyspark.sql.window import Window
 from covenant.llm.common import SPACE, Words, inner_names, mix, passes, shingles, small_enough, stage_table
 from covenant.llm.graph import components
 
-#: Ratio of a band's largest to its least size.
-BAND = 1.6
+#: Counters of the rarity sketch (16 bits each, 2 MB), and its blocks when summed.
+CELLS = 1 << 20
+SKETCH_BLOCKS = 64
+#: Buckets of the counts that bound overlaps (16 bits each).
+BUCKETS = 64
 #: Rows multiplied with one row in a tile.
 TILE = 256
 #: Columns of a block of the product.
 COLUMNS = 2048
-#: Pairs left over all groups, per row in them, at which the rest is multiplied at once.
-PAIRS_PER_ROW = 4
+#: Rows that meet in a column up to which all their pairs are multiplied.
+DIRECT = 256
+#: Rows taken one by one from larger meetings before the rest is multiplied at once.
+PEELS = 4
 #: Bits of the bitmap that lets sets of candidates through; 512 kB.
 BITS = 22
 #: Classes with a decision up to which these are broadcast (about 40 bytes each).
 BROADCAST_CLASSES = 500_000
 
 _SALT = np.uint64(0xA24BAED4963EE407)
-_SPARSE = np.uint64(0x5851F42D4C957F2D)
-
-
-class Band:
-    """Sizes ``low`` to ``high``; ``diff`` is the largest difference of a linked pair; ``blocks`` > diff."""
-
-    def __init__(self, low: int, high: int, least: int, num: int, den: int):
-        self.low, self.high = low, high
-        self.diff = 2 * high * (den - num) // (den + num)
-        # room for blocks that stay empty in the smallest rows
-        blocks = self.diff + 1
-        while blocks - blocks * math.exp(-least / blocks) * 1.5 - 1 < self.diff + 1 and blocks < 2 * self.diff + 4:
-            blocks += max(1, blocks // 50)
-        self.blocks = blocks if self.diff else 0
-
-
-@lru_cache
-def bands(num: int, den: int) -> list[Band]:
-    out, low = [], 1
-    while low < 1 << 31:
-        high = max(low, int(low * BAND))
-        out.append(Band(low, high, -(-low * num // den), num, den))
-        low = high + 1
-    return out
 
 
 def row_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,40 +95,69 @@ def digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return _sums(doc, mix(h), n), _sums(doc, mix(h ^ _SALT), n)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature): the (band, block, content) groups of each row."""
-    table = bands(num, den)
-    lows = np.array([b.low for b in table])
-    blocks = np.array([b.blocks for b in table])
-    diffs = np.array([b.diff for b in table])
-    own = np.searchsorted(lows, sizes, side="right") - 1
-    spread, content = mix(h ^ np.uint64(0x1234567)), mix(h + _SALT)
-    docs, sigs = [], []
-    for step in (0, 1):
-        band = np.minimum(own + step, len(table) - 1)
-        use = (sizes > 0) & (blocks[band] > 0)
-        if step:
-            use &= sizes * den >= num * lows[band]
-        m = np.where(use, blocks[band], 0)
-        base = np.concatenate(([0], np.cumsum(m)))
-        mine = use[doc]
-        d = doc[mine]
-        slot = base[d] + ((spread[mine] >> np.uint64(32)) * m[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = _sums(slot, content[mine], int(base[-1]))
-        filled = np.zeros(int(base[-1]), bool)
-        filled[slot] = True
-        slot_doc = np.repeat(np.arange(len(sizes)), m)
-        place = np.arange(int(base[-1])) - base[slot_doc]
-        sig = mix(total + mix((band[slot_doc] * (1 << 32) + place).astype(np.uint64)))
-        docs.append(slot_doc[filled])
-        sigs.append(sig[filled])
-        # rows with so few filled blocks that two of them might agree on empty ones only
-        sparse = np.flatnonzero(use & (np.bincount(slot_doc[filled], minlength=len(sizes)) <= diffs[band]))
-        docs.append(sparse)
-        sigs.append(mix(band[sparse].astype(np.uint64) + _SPARSE))
-    doc_out, sig_out = np.concatenate(docs), np.concatenate(sigs)
-    order = np.argsort(doc_out, kind="stable")
-    return doc_out[order], sig_out[order]
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h + _SALT) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def rarity_sketch(rows: DataFrame, n: int) -> np.ndarray:
+    """Document counts of all n-grams, by cell, saturating.
+
+    Every task sends its counters in compressed blocks; blocks are added up in
+    two steps, so no task adds up more than about the root of the task count.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in passes(batch.column("text")):
+                _, h, _ = row_sets(Words(data, offsets, SPACE, lower=True), n)
+                cell, times = np.unique(_cells(h), return_counts=True)
+                sketch[cell] += times
+        yield _packed(sketch, int(np.random.default_rng().integers(1 << 20)))
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint16).astype(np.int64) for x in group.column("counters"))
+        return pa.table({"block": group.column("block")[:1], "part": group.column("part")[:1],
+                         "counters": pa.array([zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)])})
+
+    schema = "block int, part int, counters binary"
+    parts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    sent = rows.select("text").mapInArrow(run, schema).withColumn("part", F.pmod("part", F.lit(parts)))
+    summed = sent.groupBy("block", "part").applyInArrow(add, schema).withColumn("part", F.lit(0)).groupBy("block", "part").applyInArrow(add, schema)
+    out = np.zeros((SKETCH_BLOCKS, CELLS // SKETCH_BLOCKS), dtype=np.uint16)
+    for r in summed.collect():                     # SKETCH_BLOCKS rows, 2 MB
+        out[r.block] = np.frombuffer(zlib.decompress(r.counters), np.uint16)
+    return out.ravel()
+
+
+def _packed(sketch: np.ndarray, part: int) -> pa.RecordBatch:
+    blocks = np.minimum(sketch, 65535).astype(np.uint16).reshape(SKETCH_BLOCKS, -1)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_BLOCKS, dtype=np.int32)), pa.array(np.full(SKETCH_BLOCKS, part, np.int32)),
+                                       pa.array([zlib.compress(b.tobytes(), 1) for b in blocks])], names=["block", "part", "counters"])
+
+
+def prefixes(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, n-gram): the first ``size - ceil(t size) + 1`` n-grams of each row, rarest first."""
+    rank = (sketch[_cells(h)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    order = np.lexsort((rank, doc))              # stable, and h is sorted: ties are by h
+    doc, h = doc[order], h[order]
+    place = np.arange(len(doc)) - np.concatenate(([0], np.cumsum(sizes)))[doc]
+    take = place < (sizes - -(-sizes * num // den) + 1)[doc]
+    return doc[take], h[take]
+
+
+def bucket_counts(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
+    """Each row's columns by bucket; empty (no bound) where a count needs more than 16 bits."""
+    at = doc * BUCKETS + (mix(h ^ _SALT) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return [r.tobytes() if r.max() < 65535 else b"" for r in np.minimum(counts, 65535).astype(np.uint16)]
+
+
+def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Most columns that each pair of rows can share, by their bucket counts."""
+    free = np.array([not x or not y for x, y in zip(a, b)])
+    blank = bytes(2 * BUCKETS)
+    x, y = (np.frombuffer(b"".join(v or blank for v in side), np.uint16).reshape(-1, BUCKETS) for side in (a, b))
+    return np.where(free, np.iinfo(np.int64).max, np.minimum(x, y).sum(axis=1, dtype=np.int64))
 
 
 def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -148,8 +165,10 @@ def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _incidence(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """row, key, size, d1, d2 and the signatures of every document."""
+def _incidence(rows: DataFrame, n: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+    """row, key, size, d1, d2, bucket counts and the prefix of every document."""
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in passes(batch.column("text")):
@@ -158,24 +177,29 @@ def _incidence(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 d1, d2 = digests(doc, h, w.n_docs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)),
-                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(*signatures(doc, h, sizes, num, den), w.n_docs)],
-                    names=["row", "key", "size", "d1", "d2", "signatures"])
+                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(bucket_counts(doc, h, w.n_docs), pa.binary()),
+                     _lists(*prefixes(doc, h, sizes, shared.value, num, den), w.n_docs)],
+                    names=["row", "key", "size", "d1", "d2", "buckets", "prefix"])
 
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", rows.schema["key"].dataType),
-                           *T._parse_datatype_string("size long, d1 long, d2 long, signatures array<long>").fields])
+                           *T._parse_datatype_string("size long, d1 long, d2 long, buckets binary, prefix array<long>").fields])
     return rows.select("row", "key", "text").mapInArrow(run, schema)
 
 
 def _sets(rows: DataFrame, n: int, packed: np.ndarray) -> DataFrame:
     """d1, d2, size, grams: the sets whose digest the bitmap lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed).astype(bool)
+        bits, sent = np.unpackbits(packed).astype(bool), set()       # sent: digests, so copies in a task go once
         for batch in batches:
             for _, _, data, offsets in passes(batch.column("text")):
                 w = Words(data, offsets, SPACE, lower=True)
                 doc, h, sizes = row_sets(w, n)
                 d1, d2 = digests(doc, h, w.n_docs)
                 keep = bits[(d1 & np.uint64((1 << BITS) - 1)).astype(np.int64)] & (sizes > 0)
+                for i in np.flatnonzero(keep).tolist():
+                    digest = (int(d1[i]), int(d2[i]))
+                    keep[i] = digest not in sent
+                    sent.add(digest)
                 new = np.cumsum(keep) - 1
                 own = keep[doc]
                 yield pa.RecordBatch.from_arrays(
@@ -217,6 +241,38 @@ def tile_overlaps(pivot: np.ndarray, lists: list[np.ndarray], num: int, den: int
     return np.where(alive & (count >= need), count, -1)
 
 
+def _sets_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(row, grams) of those of ``rows`` that are in a pair, read from the texts."""
+    wanted = pairs.select("row").union(pairs.select("pivot")).distinct().join(rows.select("row", "d1", "d2", "size"), "row")
+    wanted = stage_table(wanted, "wanted-sets")
+    places = [r[0] for r in wanted.select(F.col("d1").bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
+    if not places:
+        return docs.sparkSession.createDataFrame([], "row long, grams array<long>")
+    bits = np.zeros(1 << BITS, dtype=bool)
+    bits[places] = True
+    found = _sets(docs, n, np.packbits(bits)).join(wanted, ["d1", "d2", "size"])
+    return stage_table(found.groupBy("d1", "d2", "size", "row").agg(F.any_value("grams").alias("grams")).select("row", "grams"), "sets")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (row, pivot, ...) that sizes and bucket counts allow to link."""
+    names = pairs.columns
+    side = rows.select("row", "size", "buckets")
+    other = rows.select(F.col("row").alias("pivot"), F.col("size").alias("other_size"), F.col("buckets").alias("other_buckets"))
+    both = (pairs.join(side, "row").where(F.col("row") != F.col("pivot")).join(other, "pivot")
+            .where(F.least("size", "other_size") * den >= F.greatest("size", "other_size") * num))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                most = overlap_bounds(batch.column("buckets").to_pylist(), batch.column("other_buckets").to_pylist())
+                total = batch.column("size").to_numpy() + batch.column("other_size").to_numpy()
+                batch = batch.filter(pa.array(most >= -(-total * num // (num + den))))
+            yield batch.select(names)
+
+    return both.select(*names, "size", "other_size", "buckets", "other_buckets").mapInArrow(run, pairs.schema)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Linked (u, v, overlap) of the candidate pairs (row, pivot), by tiles of the product."""
     tiles = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("tiles"))
@@ -237,50 +293,72 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("pivot", "tile").applyInArrow(run, "u long, v long, overlap long")
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (row, pivot) whose rows are in different components."""
+    out = pairs.join(comps.select(F.col("node").alias("row"), F.col("component").alias("a")), "row", "left")
+    out = out.join(comps.select(F.col("node").alias("pivot"), F.col("component").alias("b")), "pivot", "left")
+    return out.where(F.coalesce("a", "row") != F.coalesce("b", "pivot")).select("row", "pivot")
+
+
+def _with_links(comps: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components after the links among ``pairs`` are added."""
+    if pairs.isEmpty():
+        return comps
+    new = stage_table(_links(pairs, sets, num, den), "links").select("u", "v")
+    if new.isEmpty():
+        return comps
+    return components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new))
+
+
 def classes_and_components(docs: DataFrame, *, key: str, text: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows have row, key, size, d1, d2; classes d1, d2, size, rep, least_key, copies, component."""
     d = inner_names(docs, {key: "key", text: "text"}).withColumn("row", F.monotonically_increasing_id())
-    inc = stage_table(_incidence(d, shingle, num, den), "incidence")
-    rows = inc.drop("signatures")
+    inc = stage_table(_incidence(d, shingle, rarity_sketch(d, shingle), num, den), "incidence")
+    rows = inc.select("row", "key", "size", "d1", "d2")
     classes = stage_table(rows.where("size > 0").groupBy("d1", "d2", "size").agg(
         F.min("row").alias("rep"), F.min("key").alias("least_key"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("row"))
-    sig = inc.where(F.size("signatures") > 0).select("row", "signatures").join(reps, "row", "left_semi").select("row", F.explode("signatures").alias("sig"))
-    least = Window.partitionBy("sig")
-    groups = stage_table(sig.withColumn("pivot", F.min("row").over(least)).withColumn("last", F.max("row").over(least))
-                         .where("last > pivot").select("sig", "row", "pivot"), "groups")
-    wanted = groups.select("row").distinct().join(classes.select(F.col("rep").alias("row"), "d1", "d2", "size"), "row")
+    columns = inc.select("row", "size", "prefix").join(reps, "row", "left_semi").select("row", "size", F.posexplode("prefix").alias("at", "gram"))
+    columns = columns.withColumn("head", F.col("at") <= F.col("size") - F.ceil(F.col("size") * (2 * num) / (num + den)))
+    same = Window.partitionBy("gram")
+    met_in = columns.select("*", F.min("row").over(same).alias("pivot"), F.max("row").over(same).alias("last"), F.max("head").over(same).alias("any_head"))
+    groups = stage_table(met_in.where("last > pivot and any_head").select("gram", "row", "size", "at", "head", "pivot"), "groups")
+    wanted = groups.select("row").distinct().join(inc.select("row", "size", "d1", "d2", "buckets"), "row")
     wanted = stage_table(wanted, "candidate-rows")
-    places = [r[0] for r in wanted.select(F.col("d1").bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[places] = True
-    found = _sets(d, shingle, np.packbits(bits)).join(wanted, ["d1", "d2", "size"])
-    sets = stage_table(found.groupBy("row").agg(F.any_value("grams").alias("grams")), "candidate-sets")
-
-    links = stage_table(_links(groups.where("row <> pivot").select("row", "pivot").distinct(), sets, num, den), "links").select("u", "v")
-    comps = components(links)
+    met = groups.where("row <> pivot").groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    met = stage_table(_possible(met, wanted, num, den), "met")
+    sets = _sets_of(met, wanted, d, shingle)
+    first = met.groupBy("row").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+    comps = components(stage_table(_links(first, sets, num, den), "links").select("u", "v"))
+    later = _apart(met.select("row", "pivot").join(first, ["row", "pivot"], "left_anti"), comps)
+    comps = _with_links(comps, stage_table(later, "pairs"), sets, num, den)
+    taken = 0
     while True:
-        # what is left to compare: rows of a group, without its done pivots, in different components
-        rest = groups.where("row <> pivot").select("sig", "row").join(comps.withColumnRenamed("node", "row"), "row", "left")
+        # what is left to compare: rows of a column, without its done pivots, in different components
+        rest = groups.where("row <> pivot").select("gram", "row", "size", "at", "head").join(comps.withColumnRenamed("node", "row"), "row", "left")
         rest = rest.withColumn("component", F.coalesce("component", "row"))
-        mixed = rest.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"),
-                                        F.min("row").alias("pivot")).where("a < b").select("sig", "n", "pivot")
-        groups = stage_table(rest.join(mixed, "sig"), "groups")
-        n_rows, n_pairs = groups.agg(F.count(F.lit(1)), F.sum((F.col("n") - 1) / 2)).first()
-        if not n_rows:
-            break
-        if n_pairs <= PAIRS_PER_ROW * n_rows:
-            other = groups.select("sig", F.col("row").alias("other"), F.col("component").alias("other_component"))
-            pairs = groups.join(other, "sig").where("component <> other_component and row > other").select("row", F.col("other").alias("pivot")).distinct()
-        else:
-            head = groups.where("row = pivot").select("sig", F.col("component").alias("head"))
-            pairs = groups.where("row <> pivot").join(head, "sig").where("component <> head").select("row", "pivot").distinct()
-        new = stage_table(_links(pairs, sets, num, den), "links").select("u", "v")
-        if new.limit(1).count():
-            comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new))
-        if n_pairs <= PAIRS_PER_ROW * n_rows:
+        mixed = rest.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"),
+                                         F.min("row").alias("pivot"), F.max("head").alias("any_head")).where("a < b and any_head").select("gram", "n", "pivot")
+        rest = stage_table(rest.join(mixed, "gram"), "groups")
+        small = (F.col("n") <= DIRECT) | F.lit(taken >= PEELS)
+        taken += 1
+        few, many = rest.where(small), rest.where(~small)
+        other = few.where("head").select("gram", *[F.col(c).alias(f"other_{c}") for c in ("row", "size", "at", "component")])
+        behind = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))      # places are from 0
+        pairs = (few.join(other, "gram").where("other_size <= size and component <> other_component")
+                 .where(behind * (num + den) >= (F.col("size") + F.col("other_size")) * num)
+                 .select(F.greatest("row", "other_row").alias("row"), F.least("row", "other_row").alias("pivot"), "size", "other_size"))
+        head = many.where("row = pivot").select("gram", F.col("component").alias("pivot_component"), F.col("size").alias("other_size"))
+        more = many.where("row <> pivot").join(head, "gram").where("component <> pivot_component").select("row", "pivot", "size", "other_size")
+        fits = F.least("size", "other_size") * den >= F.greatest("size", "other_size") * num
+        pairs = pairs.union(more).where(fits).select("row", "pivot").distinct()
+        pairs = stage_table(_possible(pairs, wanted, num, den), "pairs")
+        if not pairs.isEmpty():
+            sets = sets.union(_sets_of(pairs, wanted.join(sets, "row", "left_anti"), d, shingle))
+            comps = _with_links(comps, pairs, sets, num, den)
+        groups = many.select("gram", "row", "size", "at", "head", "pivot")
+        if groups.isEmpty():
             break
-        groups = groups.select("sig", "row", "pivot")
     joined = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return rows, stage_table(joined.withColumn("component", F.coalesce("component", "rep")), "class-components")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from covenant.llm import jaccard
-from covenant.llm.jaccard import bands, jaccard_components, keep_one_of_each, tile_overlaps
+from covenant.llm.jaccard import jaccard_components, keep_one_of_each, tile_overlaps
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,10 +56,11 @@ def cases(odd_rows):
     return rows
 
 
-@pytest.mark.parametrize("k,num,den,few", [(3, 90, 100, 4), (5, 80, 100, 0.001)])
+@pytest.mark.parametrize("k,num,den,few", [(3, 90, 100, 64), (5, 80, 100, 2)])
 def test_components_against_brute_force(make_docs, odd_rows, monkeypatch, k, num, den, few):
-    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", few)
+    monkeypatch.setattr(jaccard, "DIRECT", few)
     monkeypatch.setattr(jaccard, "TILE", 5)
+    monkeypatch.setattr(jaccard, "PEELS", 2)
     rows = cases(odd_rows)
     want, _ = brute(rows, k, num, den)
     got = [tuple(r) for r in jaccard_components(make_docs(rows), shingle=k, num=num, den=den).collect()]
@@ -96,13 +97,26 @@ def test_tiles_discard_only_pairs_below_the_bound(monkeypatch):
         assert o == (both if 100 * both >= 90 * (len(x) + len(pivot) - both) else -1)
 
 
-def test_bands_cover_linked_sizes():
-    for num, den in ((90, 100), (80, 100)):
-        table = bands(num, den)
-        for a, b in zip(table, table[1:]):
-            assert b.low == a.high + 1
-            assert a.high * den < num * (b.high + 1) or b.diff == 0
-            assert b.diff == 0 or b.blocks > b.diff
+def test_bucket_bounds_hold():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    doc, h = np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets)
+    counts = jaccard.bucket_counts(doc, h, 40)
+    most = jaccard.overlap_bounds(counts[:20] + [b""], counts[20:] + [counts[0]])
+    assert all(m >= len(np.intersect1d(a, b)) for m, a, b in zip(most, sets[:20], sets[20:]))
+    assert most[-1] > 1 << 40
+
+
+def test_prefixes_of_linked_rows_meet():
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 50, jaccard.CELLS).astype(np.uint16)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
+            x, y = (jaccard.prefixes(np.zeros(len(h), np.int64), h, np.array([len(h)]), sketch, 90, 100)[1] for h in (a, b))
+            assert len(np.intersect1d(x, y))
 
 
 def test_empty(make_docs):
