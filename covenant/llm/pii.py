@@ -15,6 +15,15 @@ contexts of e: above ``remove_at`` it is removed, below it generalised.
 
 A context is ``CONTEXT`` code points on each side of the entity, so pairs grow
 with the number of entities, not with document length times entities.
+
+``whole=True`` (the query and the pipeline) counts terms and entities over whole
+documents instead, in different texts, and at units that recur too: the exact
+value, e-mail domain, phone, network and card prefix, and the kind. There is no
+least support: P(u | t) is replaced by its lower confidence bound,
+
+    disclosure = log2(low(docs(t, u) / docs(t)) * N / docs(u)) / IC(u)
+
+and a flagged word is marked in all documents that hold a unit.
 """
 
 from __future__ import annotations
@@ -47,6 +56,8 @@ CONTEXT = 48
 THRESHOLD = 0.8
 REMOVE_AT = 0.95
 SUPPORT = 3
+#: One-sided 95 % confidence of P(unit | term).
+CONFIDENCE = 1.645
 
 #: Bounds of what is broadcast; beyond them the same joins shuffle.
 BROADCAST_TERMS = 500_000
@@ -140,10 +151,110 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, *, threshold: float = T
             .groupBy("id").agg(F.collect_list(F.struct("start", "end", "remove")).alias("added")))
 
 
-def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def blank(text: Column, spans: Column) -> Column:
+    """The text with spans (start, end, ...) overwritten by spaces, all positions kept."""
+    empty = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit("")), 1, 0).alias("out"))
+
+    def rebuild(chars: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            start = F.greatest(acc["at"], s["start"])
+            gap = F.array_join(F.slice(chars, acc["at"] + 1, start - acc["at"]), "")
+            return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), F.concat(
+                acc["out"], F.array(gap, F.repeat(F.lit(" "), s["end"] - start))).alias("out"))).otherwise(acc)
+        return F.aggregate(F.array_sort(spans), empty, step, lambda acc: F.concat(
+            F.array_join(acc["out"], ""), F.array_join(F.slice(chars, acc["at"] + 1, F.size(chars)), "")))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), rebuild))
+
+
+def _words(text: Column, spans: Column) -> Column:
+    """The different words outside the spans, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(blank(text, spans), F.lit(WORD), F.lit(0)), F.lower))
+
+
+def units(span: Column) -> Column:
+    """array<string>: the entity of a span and the units that recur with others: its group and its kind."""
+    value, kind = F.lower(span["value"]), span["kind"].cast("string")
+    group = (F.when(span["kind"] == 0, F.element_at(F.split(value, "@"), -1))
+             .when(span["kind"] == 1, F.substring_index(value, ".", 2))
+             .when(span["kind"] == 2, F.left(_digits(value), F.lit(6))).otherwise(F.left(_digits(value), F.lit(4))))
+    return F.array(F.concat(F.lit("e"), kind, F.lit(":"), F.sha2(value, 256)), F.concat(F.lit("g"), kind, F.lit(":"), group),
+                   F.concat(F.lit("k"), kind))
+
+
+def lower_bound(hits: Column, of: Column, z: float) -> Column:
+    """Wilson's lower confidence bound of a share."""
+    p, n = hits / of, of.cast("double")
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT,
+                     confidence: float = CONFIDENCE) -> DataFrame:
+    """Per text id: ``terms``, its words (term, remove) that disclose a unit, counted over whole texts.
+
+    ``found``: one row per document (id, spans, words); equal texts count once.
+    A word can reach the threshold for u only with
+    docs(t) <= docs(u) ** threshold * N ** (1 - threshold), so commoner words
+    never meet units. Units of a single text have the same counts there and are
+    one unit, so pairs grow with words times recurring units.
+    """
+    often = stage_table(found.groupBy("id").count().where("count > 1").select("id"), "pii-copies")
+    if small_enough(often, BROADCAST_TEXTS):
+        often = F.broadcast(often)
+    one = found.select("id", "spans", "words")
+    texts = one.join(often, "id", "left_anti").unionByName(one.join(often, "id", "left_semi").dropDuplicates(["id"]))
+    n = float(found.select("id").distinct().count())
+    term_docs = stage_table(texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")), "pii-term-docs")
+
+    held = stage_table(texts.where(F.size("spans") > 0).select("id", F.explode(F.array_distinct(F.flatten(F.transform("spans", units)))).alias("unit")), "pii-units")
+    unit_docs = held.groupBy("unit").agg(F.count(F.lit(1)).alias("unit_docs")).where(F.col("unit_docs") < n)
+    if small_enough(unit_docs, BROADCAST_TERMS):
+        unit_docs = F.broadcast(unit_docs)
+    limit = F.pow(F.col("unit_docs"), F.lit(threshold)) * n ** (1 - threshold) * (1 + 1e-9)
+    held = (held.join(unit_docs, "unit").withColumn("unit", F.when(F.col("unit_docs") == 1, F.col("id")).otherwise(F.col("unit")))
+            .distinct().groupBy("id").agg(F.collect_list(F.struct("unit", "unit_docs", limit.alias("limit"))).alias("units")))
+    held = stage_table(held, "pii-held")
+    most = held.agg(F.max(F.array_max(F.transform("units", lambda u: u["limit"])))).first()[0] or 0.0
+
+    common = term_docs.where(F.col("term_docs") > most).select("term")
+    rare = term_docs.where(F.col("term_docs") <= most)
+    if small_enough(held, BROADCAST_TEXTS):
+        held = F.broadcast(held)
+    words = texts.where(F.size("spans") > 0).join(held, "id").select("units", F.explode("words").alias("term"))
+    if small_enough(common, BROADCAST_TERMS):
+        words = words.join(F.broadcast(common), "term", "left_anti")
+    pairs = (words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
+             .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")))
+    information = F.log2(F.lit(n) / F.col("unit_docs"))
+    pmi = F.log2(lower_bound(F.col("both"), F.col("term_docs"), confidence) * n / F.col("unit_docs"))
+    flagged = stage_table(pairs.withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold)
+                          .groupBy("term").agg((F.max("disclosure") >= remove_at).alias("remove")), "pii-flagged")
+    if small_enough(flagged, BROADCAST_TERMS):
+        flagged = F.broadcast(flagged)
+    return (texts.where(F.size("spans") > 0).select("id", F.explode("words").alias("term")).join(flagged, "term")
+            .groupBy("id").agg(F.collect_list(F.struct("term", "remove")).alias("terms")))
+
+
+def _whole_added(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
+    """Per text id: ``added``, the places of its disclosing words."""
+    terms = stage_table(disclosing_words(found, **limits), "pii-terms")
+    if small_enough(terms, BROADCAST_TEXTS):
+        terms = F.broadcast(terms)
+
+    def places(words: Column) -> Column:
+        return let(F.map_from_entries("terms"), lambda flags: F.transform(
+            F.filter(words, lambda w: F.map_contains_key(flags, F.lower(w["value"]))),
+            lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.try_element_at(flags, F.lower(w["value"])).alias("remove"))))
+    text = F.col("text")
+    return (texts.join(terms, "id").select("id", places(matches(blank(text, base_spans(text)), WORD)).alias("added"))
+            .dropDuplicates(["id"]))
+
+
+def _found(docs: DataFrame, key: str, text: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     d = inner_names(docs, {key: "key", text: "text"}).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("id", text_id(F.col("text")))
-    return d, stage_table(d.select("key", "id", base_spans(F.col("text")).alias("spans")), "pii-found")
+    found = d.select("key", "id", "text", base_spans(F.col("text")).alias("spans"))
+    return d, stage_table(found.select("key", "id", "spans", *([_words(F.col("text"), F.col("spans")).alias("words")] if whole else [])), "pii-found")
 
 
 def _added(column: str) -> Column:
@@ -151,23 +262,23 @@ def _added(column: str) -> Column:
     return F.coalesce(F.col(column), none)
 
 
-def pii_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+def pii_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole: bool = False, **limits) -> DataFrame:
     """Per input row: key, spans (array of start, kind position, end), base kinds and terms.
 
     Null texts are empty and have no spans; repeated rows come back as often;
     texts are read whole; other columns are ignored.
     """
-    texts, found = _found(docs, key, text)
-    added = disclosing_terms(found, texts, **limits)
+    texts, found = _found(docs, key, text, whole)
+    added = (_whole_added if whole else disclosing_terms)(found, texts, **limits)
     out = found.join(added, "id", "left")
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     terms = F.transform(_added("added"), lambda s: F.struct(s["start"].alias("start"), F.lit(TERM).alias("kind"), s["end"].alias("end")))
     return out.select(F.col("key").alias(key), F.concat(base, terms).alias("spans"))
 
 
-def pii_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+def pii_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole: bool = False, **limits) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text)."""
-    s = pii_spans(docs, key=key, text=text, **limits)
+    s = pii_spans(docs, key=key, text=text, whole=whole, **limits)
     base = F.filter("spans", lambda x: x["kind"] < TERM)
     return s.select(key, *[count_kind(F.col("spans"), n).alias(f"n_{k}") for n, k in enumerate(BASE_KINDS)],
                     sha256_text(joined(base, KINDS)).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
@@ -193,15 +304,15 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), rebuild))
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", **limits) -> DataFrame:
+def sanitise(docs: DataFrame, *, text: str = "text", whole: bool = False, **limits) -> DataFrame:
     """The input with its text sanitised; all rows and columns are kept.
 
     Base entities become placeholders, disclosing words are generalised to
     ``[WORD]`` or removed. Null texts stay null.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    d, found = _found(docs, docs.columns[0], text)
-    added = stage_table(disclosing_terms(found, d, **limits), "pii-added")
+    d, found = _found(docs, docs.columns[0], text, whole)
+    added = stage_table((_whole_added if whole else disclosing_terms)(found, d, **limits), "pii-added")
     if small_enough(added, BROADCAST_TEXTS):
         added = F.broadcast(added)
     own = F.col(names[text])

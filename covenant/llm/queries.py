@@ -95,7 +95,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.pii import pii_report
-    return pii_report(table(spark, sf_dir, "documents"))
+    return pii_report(table(spark, sf_dir, "documents"), whole=True)
 
 
 DECONTAMINATION_SQL = r"""
