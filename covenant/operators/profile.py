@@ -67,24 +67,27 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact_m
         if not exact_median:
             aggs.append(F.percentile_approx(x, 0.5, 10000).cast("double").alias(f"md{i}"))
     wide = df.agg(*aggs)
-    medians = {}
-    if exact_median:
-        medians = selection.exact_medians(df, cols)
     structs = []
     for i, c in enumerate(cols):
         n = F.col(f"n{i}")
-        med = (F.lit(medians.get(c)).cast("double") if exact_median else F.col(f"md{i}"))
+        med = F.lit(None).cast("double") if exact_median else F.round(F.col(f"md{i}"), 6)
         structs.append(F.struct(
             F.lit(c).alias("column_name"),
             F.lit(dict(df.dtypes)[c]).alias("type"),
             n.alias("count"), F.col(f"z{i}").alias("null_count"),
             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
             F.round(F.try_divide(F.col(f"s{i}"), n), 6).alias("mean"),
-            F.round(med, 6).alias("median"),
+            med.alias("median"),
             F.round(F.col(f"s{i}"), 6).alias("sum"),
             F.round(F.col(f"sd{i}"), 6).alias("std"),
         ))
-    return wide.select(F.inline(F.array(*structs))).filter(F.col("count") > 0)
+    out = wide.select(F.inline(F.array(*structs))).filter(F.col("count") > 0)
+    if not exact_median:
+        return out
+    # both sides have one row per column: a bounded join
+    found = selection.medians(df, cols).withColumnRenamed("median", "_median")
+    return (out.join(F.broadcast(found), "column_name", "left")
+            .select(*[F.round("_median", 6).alias(c) if c == "median" else c for c in out.columns]))
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,24 +2,21 @@
 
 ``percentile``/``median`` merge a map of every distinct value into a single
 final task for a global aggregate; on a wide, high-cardinality column that
-is unbounded. Here the k-th value is found by histogram refinement: each
-round buckets only the values inside the current bracket into ``buckets``
-ranges (a distributed, partially aggregated group-by whose output is
-targets × buckets rows), moves the bracket into the bucket holding rank k,
-and stops once the bracket holds at most ``final_rows`` values or a single
-distinct value. A hot value therefore ends the search immediately.
+is unbounded. Here one lazy plan counts the distinct values, deals them into
+chunks at sketched quantiles (monotone in the value, so any boundaries give
+exact results), takes chunk offsets from the one-row-per-chunk totals and
+ranks only inside the chunks that hold a wanted rank. Nothing but the results
+reaches the driver; infinities are ordinary values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-FINAL_ROWS = 100_000
-MAX_ROUNDS = 12
+CHUNKS = 256
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,97 +27,51 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def column_stats(long: DataFrame) -> dict:
-    """n, min, max per column in one pass (a row per column)."""
-    return {r["column_name"]: r for r in long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+def values_at(long: DataFrame, targets: DataFrame | None = None, chunks: int = CHUNKS) -> DataFrame:
+    """(column_name, k, v): the 0-based k-th smallest ``v`` of each target (column_name, k).
+
+    Without ``targets``, the one or two middle ranks of every column.
+    """
+    counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    cuts = [i / chunks for i in range(1, chunks)]
+    bounds = counts.groupBy("column_name").agg(F.percentile_approx("v", cuts, 10 * chunks).alias("_cuts"))
+    # one row per column: a proven-small broadcast side
+    dealt = (counts.join(F.broadcast(bounds), "column_name")
+             .select("column_name", "v", "cnt", F.size(F.filter("_cuts", lambda x: x <= F.col("v"))).alias("_chunk")))
+    totals = dealt.groupBy("column_name", "_chunk").agg(F.sum("cnt").alias("_total"))
+    column = Window.partitionBy("column_name")
+    totals = totals.select("column_name", "_chunk", "_total", F.sum("_total").over(column).alias("_n"), F.coalesce(
+        F.sum("_total").over(column.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    if targets is None:
+        middle = F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+        totals = totals.withColumn("k", F.explode(middle))
+    else:
+        totals = totals.join(F.broadcast(targets), "column_name")
+    wanted = totals.filter((F.col("k") >= F.col("_off")) & (F.col("k") < F.col("_off") + F.col("_total")))
+    # one chunk per target
+    inside = dealt.join(F.broadcast(wanted.select("column_name", "_chunk", "_off", "k")), ["column_name", "_chunk"])
+    upto = F.col("_off") + F.sum("cnt").over(Window.partitionBy("column_name", "_chunk", "k").orderBy("v"))
+    return (inside.withColumn("_upto", upto).filter((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("cnt")))
+            .select("column_name", "k", "v"))
 
 
 def kth_values(long: DataFrame, targets: dict[tuple[str, int], None] | Sequence[tuple[str, int]],
-               buckets: int = BUCKETS, final_rows: int = FINAL_ROWS,
-               stats: dict | None = None) -> dict[tuple[str, int], float]:
-    """Exact 0-based k-th smallest ``v`` per ``column_name`` for each (column, k)."""
-    spark: SparkSession = long.sparkSession
-    targets = list(dict.fromkeys(targets))
-    stats = stats if stats is not None else column_stats(long)
-    state = {}
-    for c, k in targets:
-        s = stats.get(c)
-        if s is None or not (0 <= k < s["n"]):
-            continue
-        state[(c, k)] = {"lo": s["lo"], "hi": s["hi"], "below": 0, "inside": s["n"]}
-    done: dict[tuple[str, int], float] = {}
-    for _ in range(MAX_ROUNDS):
-        active = []
-        for key, st in state.items():
-            if key in done:
-                continue
-            if st["lo"] == st["hi"]:
-                done[key] = st["lo"]
-            elif st["inside"] > final_rows:
-                active.append(key)
-        if not active:
-            break
-        tdf = _targets_frame(spark, [(i, c, state[(c, k)]["lo"], state[(c, k)]["hi"])
-                                     for i, (c, k) in enumerate(active)])
-        # targets are at most 2 per column: a proven-small broadcast side
-        j = long.join(F.broadcast(tdf), "column_name").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        b = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))
-        hist = (j.groupBy("tid", b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-                .collect())
-        per = {}
-        for r in hist:
-            per.setdefault(r["tid"], []).append(r)
-        for i, key in enumerate(active):
-            st = state[key]
-            k = key[1]
-            run = st["below"]
-            for r in sorted(per.get(i, []), key=lambda r: r["b"]):
-                if run + r["cnt"] > k:
-                    st.update(lo=r["bmin"], hi=r["bmax"], below=run, inside=r["cnt"])
-                    break
-                run += r["cnt"]
-    rest = [key for key in state if key not in done]
-    for key in rest:
-        if state[key]["lo"] == state[key]["hi"]:
-            done[key] = state[key]["lo"]
-    rest = [key for key in rest if key not in done]
-    if rest:
-        tdf = _targets_frame(spark, [(i, c, state[(c, k)]["lo"], state[(c, k)]["hi"])
-                                     for i, (c, k) in enumerate(rest)])
-        j = long.join(F.broadcast(tdf), "column_name").filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        vals = j.groupBy("tid", "v").agg(F.count(F.lit(1)).alias("cnt")).collect()   # ≤ final_rows per target
-        per = {}
-        for r in vals:
-            per.setdefault(r["tid"], []).append(r)
-        for i, key in enumerate(rest):
-            run = state[key]["below"]
-            for r in sorted(per.get(i, []), key=lambda r: r["v"]):
-                if run + r["cnt"] > key[1]:
-                    done[key] = r["v"]
-                    break
-                run += r["cnt"]
-    return done
-
-
-def _targets_frame(spark: SparkSession, rows):
-    return spark.createDataFrame(rows, "tid int, column_name string, lo double, hi double")
+               buckets: int = CHUNKS, final_rows: int | None = None) -> dict[tuple[str, int], float]:
+    """Exact 0-based k-th smallest ``v`` per ``column_name`` for each (column, k).
+
+    ``final_rows`` has no effect: no values are gathered.
+    """
+    wanted = long.sparkSession.createDataFrame(list(dict.fromkeys(targets)), "column_name string, k long")
+    return {(r["column_name"], r["k"]): r["v"] for r in values_at(long, wanted, buckets).collect()}
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, median): the mean of the two middle values."""
+    return values_at(long_values(df, columns)).groupBy("column_name").agg(
+        ((F.min("v") + F.max("v")) / 2.0).alias("median"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Interpolated median per column (mean of the two middle values)."""
-    long = long_values(df, columns)
-    stats = column_stats(long)
-    counts = {c: r["n"] for c, r in stats.items()}
-    targets = []
-    for c in columns:
-        n = counts.get(c, 0)
-        if n:
-            targets += [(c, (n - 1) // 2), (c, n // 2)]
-    kv = kth_values(long, targets, stats=stats)
-    out = {}
-    for c in columns:
-        n = counts.get(c, 0)
-        out[c] = None if not n else (kv[(c, (n - 1) // 2)] + kv[(c, n // 2)]) / 2.0
-    return out
+    found = {r["column_name"]: r["median"] for r in medians(df, columns).collect()}
+    return {c: found.get(c) for c in columns}
