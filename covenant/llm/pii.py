@@ -23,7 +23,7 @@ least support: P(u | t) is replaced by its lower confidence bound,
 
     disclosure = log2(low(docs(t, u) / docs(t)) * N / docs(u)) / IC(u)
 
-and a flagged word is marked in all documents that hold a unit.
+and a flagged word is marked in all documents, wherever it stands.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def lower_bound(hits: Column, of: Column, z: float) -> Column:
 
 def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT,
                      confidence: float = CONFIDENCE) -> DataFrame:
-    """Per text id: ``terms``, its words (term, remove) that disclose a unit, counted over whole texts.
+    """term, remove: the words that disclose a unit, counted over whole texts.
 
     ``found``: one row per document (id, spans, words); equal texts count once.
     A word can reach the threshold for u only with
@@ -229,25 +229,49 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
     pmi = F.log2(lower_bound(F.col("both"), F.col("term_docs"), confidence) * n / F.col("unit_docs"))
     flagged = stage_table(pairs.withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold)
                           .groupBy("term").agg((F.max("disclosure") >= remove_at).alias("remove")), "pii-flagged")
-    if small_enough(flagged, BROADCAST_TERMS):
-        flagged = F.broadcast(flagged)
-    return (texts.where(F.size("spans") > 0).select("id", F.explode("words").alias("term")).join(flagged, "term")
-            .groupBy("id").agg(F.collect_list(F.struct("term", "remove")).alias("terms")))
+    return flagged
+
+
+def word_places(text: Column, hits: Column) -> Column:
+    """array<struct<start, end, remove>> of the words numbered in ``hits`` (array<struct<i, remove>>).
+
+    Sums over blocks of about the square root of the word count, so the cost is
+    the words plus the hits times that root.
+    """
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+    def placed(words: Column, gaps: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.length(g) + F.length(w))
+
+        def blocks(step: Column, width: Column) -> Column:
+            n = F.floor((F.size(step) - 1) / width).cast("int")
+            sums = F.transform(F.sequence(F.lit(0), n), lambda b: total(F.slice(step, b * width + 1, width)))
+            bases = let(sums, lambda each: F.transform(F.sequence(F.lit(0), n), lambda b: total(F.slice(each, 1, b))))
+
+            def place(h: Column, base: Column) -> Column:
+                b = F.floor(h["i"] / width).cast("int")
+                start = F.get(base, b) + total(F.slice(step, b * width + 1, h["i"] - b * width)) + F.length(F.get(gaps, h["i"]))
+                return F.struct(start.alias("start"), (start + F.length(F.get(words, h["i"]))).alias("end"), h["remove"].alias("remove"))
+            return let(bases, lambda base: F.transform(hits, lambda h: place(h, base)))
+        return let(steps, lambda step: let(F.ceil(F.sqrt(F.size(step))).cast("int"), lambda width: blocks(step, width)))
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: let(F.split(text, WORD, -1), lambda gaps: placed(words, gaps)))
 
 
 def _whole_added(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
     """Per text id: ``added``, the places of its disclosing words."""
-    terms = stage_table(disclosing_words(found, **limits), "pii-terms")
-    if small_enough(terms, BROADCAST_TEXTS):
-        terms = F.broadcast(terms)
-
-    def places(words: Column) -> Column:
-        return let(F.map_from_entries("terms"), lambda flags: F.transform(
-            F.filter(words, lambda w: F.map_contains_key(flags, F.lower(w["value"]))),
-            lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.try_element_at(flags, F.lower(w["value"])).alias("remove"))))
-    text = F.col("text")
-    return (texts.join(terms, "id").select("id", places(matches(blank(text, base_spans(text)), WORD)).alias("added"))
-            .dropDuplicates(["id"]))
+    flagged = disclosing_words(found, **limits)
+    if small_enough(flagged, BROADCAST_TERMS):
+        flagged = F.broadcast(flagged)
+    ids = stage_table(found.select("id", F.explode("words").alias("term")).join(flagged, "term", "left_semi").select("id").distinct(), "pii-ids")
+    if small_enough(ids, BROADCAST_TEXTS):
+        ids = F.broadcast(ids)
+    clean = texts.join(ids, "id", "left_semi").select("id", let(base_spans(F.col("text")), lambda spans: blank(F.col("text"), spans)).alias("clean"))
+    clean = stage_table(clean.dropDuplicates(["id"]), "pii-clean")
+    hits = (clean.select("id", F.posexplode(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0))).alias("i", "word"))
+            .select("id", "i", F.lower("word").alias("term")).join(flagged, "term")
+            .groupBy("id").agg(F.collect_list(F.struct("i", "remove")).alias("hits")))
+    return clean.join(hits, "id").select("id", word_places(F.col("clean"), F.col("hits")).alias("added"))
 
 
 def _found(docs: DataFrame, key: str, text: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from covenant.llm import pii
-from covenant.llm.pii import TERM, pii_spans
+from covenant.llm.pii import CONTEXT, TERM, pii_spans, sanitise
 
 FILL = [f"plain{i}" for i in range(40)]
 
@@ -36,3 +36,17 @@ def test_bound(spark):
     for g, (a, b) in zip(got, ((1, 1), (20, 20), (5, 10))):
         z2, p = 1.645 ** 2, a / b
         assert abs(g - (p + z2 / 2 / b - 1.645 * math.sqrt(p * (1 - p) / b + z2 / 4 / b / b)) / (1 + z2 / b)) < 1e-12
+
+
+def test_terms_far_from_the_entity_and_without_it(make_docs):
+    """"farlow" stands beyond the context window, and in one text without any entity."""
+    far = " ".join(FILL)
+    assert len(far) > CONTEXT
+    rows = common_rows() + [(5000 + i, f"farlow {FILL[i]} {far} user{i}@desk.example.org farlow") for i in range(12)]
+    rows += [(7000, f"{FILL[3]} Farlow {FILL[5]}")]
+    docs = make_docs(rows)
+    assert term_words(docs) == {(5000 + i, "farlow") for i in range(12)} | {(7000, "Farlow")}
+    texts = {r.doc_id: r.text for r in sanitise(docs, whole=True).collect()}
+    assert texts[7000] == f"{FILL[3]} [WORD] {FILL[5]}"
+    assert texts[5000] == f"[WORD] {FILL[0]} {far} [EMAIL] [WORD]"
+    assert texts[0] == rows[0][1]
