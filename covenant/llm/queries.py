@@ -20,11 +20,18 @@ ORACLE: dict[str, str] = {}
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, unless the session sets its own.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Lets Python workers import this package when it is not installed.
 
     Where workers share no folder with the driver, ship it with ``--py-files``.
+    Batches of texts are bounded by bytes as well as by Spark's row count.
     """
+    if not spark.sparkContext.getConf().contains(ARROW_BATCH[0]):
+        spark.conf.set(*ARROW_BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
@@ -193,3 +200,69 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.lm import lm_scores
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+SEARCH_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), i as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), c as (
+  select count(*)::bigint as n, sum(len(w))::bigint as l from d where len(w) > 0
+), it as (
+  select q, item_id, t, count(*)::bigint as times from (select q, item_id, unnest(w) as t from i) group by q, item_id, t
+), p as (
+  select r, doc_id, m, t, count(*)::bigint as tf
+  from (select r, doc_id, 75 + (25 * len(w)::bigint * c.n) // c.l as m, unnest(w) as t from d, c)
+  where t in (select t from it) group by r, doc_id, m, t
+), f as (
+  select t, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)))::bigint as w from p, c group by t, c.n
+), s as (
+  select q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from it join f using (t) join p using (t) group by q, item_id, r, doc_id
+)
+select item_id, rank::integer as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= 20
+"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.simhash import simhash_components
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+FIM_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u,
+         sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents
+), g as (
+  select doc_id, t, u, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form from g
+), x as (
+  select doc_id, t, n, form, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256,
+       sha256(t) as restored_sha256 from x
+"""
+
+
+@query("op13_fill_in_middle", FIM_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from covenant.llm.fim import fill_in_middle_report
+    return fill_in_middle_report(table(spark, sf_dir, "documents"))
