@@ -36,17 +36,22 @@ PASS_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
+#: Bytes of one block of the hash tables; longer data reuse them with a factor per block.
+HASH_BLOCK = 1 << 18
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, 2 * len(_powers), PASS_BYTES)
-        p, q = np.full(n, _P, dtype=np.uint64), np.full(n, _P_INV, dtype=np.uint64)
-        p[0] = q[0] = 1
-        _powers, _inverse = np.cumprod(p), np.cumprod(q)
+def _powers(base: np.uint64) -> np.ndarray:
+    p = np.full(HASH_BLOCK, base, dtype=np.uint64)
+    p[0] = 1
+    return np.cumprod(p)
+
+
+_POWERS, _INVERSE = _powers(_P), _powers(_P_INV)
+
+
+def _block_factors(base: np.uint64, blocks: int) -> np.ndarray:
+    step = pow(int(base), HASH_BLOCK, 1 << 64)
+    return np.array([pow(step, b, 1 << 64) for b in range(blocks)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,16 +64,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of any byte ranges of ``data`` in O(1) each."""
+    """64-bit hashes of any byte ranges of ``data`` in O(1) each.
+
+    Holds one 64-bit prefix a byte; all tables have the length of one block.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        _grow(n + 1)
+        blocks = n // HASH_BLOCK + 1
+        self.undo = _block_factors(_P_INV, blocks)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[:n], out=self.prefix[1:])
+        for b, factor in enumerate(_block_factors(_P, blocks)):
+            lo, hi = b * HASH_BLOCK, min(n, (b + 1) * HASH_BLOCK)
+            part = (data[lo:hi].astype(np.uint64) + np.uint64(1)) * _POWERS[:hi - lo] * factor
+            np.cumsum(part, out=self.prefix[lo + 1:hi + 1])
+            self.prefix[lo + 1:hi + 1] += self.prefix[lo]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * _inverse[start]
+        h = (self.prefix[end] - self.prefix[start]) * _INVERSE[start % HASH_BLOCK] * self.undo[start // HASH_BLOCK]
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
