@@ -34,23 +34,29 @@ def detect_cost_columns(columns: Sequence[str]) -> dict[str, list[str]]:
 
 
 def cost_cells(df: DataFrame, detected: dict[str, list[str]] | None = None) -> DataFrame:
-    """Unpivot detected cost columns to (cost_type, column_name, amount)."""
+    """Unpivot detected cost columns to (cost_type, column_name, amount, lost).
+
+    ``lost`` tells that a cell has a value which is no amount of at most 24
+    digits before the point; such a cell counts as 0 in sums."""
     detected = detected if detected is not None else detect_cost_columns(df.columns)
     def lenient(c):
         # TYP-7: numbers cast directly, anything else parsed from text; bad → null
         if isinstance(df.schema[c].dataType, T.NumericType):
-            return F.col(c).try_cast(MONEY)
-        return F.col(c).cast("string").try_cast(MONEY)
-    cells = [F.struct(F.lit(t).alias("cost_type"), F.lit(c).alias("column_name"), lenient(c).alias("amount"))
+            return F.col(f"`{c}`").try_cast(MONEY)
+        return F.col(f"`{c}`").cast("string").try_cast(MONEY)
+    def cell(t, c):
+        return F.struct(F.lit(t).alias("cost_type"), F.lit(c).alias("column_name"), lenient(c).alias("amount"),
+                        (F.col(f"`{c}`").isNotNull() & lenient(c).isNull()).alias("lost"))
+    cells = [cell(t, c)
              for t, cols in detected.items() for c in cols]
     if not cells:
-        return df.sparkSession.createDataFrame([], f"cost_type string, column_name string, amount {MONEY}")
+        return df.sparkSession.createDataFrame([], f"cost_type string, column_name string, amount {MONEY}, lost boolean")
     return df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
 def cost_by_type(df: DataFrame, detected: dict[str, list[str]] | None = None) -> DataFrame:
-    """AGG-7: total per type (unparseable → 0), average over *all* rows,
-    and the source columns — one aggregate: every row yields one cell per
+    """AGG-7: total per type (unparseable → 0, counted in ``lost_values``),
+    average over *all* rows, and the source columns — one aggregate: every row yields one cell per
     detected column, so rows = cells of a type / its column count."""
     detected = detected if detected is not None else detect_cost_columns(df.columns)
     long = cost_cells(df, detected)
@@ -59,13 +65,14 @@ def cost_by_type(df: DataFrame, detected: dict[str, list[str]] | None = None) ->
     cols_txt = F.create_map(*[x for t, cs in detected.items() for x in (F.lit(t), F.lit(",".join(cs)))]) \
         if detected else F.create_map().cast("map<string,string>")
     tot = long.groupBy("cost_type").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("total"),
-                                        F.count(F.lit(1)).alias("cells"))
+                                        F.count(F.lit(1)).alias("cells"), F.count_if("lost").alias("lost_values"))
     rows = F.col("cells") / width[F.col("cost_type")]
     return tot.select(
         "cost_type",
         F.col("total").cast("double").alias("total"),
         (F.col("total").cast("double") / rows).alias("average"),
         cols_txt[F.col("cost_type")].alias("columns"),
+        "lost_values",
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import ParseException
@@ -19,31 +20,38 @@ def default_query(table_name: str) -> str:
     return f"SELECT * FROM {table_name}"
 
 
-def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Register ``tables`` as temp views and run one read-only statement.
+def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Run one read-only statement over ``tables`` and nothing else; at most ``limit`` rows.
 
-    Spark's analyzer binds names and types. The statement is analysed as a
-    subquery first, where the grammar has no commands, so DDL and DML (also
-    behind a WITH) and several statements are refused before anything runs;
-    files cannot be named as tables. The views are dropped once names are bound.
+    The statement is first analysed as a subquery in a session of its own, in
+    which empty tables of the given names and schemas are all there is: DDL, DML
+    (also behind a WITH), several statements, other tables and views, and files
+    named as tables are refused before anything runs. It is then bound to the
+    given frames under private view names; the caller's session keeps its own
+    views of any name, and its settings.
     """
     body = (sql or "").strip().rstrip(";")
     if not _LEADING.match(body):
         raise ValueError("only a single SELECT/WITH query is accepted")
-    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name, df in tables.items():
+        apart.createDataFrame([], df.schema).createOrReplaceTempView(name)
+    try:
+        if apart.sql(f"SELECT * FROM (\n{body}\n)").inputFiles():
+            raise ValueError("only the given tables can be read")
+    except ParseException as e:
+        raise ValueError("only a single SELECT/WITH query is accepted") from e
+    private = {name: f"_given_{uuid.uuid4().hex}" for name in tables}
     try:
         for name, df in tables.items():
-            df.createOrReplaceTempView(name)
-        try:
-            spark.sql(f"SELECT * FROM (\n{body}\n)").schema
-        except ParseException as e:
-            raise ValueError("only a single SELECT/WITH query is accepted") from e
-        return spark.sql(body)
+            df.createOrReplaceTempView(private[name])
+        given = ", ".join(f"`{n}` AS (SELECT * FROM {view})" for n, view in private.items())
+        out = spark.sql(f"{'WITH ' + given if given else ''} SELECT * FROM (\n{body}\n)")
     finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
-        for name in tables:
-            spark.catalog.dropTempView(name)
+        for view in private.values():
+            spark.catalog.dropTempView(view)
+    return out if limit is None else out.limit(limit)
 
 
 def bounded_sample(df: DataFrame, order: Sequence[str], n: int = terms.RESULT_SAMPLE_LIMIT) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Join helpers: size-checked broadcast and a bucketed range (interval) join."""
+"""Join helpers: size-checked broadcast and zone-free time numbers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +21,3 @@ def micros(ts: Column) -> Column:
     """Microseconds since 1970 for a TIMESTAMP_NTZ, independent of session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             ts.cast("timestamp_ntz"))
-
-
-def interval_buckets(start: Column, end: Column, bucket_micros: int) -> Column:
-    """Array of bucket ids an interval [start, end] touches."""
-    return F.sequence(F.floor(micros(start) / bucket_micros), F.floor(micros(end) / bucket_micros))
-
-
-def point_in_interval(points: DataFrame, ts_col: str, intervals: DataFrame, start_col: str,
-                      end_col: str, how: str = "left_anti", on: Sequence[str] = (),
-                      bucket_micros: int = 3_600_000_000) -> DataFrame:
-    """Range join ``start <= ts <= end`` as an equi-join on time buckets.
-
-    Each interval is exploded to the buckets it covers (bounded by its
-    length / bucket size); each point maps to exactly one bucket; the range
-    predicate is then checked on candidate pairs only. ``how`` is
-    ``left_semi`` (points inside some interval) or ``left_anti`` (outside
-    all), so a point is emitted at most once.
-    """
-    # an open interval (null end) lasts until the last point; a reversed one covers nothing
-    last = points.agg(F.max(ts_col)).first()[0]
-    iv = intervals.select(*on, F.col(start_col).alias("_s"), F.coalesce(F.col(end_col), F.lit(last)).alias("_e")).where("_s <= _e")
-    iv = iv.withColumn("_b", F.explode(interval_buckets(F.col("_s"), F.col("_e"), bucket_micros)))
-    pts = points.withColumn("_b", F.floor(micros(F.col(ts_col)) / bucket_micros))
-    cond = [pts["_b"] == iv["_b"]] + [pts[k] == iv[k] for k in on]
-    cond.append(pts[ts_col].between(iv["_s"], iv["_e"]))
-    return pts.join(iv, on=cond, how=how).drop("_b")

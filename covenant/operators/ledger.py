@@ -1,5 +1,5 @@
-"""Ledger tables: joins along the proof chain, approval folding, proofs and
-their hashes, dashboards (JN-1..4/8, AUD-1..9, FLT-3/6..9, AGG-14/21).
+"""Ledger tables: joins along the proof chain, approval folding, dashboards
+(JN-1..4/8, AUD-1/2/6..9, FLT-3/6..9, AGG-14/21).
 
 Joins are written against pre-aggregated sides (one row per key) so a 1:n
 fan-out never multiplies a wide row; dimension tables with a fixed size
@@ -112,12 +112,13 @@ def resolve_types(df: DataFrame, type_col: str, registry: DataFrame | None = Non
 
 
 def approval_queue(calculations: DataFrame, approvals: DataFrame) -> DataFrame:
-    """AUD-1: successful calculations whose approval is still pending, or for
-    which none has been opened (escalation unknown: null)."""
+    """AUD-1: successful calculations whose latest approval (greatest id) is
+    still pending, or for which none has been opened (escalation unknown: null)."""
     c = calculations.filter(F.col("execution_status") == "success").select(
         F.col("id").alias("calculation_id"), "query_id", "executed_at")
-    a = approvals.select("calculation_id", "requires_escalation", F.col("request_status").alias("_status"))
-    return c.join(a, "calculation_id", "left").filter(F.coalesce(F.col("_status") == "pending", F.lit(True))).drop("_status")
+    a = approvals.groupBy("calculation_id").agg(F.max_by(F.struct("request_status", "requires_escalation"), "id").alias("_a"))
+    return (c.join(a, "calculation_id", "left").filter(F.col("_a").isNull() | F.coalesce(F.col("_a.request_status") == "pending", F.lit(True)))
+            .select(*c.columns, F.col("_a.requires_escalation").alias("requires_escalation")))
 
 
 DECISION_STATE = {"approve": "approved", "reject": "rejected", "escalate": "escalated", "revoke": "revoked"}
@@ -138,62 +139,6 @@ def fold_decisions(log: DataFrame, key: str = "calculation_id") -> DataFrame:
     return g.select(key, state.alias("state"), "decided_at", "decisions")
 
 
-def proof_documents(approvals: DataFrame, calculations: DataFrame, queries: DataFrame, documents: DataFrame,
-                    users: DataFrame, costs: DataFrame) -> DataFrame:
-    """AUD-3: one proof row per approved approval, with all its cost lines as
-    JSON texts in their own order (a calculation's lines are one proof's
-    content, so they have to meet in one row)."""
-    chain = proof_chain(approvals, calculations, queries, documents)
-    a = approvals.select(F.col("id").alias("approval_id"), "approved_by", "requires_escalation")
-    u = users.select(F.col("id").alias("approved_by"), F.col("username").alias("approver"))
-    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in LINE_FIELDS]), {"ignoreNullFields": "false"})
-    k = costs.groupBy("calculation_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("calculated_cost").alias("calc"),
-                                            F.array_sort(F.collect_list(line)).alias("cost_breakdown"))
-    p = chain.join(a, "approval_id").join(u, "approved_by", "left").join(k, "calculation_id", "left")
-    return p.select(
-        "approval_id", "calculation_id", "filename", "document_type", "execution_status",
-        F.coalesce("lines", F.lit(0)).cast("bigint").alias("cost_lines"),
-        F.coalesce(F.col("calc"), F.lit(0)).cast("decimal(28,4)").alias("calculated_total"),
-        F.date_format("approval_date", ISO_SECONDS).alias("approval_date_iso"),
-        F.col("approver").alias("approved_by"), "requires_escalation",
-        F.coalesce("cost_breakdown", F.array().cast("array<string>")).alias("cost_breakdown"))
-
-
-LINE_FIELDS = ("calculated_cost", "cost_currency", "cost_type", "delta_cost", "original_cost", "period_end", "period_start")
-PROOF_FIELDS = ("approval_date_iso", "approval_id", "approved_by", "calculated_total", "calculation_id", "cost_lines",
-                "document_type", "execution_status", "filename", "requires_escalation")
-
-
-def canonical(p: DataFrame) -> Column:
-    """AUD-4: the proof's canonical text — a JSON object of its fields as
-    texts, in sorted order, nulls kept and characters escaped, then one JSON
-    line per cost line."""
-    head = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in PROOF_FIELDS]), {"ignoreNullFields": "false"})
-    return F.array_join(F.concat(F.array(head), F.col("cost_breakdown")), "\n")
-
-
-def with_proof_hash(p: DataFrame) -> DataFrame:
-    return p.withColumn("proof_hash", F.sha2(canonical(p), 256))
-
-
-def verify(p: DataFrame, stored: str = "proof_hash") -> DataFrame:
-    """AUD-5: recompute and compare; a missing stored hash never verifies."""
-    return p.withColumn("verified", F.coalesce(F.sha2(canonical(p), 256) == F.col(stored), F.lit(False)))
-
-
-def verify_demo(p: DataFrame) -> DataFrame:
-    """Store hashes (none for escalated proofs), alter the filename of proofs
-    with more than five cost lines and drop the last line of those with three
-    to five, then verify every proof."""
-    stored = with_proof_hash(p).withColumn(
-        "proof_hash", F.when(F.col("requires_escalation"), F.lit(None).cast("string")).otherwise(F.col("proof_hash")))
-    tampered = stored.withColumn("filename", F.when(F.col("cost_lines") > 5, F.lit("tampered.txt"))
-                                 .otherwise(F.col("filename")))
-    tampered = tampered.withColumn("cost_breakdown", F.when(F.col("cost_lines").between(3, 5), F.slice("cost_breakdown", 1, F.col("cost_lines").cast("int") - 1))
-                                   .otherwise(F.col("cost_breakdown")))
-    return verify(tampered).select("approval_id", "verified")
-
-
 def proof_id(approval_id: Column, at: Column) -> Column:
     """AUD-6: first 16 hex of sha256(approval id || ISO time); time is an input."""
     return F.substring(F.sha2(F.concat(approval_id.cast("string"), F.date_format(at, ISO_SECONDS)), 256),

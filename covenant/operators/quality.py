@@ -1,7 +1,7 @@
 """Data-quality checks on a result frame (DQ-1..12).
 
-All per-column metrics come from one aggregate pass plus one exact-distinct
-pass; checks are then generated as rows ``(column_name, check, severity,
+All per-column metrics come from one aggregate pass, plus one exact-distinct
+pass over the columns whose check needs it; checks are then generated as rows ``(column_name, check, severity,
 value, detail)`` — only the checks that fire are kept, as in a report.
 """
 
@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.operators.profile import columns_of, distinct_counts, kind_of
+from covenant.operators.profile import DISTINCT_HASH_OVER, distinct_counts, kind_of
 
+#: Relative error of the distinct sketch, and the share of rows from which a column may be all unique.
+SKETCH_ERROR = 0.02
+UNIQUE_FROM = 0.85
 NULL_WARN_PCT = 50.0
 LARGE_VALUE = 1e10
 
@@ -34,10 +37,16 @@ def _check(col: str, check: str, severity: str, value: str, detail: str | None,
 
 
 def dq_report(df: DataFrame) -> DataFrame:
+    """DQ-1..9 of all columns.
+
+    The one aggregate pass also decides which columns need an exact distinct
+    count: a constant column is known from its bounds, a string column with
+    nulls or with a sketched count well below its rows cannot be all unique.
+    Only id-like columns and the remaining string columns are counted exactly.
+    """
     fields = df.schema.fields
-    id_like = [f.name for f in fields if kind_of(f.dataType) == "numeric" and "id" in f.name.lower()]
-    strings = columns_of(df, "string")
     aggs = ["count(1) AS _rows"]
+    id_like, strings = [], []
     for i, f in enumerate(fields):
         c, k = _q(f.name), kind_of(f.dataType)
         if k == "numeric":      # NaN counts as null
@@ -45,18 +54,29 @@ def dq_report(df: DataFrame) -> DataFrame:
         aggs += [f"count_if(({c}) IS NULL) AS z{i}", f"count({c}) AS n{i}"]
         if k == "numeric":
             aggs += [f"count_if(({c}) < 0) AS neg{i}", f"max(CAST(({c}) AS DOUBLE)) AS mx{i}"]
+            if "id" in f.name.lower():
+                id_like.append(i)
+                aggs.append(f"min({c}) = max({c}) AS one{i}")
         if k == "datetime":
             aggs += [f"min(CAST({c} AS TIMESTAMP_NTZ)) AS lo{i}", f"max(CAST({c} AS TIMESTAMP_NTZ)) AS hi{i}"]
+        if k == "string":
+            strings.append(i)
+            key = f"CASE WHEN length({c}) > {DISTINCT_HASH_OVER} THEN sha2({c}, 256) ELSE {c} END"
+            aggs += [f"min({key}) = max({key}) AS one{i}", f"approx_count_distinct({key}, {SKETCH_ERROR}) AS est{i}"]
     wide = df.agg(*[F.expr(a) for a in aggs])
-    uq = {}
-    if id_like or strings:
-        uniq = distinct_counts(df, id_like + strings)
+    row = wide.first()
+    wide = df.sparkSession.createDataFrame([tuple(row)], wide.schema)
+    exact = [i for i in id_like if row[f"n{i}"] and not row[f"one{i}"]]
+    exact += [i for i in strings if row[f"n{i}"] == row["_rows"] > 0 and not row[f"one{i}"] and row[f"est{i}"] >= UNIQUE_FROM * row["_rows"]]
+    if exact:
+        names = [fields[i].name for i in exact]
         # one pivoted row: a single aggregate over ≤ #columns rows
-        piv = uniq.groupBy().pivot("column_name", id_like + strings).agg(F.first("unique_values"))
-        piv = piv.select(*[F.col(_q(c)).alias(f"u{j}") for j, c in enumerate(id_like + strings)])
+        piv = distinct_counts(df, names).groupBy().pivot("column_name", names).agg(F.first("unique_values"))
+        piv = piv.select(*[F.col(_q(c)).alias(f"u{i}") for i, c in zip(exact, names)])
         both = wide.unionByName(piv, allowMissingColumns=True)
         wide = both.agg(*[F.expr(f"max({c}) AS {c}") for c in both.columns])
-        uq = {c: f"coalesce(u{j}, 0)" for j, c in enumerate(id_like + strings)}
+    # the exact count, 1 where the bounds tell it, unknown (and then no check can fire) otherwise
+    uq = {fields[i].name: f"coalesce(u{i}, 0)" if i in exact else "1" if row[f"one{i}"] else "CAST(NULL AS BIGINT)" for i in id_like + strings}
     checks = [_check("*", "has_results", "'warning'", "_rows", "'Query returned no results'", "_rows = 0"),
               _check("*", "total_nulls", "'metric'", " + ".join([f"z{i}" for i in range(len(fields))] or ["0"]),
                      None, "_rows > 0")]

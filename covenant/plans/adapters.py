@@ -106,6 +106,8 @@ def cost_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (calc - orig).cast("decimal(18,4)").alias("delta_cost"),
         F.trunc(F.to_date("l_shipdate"), "MM").alias("period_start"),
         F.last_day(F.to_date("l_shipdate")).alias("period_end"),
+        F.when(F.col("l_returnflag") == "R", "units").otherwise("money").alias("cost_unit"),
+        F.when(F.col("l_linenumber") > 1, F.concat(F.lit('{"line": '), F.col("l_linenumber").cast("string"), F.lit("}"))).alias("cost_details"),
     )
 
 
@@ -118,7 +120,9 @@ SELECT l_orderkey, l_linenumber, l_orderkey AS calculation_id,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(18,2)) - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS calculated_cost,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(18,2)) - CAST(l_discount AS DECIMAL(18,2))) - CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS delta_cost,
        CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start,
-       last_day(CAST(l_shipdate AS DATE)) AS period_end
+       last_day(CAST(l_shipdate AS DATE)) AS period_end,
+       CASE WHEN l_returnflag = 'R' THEN 'units' ELSE 'money' END AS cost_unit,
+       CASE WHEN l_linenumber > 1 THEN '{"line": ' || CAST(l_linenumber AS VARCHAR) || '}' END AS cost_details
 FROM lineitem"""
 
 
@@ -154,6 +158,7 @@ def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("n_regionkey") == 2, "insurance")
          .when(F.col("n_regionkey") == 3, "service_agreement").otherwise("lease").alias("document_type"),
         F.col("n_regionkey").alias("uploaded_by"),
+        F.timestamp_add("DAY", F.col("n_nationkey").cast("int"), F.lit("1992-01-01 08:30:00").cast("timestamp_ntz")).alias("upload_date"),
     )
 
 
@@ -162,7 +167,7 @@ SELECT n_nationkey AS id, lower(n_name) || '_contract.txt' AS filename,
        CASE WHEN n_regionkey = 0 THEN 'sla' WHEN n_regionkey = 1 THEN 'SLA'
             WHEN n_regionkey = 2 THEN 'insurance' WHEN n_regionkey = 3 THEN 'service_agreement'
             ELSE 'lease' END AS document_type,
-       n_regionkey AS uploaded_by
+       n_regionkey AS uploaded_by, TIMESTAMP '1992-01-01 08:30:00' + to_days(CAST(n_nationkey AS INTEGER)) AS upload_date
 FROM nation"""
 
 
@@ -175,6 +180,8 @@ def ledger_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SELECT * FROM billing WHERE transaction_count > "),
                  F.col("c_custkey").cast("string")).alias("query_text"),
         F.lit(0.85).alias("extraction_confidence"),
+        F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit('{"min_transactions": '), F.col("c_custkey").cast("string"), F.lit("}")))
+         .alias("extracted_terms"),
         F.when(F.col("c_acctbal") < 0, "invalid")
          .when(F.col("c_mktsegment") == "HOUSEHOLD", "pending").otherwise("valid").alias("validation_status"),
     )
@@ -183,7 +190,8 @@ def ledger_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_QUERIES_SQL = """
 SELECT c_custkey AS id, c_nationkey AS document_id,
        'SELECT * FROM billing WHERE transaction_count > ' || CAST(c_custkey AS VARCHAR) AS query_text,
-       0.85 AS extraction_confidence,
+       CAST(0.85 AS DOUBLE) AS extraction_confidence,
+       CASE WHEN c_custkey % 5 > 0 THEN '{"min_transactions": ' || CAST(c_custkey AS VARCHAR) || '}' END AS extracted_terms,
        CASE WHEN c_acctbal < 0 THEN 'invalid' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'pending'
             ELSE 'valid' END AS validation_status
 FROM customer"""
@@ -200,6 +208,11 @@ def calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("passed").alias("sanity_check_status"),
         F.col("o_totalprice").alias("result_value"),
         F.col("o_orderdate").alias("executed_at"),
+        (F.col("o_orderkey") % 31).alias("result_rows_count"),
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("o_orderkey") % 31), lambda i: F.concat_ws(
+            ":", F.col("o_orderpriority"), i.cast("string"))).alias("result_data"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("high value, clerk "), F.col("o_custkey").cast("string")))
+         .alias("sanity_check_details"),
     )
 
 
@@ -209,7 +222,9 @@ SELECT o_orderkey AS id, o_custkey AS query_id,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'warning' WHEN o_orderpriority = '5-LOW' THEN 'failed'
             ELSE 'passed' END AS sanity_check_status,
        o_totalprice AS result_value,
-       o_orderdate AS executed_at
+       o_orderdate AS executed_at, o_orderkey % 31 AS result_rows_count,
+       [o_orderpriority || ':' || CAST(i AS VARCHAR) FOR i IN range(0, o_orderkey % 31 + 1)] AS result_data,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'high value, clerk ' || CAST(o_custkey AS VARCHAR) END AS sanity_check_details
 FROM orders"""
 
 
@@ -225,6 +240,7 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("approved_by"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("approval_date"),
         (F.col("o_orderpriority") == "1-URGENT").alias("requires_escalation"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("checked \""), F.col("o_orderpriority"), F.lit("\""))).alias("approver_comments"),
     )
 
 
@@ -234,7 +250,8 @@ SELECT o_orderkey AS id, o_orderkey AS calculation_id,
             ELSE 'rejected' END AS request_status,
        CASE WHEN o_orderstatus <> 'O' THEN o_custkey END AS approved_by,
        CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS approval_date,
-       (o_orderpriority = '1-URGENT') AS requires_escalation
+       (o_orderpriority = '1-URGENT') AS requires_escalation,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'checked "' || o_orderpriority || '"' END AS approver_comments
 FROM orders"""
 
 
@@ -487,15 +504,23 @@ SELECT b.*, s.s_suppkey AS contract_id FROM billing b JOIN supplier s ON s.s_sup
 
 
 def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announced maintenance: 30-minute windows opened by large signup events."""
-    ev = table(spark, sf_dir, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 450))
-    return ev.select(F.col("event_id").alias("window_id"), F.col("ts").alias("window_start"),
-                     F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("window_end"))
-
-
-MAINTENANCE_SQL = """
-SELECT event_id AS window_id, ts AS window_start, ts + INTERVAL 30 MINUTE AS window_end
-FROM events WHERE event_type = 'signup' AND value > 450"""
+    """Announced maintenance of a service: windows of 30 to 270 minutes, opened by large signup events."""
+    ev = table(spark, sf_dir, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 130))
+    n = F.col("event_id")
+    return ev.select(n.alias("window_id"), F.element_at(F.array(*[F.lit(s) for s in MAINTAINED]), (n % len(MAINTAINED) + 1).cast("int")).alias("service"),
+                     F.when(F.col("user_id") % 3 == 0, "emergency").otherwise("scheduled").alias("kind"),
+                     (F.col("user_id") % 97).cast("int").alias("notice_hours"), F.col("ts").alias("window_start"),
+                     F.timestamp_add("MINUTE", (30 + 60 * (n % 5)).cast("int"), F.col("ts")).alias("window_end"))
+
+
+MAINTAINED = ["view", "signup", "click", "error", "purchase"]
+
+MAINTENANCE_SQL = f"""
+SELECT event_id AS window_id, {MAINTAINED!r}[event_id % {len(MAINTAINED)} + 1] AS service,
+       CASE WHEN user_id % 3 = 0 THEN 'emergency' ELSE 'scheduled' END AS kind,
+       CAST(user_id % 97 AS INTEGER) AS notice_hours, ts AS window_start,
+       ts + to_minutes(30 + 60 * (event_id % 5)) AS window_end
+FROM events WHERE event_type = 'signup' AND value > 130"""
 
 
 VIEW_SQL = {

@@ -11,15 +11,19 @@ from covenant.plans.registry import register
 from covenant.sources import files as fs
 from covenant.sources import sinks as sk
 from covenant.streaming import penalties as sp
+from covenant.plans.q_profile import _dq_sql, _statistics_sql
 from covenant.plans.q_rules import RULE_CTES
+from covenant.sources import runs as rn
+
+#: The statement of the recorded run: penalties of the rows below the uptime target.
+RUN_SQL = ("SELECT l_orderkey, l_linenumber, incident_date, uptime_percent, CASE WHEN uptime_percent < 98.0 THEN 1500.0 ELSE 500.0 END AS penalty, "
+           "CASE WHEN error_rate > 0.4 THEN 'high' END AS note FROM billing WHERE uptime_percent < 99.0")
+RUN_KINDS = [("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("incident_date", "datetime"), ("uptime_percent", "numeric"),
+             ("penalty", "numeric"), ("note", "string")]
+RUN_TYPES = {"l_orderkey": "bigint", "l_linenumber": "int", "incident_date": "date", "uptime_percent": "double", "penalty": "decimal(5,1)", "note": "string"}
+RUN_RESULT_SQL = RUN_SQL.replace("AS penalty", "::DECIMAL(5,1) AS penalty").replace("CASE WHEN uptime", "(CASE WHEN uptime").replace("END ::", "END)::")
+
 
-_LEDGER_SQL = with_views("""
-SELECT v.contract_id, CAST(date_trunc('month', incident_date) AS DATE) AS month, count(*) AS violations,
-       CAST(sum(penalty) AS DOUBLE) AS raw_total,
-       least(CAST(sum(penalty) AS DOUBLE), max(t.monthly_cap)) AS capped_total, 2 AS run_id
-FROM violations v JOIN terms t ON t.contract_id = v.contract_id
-GROUP BY v.contract_id, CAST(date_trunc('month', incident_date) AS DATE)""",
-    "rule_responses", "billing_contracts", extra=RULE_CTES)
 _RESULTS_SQL = with_views("""
 SELECT 'run-1' AS run_id, metric, count(*) AS rows, round(CAST(sum(penalty) AS DOUBLE), 4) AS penalty
 FROM violations GROUP BY metric""", "rule_responses", "billing_contracts", extra=RULE_CTES)
@@ -88,17 +92,41 @@ def cache_scan(spark, d):
                        F.col("usage.output_tokens").alias("output_tokens"))
 
 
-@register("ledger_append", "SNK-1", oracle=_LEDGER_SQL)
+def recorded_run(spark, d, sql=RUN_SQL, run_id="run-1", base=None):
+    base = base or sk.scratch_path(spark, "runs")
+    return rn.run_record(spark, sql, A.billing(spark, d), "billing", run_id=run_id, results=f"{base}/results", ledger=f"{base}/ledger",
+                         query_id="penalties", source_file="lineitem.parquet", order=["l_orderkey", "l_linenumber", "uptime_percent"], sample_limit=100)
+
+
+@register("ledger_append", "SNK-1", oracle=with_views(f"""
+SELECT 'run-1' AS run_id, 'penalties' AS query_id, 'success' AS execution_status, 'billing' AS table_name, 'lineitem.parquet' AS source_file,
+       count(*) AS rows_count, '{",".join(c for c, _ in RUN_KINDS)}' AS columns, '{",".join(RUN_TYPES.values())}' AS column_types,
+       '0,0,0,0,0,' || count(*) FILTER (WHERE note IS NULL) AS null_counts,
+       CAST(least(count(*), 100) AS INTEGER) AS sample_rows, count(*) > 100 AS sample_truncated, 100 AS sample_limit,
+       CASE WHEN count(*) FILTER (WHERE note IS NULL) > 0.5 * count(*) THEN 'warning' ELSE 'passed' END AS sanity_check_status,
+       (SELECT count(*) FROM billing) AS input_rows, 8 AS input_columns, count(*) AS output_rows, 6 AS output_columns
+FROM run_result""", "billing", extra={"run_result": RUN_RESULT_SQL}))
 def ledger_append(spark, d):
-    from covenant.operators.windows import latest_per_key
-    from covenant.plans.q_rules import monthly_cap
-    totals = monthly_cap(spark, d)
-    path = sk.scratch_path(spark, "ledger")
-    for run in (1, 2):
-        sk.append_ledger(totals.withColumn("run_id", F.lit(run)), path, ["run_id"])
-    back = spark.read.parquet(path)
-    return latest_per_key(back, ["contract_id", "month"], ["run_id"],
-                          ["violations", "raw_total", "capped_total", "run_id"])
+    """One statement run over the billing table, as one run record."""
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return recorded_run(spark, d).select(
+        "run_id", "query_id", "execution_status", "table_name", "source_file", "rows_count", text("columns"), text("column_types"), text("null_counts"),
+        F.size("sample_data").alias("sample_rows"), "sample_truncated", "sample_limit", "sanity_check_status",
+        "input_rows", "input_columns", "output_rows", "output_columns")
+
+
+@register("run_statistics", ("SNK-1", "AGG-5"), oracle=with_views(_statistics_sql("run_result", RUN_KINDS, RUN_TYPES), "billing",
+                                                                  extra={"run_result": RUN_RESULT_SQL}))
+def run_statistics(spark, d):
+    """The statistics table of the run record."""
+    return recorded_run(spark, d).select(F.inline("statistics"))
+
+
+@register("run_checks", ("SNK-1", "DQ-10"), oracle=with_views(
+    "SELECT column_name, \"check\", severity, value, detail FROM (" + _dq_sql("run", "run_result", RUN_KINDS) + ") q", "billing", extra={"run_result": RUN_RESULT_SQL}))
+def run_checks(spark, d):
+    """The sanity checks of the run record."""
+    return recorded_run(spark, d).select(F.inline("sanity_checks"))
 
 
 @register("results_write", "SNK-2", oracle=_RESULTS_SQL)

@@ -10,6 +10,7 @@ from covenant.operators import costs as cs
 from covenant.operators import execution as ex
 from covenant.operators import ledger as lg
 from covenant.operators import penalties as pen
+from covenant.operators import proofs as pr
 from covenant.operators import windows as wn
 from covenant.plans import adapters as A
 from covenant.plans.adapters import with_views
@@ -42,11 +43,14 @@ def cost_result(spark, d):
 
 @register("cost_by_type", "AGG-7", oracle=with_views("""
 SELECT cost_type, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total,
-       CAST(coalesce(sum(amount), 0) AS DOUBLE) / (SELECT count(*) FROM cost_result) AS average, columns
-FROM (SELECT 'monetary' AS cost_type, TRY_CAST(penalty_monetary AS DECIMAL(18,4)) AS amount,
-             'penalty_monetary' AS columns FROM cost_result
-      UNION ALL SELECT 'credits', TRY_CAST(service_credits AS DECIMAL(18,4)), 'service_credits' FROM cost_result
-      UNION ALL SELECT 'hours', TRY_CAST(outage_hours AS DECIMAL(18,4)), 'outage_hours' FROM cost_result) u
+       CAST(coalesce(sum(amount), 0) AS DOUBLE) / (SELECT count(*) FROM cost_result) AS average, columns,
+       count(*) FILTER (WHERE lost) AS lost_values
+FROM (SELECT 'monetary' AS cost_type, TRY_CAST(penalty_monetary AS DECIMAL(18,4)) AS amount, 'penalty_monetary' AS columns,
+             penalty_monetary IS NOT NULL AND TRY_CAST(penalty_monetary AS DECIMAL(18,4)) IS NULL AS lost FROM cost_result
+      UNION ALL SELECT 'credits', TRY_CAST(service_credits AS DECIMAL(18,4)), 'service_credits', service_credits IS NOT NULL
+             AND TRY_CAST(service_credits AS DECIMAL(18,4)) IS NULL FROM cost_result
+      UNION ALL SELECT 'hours', TRY_CAST(outage_hours AS DECIMAL(18,4)), 'outage_hours', outage_hours IS NOT NULL
+             AND TRY_CAST(outage_hours AS DECIMAL(18,4)) IS NULL FROM cost_result) u
 GROUP BY cost_type, columns""", "billing", extra={"cost_result": COST_RESULT_SQL}))
 def cost_by_type(spark, d):
     return cs.cost_by_type(cost_result(spark, d))
@@ -273,70 +277,133 @@ def latest_state(spark, d):
                              ["action", "entity_type", "timestamp"])
 
 
+#: Lines of a leaf in these queries: small, so that the test data's calculations get trees of two levels.
+LEAF = 4
 LINES_CTE = """
-SELECT calculation_id, calculated_cost, CAST(json_object(
-         'calculated_cost', CAST(CAST(calculated_cost AS DECIMAL(18,4)) AS VARCHAR), 'cost_currency', cost_currency, 'cost_type', cost_type,
-         'delta_cost', CAST(CAST(delta_cost AS DECIMAL(18,4)) AS VARCHAR), 'original_cost', CAST(CAST(original_cost AS DECIMAL(18,2)) AS VARCHAR),
+SELECT calculation_id, l_linenumber, CAST(json_object(
+         'calculated_cost', CAST(CAST(calculated_cost AS DECIMAL(18,4)) AS VARCHAR), 'cost_currency', cost_currency, 'cost_details', cost_details,
+         'cost_type', cost_type, 'cost_unit', cost_unit, 'delta_cost', CAST(CAST(delta_cost AS DECIMAL(18,4)) AS VARCHAR),
+         'original_cost', CAST(CAST(original_cost AS DECIMAL(18,2)) AS VARCHAR),
          'period_end', CAST(CAST(period_end AS DATE) AS VARCHAR), 'period_start', CAST(CAST(period_start AS DATE) AS VARCHAR)) AS VARCHAR) AS line
 FROM cost_breakdowns"""
+DEPTH_CTE = f"SELECT calculation_id, CASE WHEN count(DISTINCT line) > {LEAF} THEN 1 ELSE 0 END AS depth FROM cost_json GROUP BY calculation_id"
+
+
+def root_sql(lines: str) -> str:
+    """Digest roots of the lines in a table, with the depths of ``line_depths``."""
+    return f"""
+SELECT calculation_id, depth, CASE WHEN depth = 0 THEN min(digest)
+       ELSE sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix || ':' || digest)) END AS root
+FROM (SELECT calculation_id, depth, substr(h, 1, depth) AS prefix, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS digest
+      FROM (SELECT calculation_id, depth, sha256(line) AS h, CAST(count(*) AS VARCHAR) AS n
+            FROM {lines} JOIN line_depths USING (calculation_id) GROUP BY ALL) a GROUP BY ALL) b GROUP BY calculation_id, depth"""
+
+
+SUMMARY_CTE = """
+SELECT calculation_id, cost_lines, total_original, total_calculated, total_delta, by_type, by_currency
+FROM (SELECT calculation_id, count(*) AS cost_lines, CAST(sum(original_cost) AS DECIMAL(28,4)) AS total_original,
+             CAST(sum(calculated_cost) AS DECIMAL(28,4)) AS total_calculated, CAST(sum(delta_cost) AS DECIMAL(28,4)) AS total_delta
+      FROM cost_breakdowns GROUP BY calculation_id) t
+JOIN (SELECT calculation_id, string_agg(x, ',' ORDER BY x) AS by_type
+      FROM (SELECT calculation_id, cost_type || '=' || CAST(CAST(sum(original_cost) AS DECIMAL(28,4)) AS VARCHAR) || '/'
+                   || CAST(CAST(sum(calculated_cost) AS DECIMAL(28,4)) AS VARCHAR) || '/' || CAST(CAST(sum(delta_cost) AS DECIMAL(28,4)) AS VARCHAR) AS x
+            FROM cost_breakdowns GROUP BY calculation_id, cost_type) a GROUP BY calculation_id) b USING (calculation_id)
+JOIN (SELECT calculation_id, string_agg(x, ',' ORDER BY x) AS by_currency
+      FROM (SELECT calculation_id, coalesce(cost_currency, 'USD') || '=' || CAST(CAST(sum(calculated_cost) AS DECIMAL(28,4)) AS VARCHAR) AS x
+            FROM cost_breakdowns GROUP BY calculation_id, coalesce(cost_currency, 'USD')) a GROUP BY calculation_id) c USING (calculation_id)"""
 PROOF_CTE = f"""
-SELECT a.id AS approval_id, c.id AS calculation_id, doc.filename, doc.document_type, c.execution_status,
-       coalesce(k.lines, 0) AS cost_lines, coalesce(k.calc, CAST(0 AS DECIMAL(28,4))) AS calculated_total,
-       CAST(strftime(a.approval_date, '%Y-%m-%dT%H:%M:%S') AS VARCHAR) AS approval_date_iso,
-       u.username AS approved_by, a.requires_escalation, k.cost_breakdown
+SELECT strftime(a.approval_date, '%Y-%m-%dT%H:%M:%S') AS approval_date, a.id AS approval_id, u.username AS approved_by, a.approver_comments,
+       u.email AS approver_email, coalesce(s.by_currency, '') AS by_currency, coalesce(s.by_type, '') AS by_type, c.id AS calculation_id,
+       '{pr.METADATA["compliance_scope"]}' AS compliance_scope, q.extracted_terms AS contract_terms,
+       CAST(coalesce(s.cost_lines, 0) AS BIGINT) AS cost_lines, doc.id AS document_id, doc.document_type, c.execution_status, doc.filename,
+       '{pr.METADATA["generation_method"]}' AS generation_method, coalesce(r.depth, 0) AS lines_depth, coalesce(r.root, sha256('')) AS lines_root,
+       q.extraction_confidence AS query_confidence, a.requires_escalation, c.result_rows_count AS rows_processed,
+       array_to_string(c.result_data[1:20], chr(10)) AS sample_evidence, c.sanity_check_details, c.sanity_check_status, q.query_text AS sql_query,
+       '{pr.METADATA["system_version"]}' AS system_version, CAST(coalesce(s.total_calculated, 0) AS DECIMAL(28,4)) AS total_calculated,
+       CAST(coalesce(s.total_delta, 0) AS DECIMAL(28,4)) AS total_delta, CAST(coalesce(s.total_original, 0) AS DECIMAL(28,4)) AS total_original,
+       strftime(doc.upload_date, '%Y-%m-%dT%H:%M:%S') AS upload_date
 FROM approvals a JOIN calculations c ON c.id = a.calculation_id JOIN ledger_queries q ON q.id = c.query_id
 JOIN ledger_documents doc ON doc.id = q.document_id LEFT JOIN users u ON u.id = a.approved_by
-LEFT JOIN (SELECT calculation_id, count(*) AS lines, CAST(sum(calculated_cost) AS DECIMAL(28,4)) AS calc,
-                  list(line ORDER BY line) AS cost_breakdown
-           FROM cost_json GROUP BY calculation_id) k ON k.calculation_id = c.id
+LEFT JOIN summaries s ON s.calculation_id = c.id LEFT JOIN line_roots r ON r.calculation_id = c.id
 WHERE a.request_status = 'approved'"""
-CANON_SQL = ("array_to_string(list_prepend(CAST(json_object('approval_date_iso', approval_date_iso, 'approval_id', CAST(approval_id AS VARCHAR),"
-             " 'approved_by', approved_by, 'calculated_total', CAST(calculated_total AS VARCHAR), 'calculation_id', CAST(calculation_id AS VARCHAR),"
-             " 'cost_lines', CAST(cost_lines AS VARCHAR), 'document_type', document_type, 'execution_status', execution_status,"
-             " 'filename', filename, 'requires_escalation', CAST(requires_escalation AS VARCHAR)) AS VARCHAR),"
-             " coalesce(cost_breakdown, [])), chr(10))")
+PROOF_CTES = {"cost_json": LINES_CTE, "line_depths": DEPTH_CTE, "line_roots": root_sql("cost_json"), "summaries": SUMMARY_CTE, "proofs": PROOF_CTE}
+CANON_SQL = "CAST(json_object(" + ", ".join(f"'{f}', CAST({f} AS VARCHAR)" for f in pr.HEAD_FIELDS) + ") AS VARCHAR)"
 PROOF_VIEWS = ("approvals", "calculations", "ledger_queries", "ledger_documents", "users", "cost_breakdowns")
 
 
+def line_tree(costs, leaf_lines=LEAF):
+    lines = pr.proof_lines(costs)
+    return lines, pr.digest_tree(lines, pr.depths(lines, leaf_lines))
+
+
 def proofs(spark, d):
-    return lg.proof_documents(A.approvals(spark, d), A.calculations(spark, d), A.ledger_queries(spark, d),
-                              A.ledger_documents(spark, d), A.users(spark, d), A.cost_breakdowns(spark, d))
+    costs = A.cost_breakdowns(spark, d)
+    return pr.proof_heads(A.approvals(spark, d), A.calculations(spark, d), A.ledger_queries(spark, d), A.ledger_documents(spark, d),
+                          A.users(spark, d), costs, pr.roots(line_tree(costs)[1]))
+
+
+def altered_costs(spark, d):
+    """Cost lines after the loss of every seventh line of a calculation."""
+    return A.cost_breakdowns(spark, d).where("l_linenumber <> 7")
+
+
+ALTERED_CTES = PROOF_CTES | {"altered_json": "SELECT * FROM cost_json WHERE l_linenumber <> 7", "altered_roots": root_sql("altered_json")}
 
 
 @register("proof_doc", "AUD-3", oracle=with_views(
-    "SELECT approval_id, calculation_id, filename, document_type, cost_lines, CAST(calculated_total AS DOUBLE) "
-    "AS calculated_total, approved_by, unnest(CASE WHEN cost_lines = 0 THEN [NULL] ELSE cost_breakdown END) AS line FROM proofs", *PROOF_VIEWS, extra={"cost_json": LINES_CTE, "proofs": PROOF_CTE}))
+    "SELECT * REPLACE (CAST(total_original AS DOUBLE) AS total_original, CAST(total_calculated AS DOUBLE) AS total_calculated, "
+    "CAST(total_delta AS DOUBLE) AS total_delta) FROM proofs", *PROOF_VIEWS, extra=PROOF_CTES))
 def proof_doc(spark, d):
-    p = proofs(spark, d)
-    return p.select("approval_id", "calculation_id", "filename", "document_type", "cost_lines",
-                    F.col("calculated_total").cast("double").alias("calculated_total"), "approved_by",
-                    F.explode_outer("cost_breakdown").alias("line"))
+    return proofs(spark, d).withColumns({c: F.col(c).cast("double") for c in ("total_original", "total_calculated", "total_delta")})
 
 
-@register("proof_hash", "AUD-4", oracle=with_views(
-    f"SELECT approval_id, sha256({CANON_SQL}) AS proof_hash FROM proofs",
-    *PROOF_VIEWS, extra={"cost_json": LINES_CTE, "proofs": PROOF_CTE}))
-def proof_hash(spark, d):
-    return lg.with_proof_hash(proofs(spark, d)).select("approval_id", "proof_hash")
+@register("proof_lines", "AUD-3", oracle=with_views(
+    "SELECT approval_id, calculation_id, line, CAST(count(*) AS BIGINT) AS count FROM cost_json JOIN (SELECT id AS approval_id, calculation_id FROM approvals "
+    "WHERE request_status = 'approved') a USING (calculation_id) GROUP BY ALL", "approvals", "cost_breakdowns", extra={"cost_json": LINES_CTE}))
+def proof_lines(spark, d):
+    """The cost lines of every proof, as rows of their own."""
+    a = A.approvals(spark, d).where("request_status = 'approved'").select(F.col("id").alias("approval_id"), "calculation_id")
+    return pr.proof_lines(A.cost_breakdowns(spark, d)).join(a, "calculation_id").select("approval_id", "calculation_id", "line", "count")
 
 
-VERIFY_CTES = {
-    "cost_json": LINES_CTE,
-    "proofs": PROOF_CTE,
-    "hashed": f"SELECT p.*, CASE WHEN requires_escalation THEN NULL ELSE sha256({CANON_SQL}) END AS stored "
-              "FROM proofs p",
-    "tampered": "SELECT approval_id, approval_date_iso, approved_by, calculated_total, calculation_id, cost_lines, "
-                "document_type, execution_status, CASE WHEN cost_lines > 5 THEN 'tampered.txt' ELSE filename END "
-                "AS filename, requires_escalation, CASE WHEN cost_lines BETWEEN 3 AND 5 THEN cost_breakdown[1:cost_lines - 1] "
-                "ELSE cost_breakdown END AS cost_breakdown, stored FROM hashed",
-}
+@register("proof_hash", "AUD-4", oracle=with_views(f"SELECT approval_id, sha256({CANON_SQL}) AS proof_hash FROM proofs", *PROOF_VIEWS, extra=PROOF_CTES))
+def proof_hash(spark, d):
+    return pr.with_proof_hash(proofs(spark, d)).select("approval_id", "proof_hash")
 
 
-@register("proof_verify", "AUD-5", oracle=with_views(
-    f"SELECT approval_id, coalesce(sha256({CANON_SQL}) = stored, FALSE) AS verified FROM tampered",
-    *PROOF_VIEWS, extra=VERIFY_CTES))
+@register("proof_verify", "AUD-5", oracle=with_views("""
+SELECT approval_id, NOT requires_escalation AND cost_lines <= 5 AS head_ok, coalesce(r.root, sha256('')) = lines_root AS lines_ok,
+       NOT requires_escalation AND cost_lines <= 5 AND coalesce(r.root, sha256('')) = lines_root AS verified
+FROM proofs LEFT JOIN altered_roots r USING (calculation_id)""", *PROOF_VIEWS, extra=ALTERED_CTES))
 def proof_verify(spark, d):
-    return lg.verify_demo(proofs(spark, d))
+    """Proofs stored without a hash where escalated, with another file name where they have over five lines, and less a cost line."""
+    stored = pr.with_proof_hash(proofs(spark, d)).withColumn("proof_hash", F.when(~F.col("requires_escalation"), F.col("proof_hash")))
+    stored = stored.withColumn("filename", F.when(F.col("cost_lines") > 5, F.lit("tampered.txt")).otherwise(F.col("filename")))
+    return pr.verify(stored, pr.proof_lines(altered_costs(spark, d))).select("approval_id", "head_ok", "lines_ok", "verified")
+
+
+@register("proof_altered", "AUD-5", oracle=with_views("""
+SELECT calculation_id, sha256(line) AS line_hash, CAST(count(*) AS BIGINT) AS before,
+       CAST(count(*) FILTER (WHERE l_linenumber <> 7) AS BIGINT) AS after
+FROM cost_json GROUP BY calculation_id, line HAVING count(*) FILTER (WHERE l_linenumber = 7) > 0""",
+    "cost_breakdowns", extra={"cost_json": LINES_CTE}))
+def proof_altered(spark, d):
+    """The lines that the stored trees have and the altered ledger has not."""
+    lines = pr.proof_lines(A.cost_breakdowns(spark, d))
+    levels = pr.depths(lines, LEAF)
+    return pr.altered_lines(pr.digest_tree(lines, levels), pr.digest_tree(pr.proof_lines(altered_costs(spark, d)), levels))
+
+
+@register("proof_inclusion", "AUD-5", oracle=with_views("""
+SELECT calculation_id, line, included FROM (SELECT calculation_id, min(line) AS line, TRUE AS included FROM cost_json GROUP BY calculation_id
+UNION ALL SELECT calculation_id, min(line) || ' ', FALSE FROM cost_json GROUP BY calculation_id) x""",
+    "cost_breakdowns", extra={"cost_json": LINES_CTE}))
+def proof_inclusion(spark, d):
+    """The path of one genuine and one forged line of every calculation, checked against its root."""
+    lines, tree = line_tree(A.cost_breakdowns(spark, d))
+    least = lines.groupBy("calculation_id").agg(F.min("line").alias("line"))
+    asked = least.union(least.select("calculation_id", F.concat("line", F.lit(" "))))
+    return pr.check_inclusion(pr.inclusion_proof(asked, tree), pr.roots(tree))
 
 
 @register("proof_id", "AUD-6", oracle=with_views("""

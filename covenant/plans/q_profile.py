@@ -201,15 +201,51 @@ def boolean_counts(spark, d):
 
 
 APPROVAL_KINDS = [("id", "numeric"), ("calculation_id", "numeric"), ("request_status", "string"),
-                  ("approved_by", "numeric"), ("approval_date", "datetime"), ("requires_escalation", "boolean")]
+                  ("approved_by", "numeric"), ("approval_date", "datetime"), ("requires_escalation", "boolean"),
+                  ("approver_comments", "string")]
 
 
-@register("full_profile", "AGG-5", oracle=with_views("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c}) AS count, "
-    f"count(*) FILTER (WHERE {c} IS NULL) AS null_count, CAST(6 AS BIGINT) AS total_columns FROM approvals"
-    for c, k in APPROVAL_KINDS), "approvals"))
+def _statistics_sql(view, kinds, types):
+    """The long statistics table of a view, column by column."""
+    parts = [f"SELECT '*' AS column_name, 'frame' AS kind, 'total_columns' AS stat, CAST({len(kinds)} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text"]
+    for c, k in kinds:
+        x = f"(CAST({c} AS DOUBLE) + 0.0)"
+        whole = types[c] in ("bigint", "int")
+        total = f"CAST(sum({c}) AS DOUBLE)" if whole else f"CAST(sum(CAST({c} AS DECIMAL(38,10))) AS DOUBLE)"
+        row = lambda stat, value, text="NULL", c=c, k=k: f"SELECT '{c}', '{k}', '{stat}', CAST({value} AS DOUBLE), CAST({text} AS VARCHAR) FROM {view}"
+        parts += [row("type", "NULL", f"'{types[c]}'") + " LIMIT 1", row("count", f"count({c})"), row("null_count", f"count(*) - count({c})")]
+        if k == "numeric":
+            parts += [row(n, e) for n, e in (("min", f"min({x})"), ("max", f"max({x})"), ("mean", f"round({total} / count({c}), 6)"), ("sum", f"round({total}, 6)"),
+                                             ("std", f"round(stddev_samp({x}), 6)"), ("median", f"round(median({x}), 6)"))]
+        elif k == "datetime":
+            parts += [row("min", "NULL", f"min(CAST({c} AS TIMESTAMP))"), row("max", "NULL", f"max(CAST({c} AS TIMESTAMP))"),
+                      row("range_days", f"date_sub('day', min(CAST({c} AS TIMESTAMP)), max(CAST({c} AS TIMESTAMP)))")]
+        elif k == "string":
+            parts += [row("unique_values", f"count(DISTINCT {c})"), row("max_length", f"coalesce(max(length({c})), 0)")]
+        else:
+            parts += [row("true", f"count(*) FILTER (WHERE {c})"), row("false", f"count(*) FILTER (WHERE NOT {c})")]
+    return "\nUNION ALL ".join(f"(SELECT * FROM ({p}) p)" for p in parts)
+
+
+APPROVAL_TYPES = {"id": "bigint", "calculation_id": "bigint", "request_status": "string", "approved_by": "bigint",
+                  "approval_date": "timestamp_ntz", "requires_escalation": "boolean", "approver_comments": "string"}
+
+
+@register("full_profile", "AGG-5", oracle=with_views(_statistics_sql("approvals", APPROVAL_KINDS, APPROVAL_TYPES), "approvals"))
 def full_profile(spark, d):
-    return pf.column_summary(A.approvals(spark, d))
+    return pf.column_statistics(A.approvals(spark, d))
+
+
+COST_TYPES_SQL = {"l_orderkey": "bigint", "l_linenumber": "int", "calculation_id": "bigint", "cost_type": "string", "cost_currency": "string",
+                  "original_cost": "decimal(18,2)", "calculated_cost": "decimal(18,4)", "delta_cost": "decimal(18,4)", "period_start": "date",
+                  "period_end": "date", "cost_unit": "string", "cost_details": "string"}
+
+
+@register("cost_statistics", "AGG-5", oracle=with_views(_statistics_sql("cost_breakdowns", [
+    (c, "string" if t == "string" else "datetime" if t == "date" else "numeric") for c, t in COST_TYPES_SQL.items()], COST_TYPES_SQL), "cost_breakdowns"))
+def cost_statistics(spark, d):
+    """All statistics of the cost lines: amounts, types, currencies (missing for half of them), periods."""
+    return pf.column_statistics(A.cost_breakdowns(spark, d))
 
 
 @register("shape", "AGG-6", oracle=with_views("""
@@ -229,7 +265,10 @@ def shape(spark, d):
 COST_KINDS = [("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("calculation_id", "numeric"),
               ("cost_type", "string"), ("cost_currency", "string"), ("original_cost", "numeric"),
               ("calculated_cost", "numeric"), ("delta_cost", "numeric"), ("period_start", "datetime"),
-              ("period_end", "datetime")]
+              ("period_end", "datetime"), ("cost_unit", "string"), ("cost_details", "string")]
+USER_KINDS = [("id", "numeric"), ("username", "string"), ("email", "string"), ("role", "string"), ("is_active", "boolean")]
+SCALED_KINDS = [("order_id", "numeric"), ("scaled_total", "numeric"), ("source", "string")]
+SCALED_SQL = "(SELECT o_orderkey AS order_id, o_totalprice * 1000000 AS scaled_total, 'orders' AS source FROM orders)"
 
 
 def _dq_sql(frame, view, kinds):
@@ -271,12 +310,16 @@ BILLING_KINDS = [("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("incid
 DQ_REPORT_SQL = with_views(
     "SELECT * FROM (" + _dq_sql("approvals", "approvals", APPROVAL_KINDS) + "\nUNION ALL "
     + _dq_sql("cost_breakdowns", "cost_breakdowns", COST_KINDS) + "\nUNION ALL "
+    + _dq_sql("users", "users", USER_KINDS) + "\nUNION ALL " + _dq_sql("scaled_totals", SCALED_SQL + " s", SCALED_KINDS) + "\nUNION ALL "
     + _dq_sql("empty_result", "(SELECT * FROM billing WHERE uptime_percent > 100) e", BILLING_KINDS) + ") r",
-    "approvals", "cost_breakdowns", "billing")
+    "approvals", "cost_breakdowns", "users", "billing")
 
 
 def dq_frames(spark, d):
     frames = [("approvals", A.approvals(spark, d)), ("cost_breakdowns", A.cost_breakdowns(spark, d)),
+              ("users", A.users(spark, d)),
+              ("scaled_totals", A.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_totalprice") * 1000000).alias("scaled_total"),
+                                                                   F.lit("orders").alias("source"))),
               ("empty_result", A.billing(spark, d).filter(F.col("uptime_percent") > 100))]
     out = None
     for name, df in frames:
@@ -305,11 +348,18 @@ def cost_type_totals(spark, d, measure="delta_cost"):
 
 
 @register("dq_costs", ("DQ-11", "DQ-12"), oracle=with_views("""
-SELECT cost_type, amount,
+SELECT measure, cost_type, amount,
        CASE WHEN amount IS NULL OR isnan(amount) THEN 'error' ELSE 'warning' END AS severity,
        CASE WHEN amount IS NULL OR isnan(amount) THEN 'invalid_amount' ELSE 'negative_cost' END AS "check"
-FROM (SELECT cost_type, CAST(sum(delta_cost) AS DOUBLE) AS amount FROM cost_breakdowns GROUP BY cost_type
-      UNION ALL SELECT 'all', CAST(sum(delta_cost) AS DOUBLE) FROM cost_breakdowns) t
+FROM (SELECT 'delta' AS measure, cost_type, CAST(sum(delta_cost) AS DOUBLE) AS amount FROM cost_breakdowns GROUP BY cost_type
+      UNION ALL SELECT 'delta', 'all', CAST(sum(delta_cost) AS DOUBLE) FROM cost_breakdowns
+      UNION ALL SELECT 'priced', cost_type, CAST(sum(CASE WHEN cost_unit <> 'units' THEN original_cost END) AS DOUBLE) FROM cost_breakdowns GROUP BY cost_type
+      UNION ALL SELECT 'priced', 'all', CAST(sum(CASE WHEN cost_unit <> 'units' THEN original_cost END) AS DOUBLE) FROM cost_breakdowns) t
 WHERE amount IS NULL OR isnan(amount) OR (cost_type <> 'all' AND amount < 0)""", "cost_breakdowns"))
 def dq_costs(spark, d):
-    return dq.cost_checks(cost_type_totals(spark, d))
+    """Checks of the deltas, and of amounts that count only lines with a price (units have none)."""
+    priced = A.cost_breakdowns(spark, d).withColumn("priced", F.when(F.col("cost_unit") != "units", F.col("original_cost")))
+    from covenant.operators import costs
+    out = [dq.cost_checks(t).select(F.lit(name).alias("measure"), "*") for name, t in (
+        ("delta", cost_type_totals(spark, d)), ("priced", costs.totals_with_all(priced, "priced")))]
+    return out[0].unionByName(out[1])

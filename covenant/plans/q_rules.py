@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from covenant import terms
+from covenant.operators import intervals as iv
 from covenant.operators import joins as jn
 from covenant.operators import rules as ru
 from covenant.operators import windows as wn
@@ -221,18 +222,73 @@ def rolling_hour(spark, d):
     return wn.rolling_count(i, ["service"], "detected_at", 3600).select("incident_id", "service", "events_in_window")
 
 
-@register("exclusions", "RUL-11", oracle=with_views("""
-SELECT i.incident_id, i.service, i.resolution_minutes FROM incidents i
-WHERE NOT EXISTS (SELECT 1 FROM maintenance_windows m
-                  WHERE i.detected_at BETWEEN m.window_start AND m.window_end)""",
-    "incidents", "maintenance_windows"))
+NOTICE = terms.EXCLUSION_NOTICE_HOURS
+
+
+def exclusion_windows(spark, d):
+    """Maintenance announced early enough to exclude incidents of its service."""
+    w = A.maintenance_windows(spark, d)
+    enough = F.lit(False)
+    for kind, hours in NOTICE.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("notice_hours") >= hours))
+    return w.where(enough)
+
+
+NOTICED_CTE = "SELECT * FROM maintenance_windows WHERE " + " OR ".join(
+    f"(kind = '{k}' AND notice_hours >= {h})" for k, h in NOTICE.items())
+MERGED_CTE = """
+SELECT service, min(window_start) AS window_start, max(window_end) AS window_end
+FROM (SELECT *, sum(new) OVER (PARTITION BY service ORDER BY window_start, window_id) AS island
+      FROM (SELECT *, CASE WHEN window_start <= max(window_end) OVER (PARTITION BY service ORDER BY window_start, window_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM noticed) a) b
+GROUP BY service, island"""
+NET_CTE = """
+SELECT i.incident_id, i.service, i.severity, i.sla_breached, i.detected_at, i.resolved_at, i.resolution_minutes,
+       coalesce(bool_or(i.detected_at BETWEEN m.window_start AND m.window_end), FALSE) AS excluded,
+       coalesce(sum(CASE WHEN m.window_start IS NOT NULL THEN date_diff('microsecond', greatest(i.detected_at, m.window_start),
+                                                                        least(i.resolved_at, m.window_end)) END), 0) AS micros
+FROM incidents i LEFT JOIN merged m ON m.service = i.service AND m.window_start <= i.resolved_at AND m.window_end >= i.detected_at
+GROUP BY ALL"""
+EXCLUSION_CTES = {"noticed": NOTICED_CTE, "merged": MERGED_CTE, "net": NET_CTE}
+
+
+@register("exclusion_windows", "RUL-11", oracle=with_views(
+    "SELECT service, window_start, window_end, date_diff('microsecond', window_start, window_end) / 60000000.0 AS minutes FROM merged",
+    "maintenance_windows", extra={"noticed": NOTICED_CTE, "merged": MERGED_CTE}))
+def merged_exclusion_windows(spark, d):
+    m = iv.merge_windows(exclusion_windows(spark, d), "window_start", "window_end", ["service"])
+    return m.select("service", "window_start", "window_end",
+                    ((jn.micros(F.col("window_end")) - jn.micros(F.col("window_start"))) / 60000000.0).alias("minutes"))
+
+
+@register("exclusions", "RUL-11", oracle=with_views(
+    "SELECT incident_id, service, resolution_minutes FROM net WHERE NOT excluded",
+    "incidents", "maintenance_windows", extra=EXCLUSION_CTES))
 def exclusions(spark, d):
+    """Incidents that do not begin inside an exclusion window of their service."""
     i = A.incidents(spark, d).select("incident_id", "service", "resolution_minutes", "detected_at")
-    kept = jn.point_in_interval(i, "detected_at", A.maintenance_windows(spark, d), "window_start", "window_end",
-                                how="left_anti")
+    kept = iv.point_in_interval(i, "detected_at", exclusion_windows(spark, d), "window_start", "window_end", on=["service"])
     return kept.select("incident_id", "service", "resolution_minutes")
 
 
+@register("net_breach_minutes", "RUL-11", oracle=with_views(f"""
+SELECT incident_id, service, n.severity, excluded, micros / 60000000.0 AS excluded_minutes,
+       resolution_minutes - micros / 60000000.0 AS net_minutes,
+       resolution_minutes > l.resolution_limit AS gross_breach,
+       NOT excluded AND resolution_minutes - micros / 60000000.0 > l.resolution_limit AS net_breach
+FROM net n LEFT JOIN ({LIMITS_SQL}) l ON l.severity = n.severity""", "incidents", "maintenance_windows", extra=EXCLUSION_CTES))
+def net_breach_minutes(spark, d):
+    """Resolution time less the part inside exclusion windows, and the breaches that remain."""
+    i = A.incidents(spark, d).select("incident_id", "service", "severity", "detected_at", "resolved_at", "resolution_minutes")
+    x = iv.subtract_windows(i, "detected_at", "resolved_at", exclusion_windows(spark, d), "window_start", "window_end", on=["service"])
+    gone = F.col("excluded_micros") / 60000000.0
+    net = F.col("resolution_minutes") - gone
+    return (x.join(limits_frame(spark), "severity", "left")
+            .select("incident_id", "service", "severity", F.col("starts_inside").alias("excluded"), gone.alias("excluded_minutes"), net.alias("net_minutes"),
+                    (F.col("resolution_minutes") > F.col("resolution_limit")).alias("gross_breach"),
+                    (~F.col("starts_inside") & (net > F.col("resolution_limit"))).alias("net_breach")))
+
+
 SPAN_CTE = """
 SELECT l_orderkey, l_linenumber, l_shipdate AS span_start,
        l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS span_end FROM lineitem"""

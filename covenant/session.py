@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
-import warnings
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,9 +44,9 @@ def get_session(master: str | None = None, app: str = "covenant",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local runs and tests) a private folder is
-    created and registered, with a warning unless the session is local; on a
-    cluster the configured shared path is always used.
+    Only where the setting is absent in a local session (local runs and tests)
+    a private folder is created and registered; on a cluster its absence is an
+    error, since executors may share no other folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -56,8 +56,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
-        warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a folder that executors may not share", stacklevel=2)
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     local = tempfile.mkdtemp(prefix="covenant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written below the shared folder and read again: computed once, its lineage cut."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/covenant-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -33,6 +33,9 @@ RESPONSE_PROPORTIONAL_RATE = 50.0
 # Monthly allowance of replication-lag breaches before a breach counts
 MONTHLY_BREACH_ALLOWANCE = 2
 
+# Hours of notice from which maintenance excludes an incident (contract §5.2)
+EXCLUSION_NOTICE_HOURS = {"scheduled": 48, "emergency": 24}
+
 # Per-severity response / resolution limits in minutes: the library's own
 # defaults, not fixed by any contract
 SEVERITY_LIMITS = [

@@ -1,14 +1,10 @@
 """Coercion gate and profile edge rows."""
 
-import random
-
-import pytest
 from pyspark.sql import functions as F
 
 from covenant.operators import coercion as co
 from covenant.operators import profile as pf
 from covenant.operators import quality as dq
-from covenant.operators import selection as sel
 
 
 def test_gate_is_strict_at_80_percent(spark):
@@ -58,24 +54,6 @@ def test_value_labels(spark):
     assert got == ["boolean", "boolean", "integer", "float", "date", "date", "string", "string", "string"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_exact_median_matches_brute_force(spark, seed):
-    rnd = random.Random(seed)
-    hot = [7.0] * 300                                   # a third of the rows share one value
-    vals = hot + [rnd.uniform(-50, 50) for _ in range(600)]
-    rnd.shuffle(vals)
-    df = spark.createDataFrame([(v, float(int(v))) for v in vals], "a double, b double")
-    long = sel.long_values(df, ["a", "b"])
-    for c, i in (("a", 0), ("b", 1)):
-        s = sorted(x[i] for x in [(v, float(int(v))) for v in vals])
-        for k in (0, 449, 450, len(s) - 1):
-            got = sel.kth_values(long, [(c, k)], buckets=4, final_rows=10)[(c, k)]
-            assert got == s[k]
-    med = sel.exact_medians(df, ["a"])
-    s = sorted(vals)
-    assert med["a"] == (s[449] + s[450]) / 2
-
-
 def test_string_profile_distinct_and_length(spark):
     long_text = "x" * 500
     df = spark.createDataFrame([(long_text,), (long_text,), ("a",), (None,)], "t string")
