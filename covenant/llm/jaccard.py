@@ -405,15 +405,19 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def _with_digests(rows: DataFrame, text: str, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in passes(batch.column(text)):
-                w = Words(data, offsets, SPACE, lower=True)
-                doc, h, sizes = row_sets(w, n)
-                d1, d2 = digests(doc, h, w.n_docs)
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns] + [
-                    pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sizes.astype(np.int64))],
-                    names=[*batch.schema.names, "d1", "d2", "size"])
+DIGESTED = T.StructType([T.StructField(c, T.LongType()) for c in ("d1", "d2", "size")])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string("d1 long, d2 long, size long").fields]))
+
+def _with_digests(rows: DataFrame, text: str, n: int) -> DataFrame:
+    """All columns of ``rows`` and the digests and size of each set; only the texts go to Python."""
+    def run(column: pa.Array) -> pa.Array:
+        found = []
+        for _, _, data, offsets in passes(column):
+            w = Words(data, offsets, SPACE, lower=True)
+            doc, h, sizes = row_sets(w, n)
+            d1, d2 = digests(doc, h, w.n_docs)
+            found.append((d1.view(np.int64), d2.view(np.int64), sizes.astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=DIGESTED.fieldNames())
+
+    return rows.withColumn("digested", F.arrow_udf(run, DIGESTED)(F.col(text))).select(*rows.columns, "digested.*")

@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from covenant.llm.common import inner_names, stage_table
 
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
-#: Words kept in a worker's cache of encoded words.
-CACHE_WORDS = 400_000
+#: Bytes of encoded words that a task keeps, all caches together, and what an entry takes beside its texts.
+CACHE_BYTES = 160 << 20
+ENTRY_BYTES = 200
 
 
 def _byte_level() -> list[str]:
@@ -64,10 +65,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.held = 0
         self.spaced: dict[str, bytes] = _Cache(self, " ")
         self.bare: dict[str, bytes] = _Cache(self, "")
         self.newline = self.raw("\n")
 
+    def forget(self) -> None:
+        for cache in (self.spaced, self.bare):
+            cache.clear()
+            cache.older = {}
+        self.held = 0
+
+    def kept(self, size: int) -> None:
+        """Counts an entry of the young generations; at half the allowance they become the old ones."""
+        self.held += size
+        if self.held > CACHE_BYTES // 2:
+            for cache in (self.spaced, self.bare):
+                cache.older = dict(cache)
+                cache.clear()
+            self.held = 0
+
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -107,9 +124,7 @@ class _Cache(dict):
 
     def keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
+            self.encoder.kept(ENTRY_BYTES + len(word) + len(ids))
             self[word] = ids
         return ids
 
@@ -163,16 +178,19 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch in batches:
-            keys, rows = batch.column("k"), []
-            for i, t in enumerate(batch.column("t")):
-                ids = encoder.encode(t.as_py() or "") + tail
-                for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((i, p, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
-            c = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(c[0], pa.int32())), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])],
-                names=[key, "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                keys, rows = batch.column("k"), []
+                for i, t in enumerate(batch.column("t")):
+                    ids = encoder.encode(t.as_py() or "") + tail
+                    for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        rows.append((i, p, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
+                c = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(c[0], pa.int32())), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])],
+                    names=[key, "piece", "start", "length", "ids_crc32"])
+        finally:
+            encoder.forget()           # the worker serves other tasks and stages
 
     schema = T.StructType([T.StructField(key, source.schema["k"].dataType), *T._parse_datatype_string(PIECE_COLUMNS).fields])
     return source.mapInArrow(run, schema)

@@ -22,7 +22,6 @@ A stratum with too few labels certifies nothing, so its rules stay off.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,16 +88,20 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             np.bincount(w.doc[repeated], minlength=n), np.bincount(line_doc, minlength=n), per(_UPPER[data]), per(_MARK[data])]
 
 
+MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+
+
+def measure_column(text: pa.Array) -> pa.Array:
+    """The ``MEASURES`` of every text of a batch."""
+    found = [measure_texts(data, offsets) for _, _, data, offsets in passes(text)]
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * len(MEASURES)
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=list(MEASURES))
+
+
 def _measured(rows: DataFrame, text: str) -> DataFrame:
-    """All columns of ``rows`` and the measures of ``text``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in passes(batch.column(text)):
-                cols = [pa.array(np.asarray(m, dtype=np.int64)) for m in measure_texts(data, offsets)]
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns] + cols,
-                                                 names=[*batch.schema.names, *MEASURES])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(m, T.LongType()) for m in MEASURES]]))
+    """All columns of ``rows`` and the measures of ``text``; only the texts go to Python, and only numbers come back."""
+    found = rows.withColumn("measured", F.arrow_udf(measure_column, MEASURED)(F.col(text)))
+    return found.select(*rows.columns, "measured.*")
 
 
 def base_failed() -> Column:
