@@ -76,6 +76,22 @@ def cost_by_type(df: DataFrame, detected: dict[str, list[str]] | None = None) ->
     )
 
 
+#: Rows of a result that a cost extraction shows.
+SAMPLE_ROWS = 10
+
+
+def cost_extraction(df: DataFrame, order: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """AGG-7..9 as one record: the detected types with their totals, averages and
+    columns, the grand total over all of them, and the first ``rows`` rows by
+    ``order`` as JSON. Without cost columns the types are empty and the total 0."""
+    types = cost_by_type(df).select("cost_type", "total", "average", "columns", "lost_values")
+    record = types.agg(F.array_sort(F.collect_list(F.struct(*types.columns))).alias("cost_types"),       # one entry a type
+                       F.coalesce(F.sum(F.col("total").cast(MONEY)), F.lit(0)).cast("double").alias("grand_total"))
+    first = df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]).limit(rows)
+    sample = [r[0] for r in first.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).collect()]
+    return record.withColumn("sample_rows", F.array(*[F.lit(x) for x in sample]).cast("array<string>"))
+
+
 def totals_with_all(df: DataFrame, measure: str, type_col: str = "cost_type") -> DataFrame:
     """AGG-8: per-type totals plus the grand total ``all`` (a ROLLUP)."""
     g = df.rollup(type_col).agg(F.sum(measure).alias("_s"), F.grouping_id().alias("_g"))

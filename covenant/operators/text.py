@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant import terms
+from covenant.operators.joins import broadcast_if_small
 from covenant.operators.ledger import resolve_types
 
 NL = "\n"
+#: Schema blocks (some kilobytes each) up to which they are broadcast to the documents.
+SCHEMA_TABLES = 1_000
 
 
 # ---------------------------------------------------------------- prompts
@@ -35,13 +38,15 @@ def choose_prompt(custom: Column, typed: Column) -> Column:
     return F.coalesce(F.when(F.trim(custom) != "", custom), typed)
 
 
-def full_prompt(base: Column, instructions: Column, document: Column) -> Column:
-    """TXT-1: prompt + optional instructions + the whole document text.
+def full_prompt(base: Column, instructions: Column, document: Column, schema: Column | None = None) -> Column:
+    """TXT-1: prompt + optional instructions + the whole document text + the
+    schema block of the data table, if there is one, on a line of its own.
     FIXED VALUES: the headings of the instructions and the document."""
     instr = F.when(F.coalesce(instructions, F.lit("")) != "",
                    F.concat(F.lit("Additional Instructions: "), instructions)).otherwise(F.lit(""))
+    block = F.when(F.coalesce(schema, F.lit("")) != "", F.concat(F.lit(NL), schema)).otherwise(F.lit("")) if schema is not None else F.lit("")
     return F.concat(base, F.lit(NL + NL), instr, F.lit(NL + NL + "---" + NL + "Document to Analyze:" + NL), document,
-                    F.lit(NL + NL + "Reply with the JSON object described above."))
+                    F.lit(NL + NL + "Reply with the JSON object described above."), block)
 
 
 def prompt_key(system: Column, prompt: Column) -> Column:
@@ -49,15 +54,21 @@ def prompt_key(system: Column, prompt: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(system, F.lit("")), F.lit(terms.PROMPT_KEY_SEPARATOR), prompt), 256)
 
 
-def prompt_table(docs: DataFrame, type_col: str, text_col: str, custom_col: str, instr_col: str) -> DataFrame:
+def prompt_table(docs: DataFrame, type_col: str, text_col: str, custom_col: str, instr_col: str,
+                 schemas: DataFrame | None = None, table_col: str | None = None) -> DataFrame:
+    """The prompts of all documents; with ``schemas`` (table_name, schema_text), that of a
+    document's data table, named by ``table_col``, ends its prompt."""
+    if schemas is not None:
+        s = schemas.select(F.col("table_name").alias("_table"), F.col("schema_text").alias("_schema"))
+        docs = docs.join(broadcast_if_small(s, SCHEMA_TABLES), F.col(table_col) == F.col("_table"), "left")
     r = resolve_types(docs, type_col)
     typed = type_prompt(F.col("type_description"), F.col("expected_outputs"))
     chosen = choose_prompt(F.col(custom_col), typed)
-    prompt = full_prompt(chosen, F.col(instr_col), F.col(text_col))
+    prompt = full_prompt(chosen, F.col(instr_col), F.col(text_col), F.col("_schema") if schemas is not None else None)
     system = system_prompt(F.col("type_description"))
     source = (F.when(F.trim(F.col(custom_col)) != "", F.lit("custom"))
               .when(F.lower(F.col(type_col)) == F.col("resolved_type"), F.lit("type")).otherwise(F.lit("generic")))
-    return r.select("*", prompt.alias("prompt"), system.alias("system"), source.alias("prompt_source"))
+    return r.select("*", prompt.alias("prompt"), system.alias("system"), source.alias("prompt_source")).drop("_table", "_schema")
 
 
 # ---------------------------------------------------------------- cache
@@ -107,6 +118,11 @@ def error_type(status: Column, model: Column, content: Column | None = None) ->
             .when(status == "unparseable", F.lit("json_extraction_error")))
 
 
+def preview(content: Column, chars: int = terms.RESPONSE_PREVIEW_CHARS) -> Column:
+    """The beginning of a response, for error records."""
+    return F.substring(content, 1, chars)
+
+
 # ---------------------------------------------------------------- SQL lint
 def _upper_array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w.upper()) for w in words])

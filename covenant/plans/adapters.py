@@ -158,6 +158,8 @@ def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("n_regionkey") == 2, "insurance")
          .when(F.col("n_regionkey") == 3, "service_agreement").otherwise("lease").alias("document_type"),
         F.col("n_regionkey").alias("uploaded_by"),
+        F.when(F.col("n_nationkey") % 4 == 0, "parsed").when(F.col("n_nationkey") % 4 == 1, "complete")
+         .when(F.col("n_nationkey") % 4 == 2, "error").otherwise("pending").alias("status"),
         F.timestamp_add("DAY", F.col("n_nationkey").cast("int"), F.lit("1992-01-01 08:30:00").cast("timestamp_ntz")).alias("upload_date"),
     )
 
@@ -167,7 +169,8 @@ SELECT n_nationkey AS id, lower(n_name) || '_contract.txt' AS filename,
        CASE WHEN n_regionkey = 0 THEN 'sla' WHEN n_regionkey = 1 THEN 'SLA'
             WHEN n_regionkey = 2 THEN 'insurance' WHEN n_regionkey = 3 THEN 'service_agreement'
             ELSE 'lease' END AS document_type,
-       n_regionkey AS uploaded_by, TIMESTAMP '1992-01-01 08:30:00' + to_days(CAST(n_nationkey AS INTEGER)) AS upload_date
+       n_regionkey AS uploaded_by,
+       CASE n_nationkey % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'complete' WHEN 2 THEN 'error' ELSE 'pending' END AS status, TIMESTAMP '1992-01-01 08:30:00' + to_days(CAST(n_nationkey AS INTEGER)) AS upload_date
 FROM nation"""
 
 
@@ -362,6 +365,20 @@ SELECT event_id AS query_id,
                ELSE '' END AS sql_text
 FROM events"""
 
+def statement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with literals, comments, aliases, CTEs and quoted names, one per event."""
+    ev = text_table(spark, sf_dir, "events")
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    text = (F.when(kind == "view", F.concat(F.lit("SELECT e.event_id, 'weak words ''"), kind, F.lit("'' here' AS label, e.value * "), user,
+                                            F.lit(" scaled FROM events AS e WHERE e.props <> 'x' ORDER BY scaled")))
+            .when(kind == "click", F.concat(F.lit("WITH recent AS (SELECT event_id, value FROM events) SELECT r.event_id, x.ts FROM recent r -- all "),
+                                            user, F.lit("\nWHERE value > 3")))
+            .when(kind == "purchase", F.concat(F.lit("SELECT max(value) AS peak, user_"), user, F.lit(" FROM events GROUP BY event_type")))
+            .when(kind == "error", F.concat(F.lit("SELECT event_id FROM events, archive_"), user, F.lit(" WHERE ghost = 1")))
+            .otherwise(F.lit('SELECT "event_id", count(*) FROM events /* ghost */ GROUP BY "event_id"')))
+    return ev.select(F.col("event_id").alias("query_id"), text.alias("sql_text"))
+
+
 QUERY_LOG_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
@@ -503,6 +520,20 @@ BILLING_CONTRACTS_SQL = """
 SELECT b.*, s.s_suppkey AS contract_id FROM billing b JOIN supplier s ON s.s_suppkey = b.supplier_id"""
 
 
+def contract_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months a contract is in force: from 1995 or 1996 on, two to eight years."""
+    sp = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    first = F.add_months(F.lit("1995-01-01").cast("date"), (k % 24).cast("int"))
+    return sp.select(k.alias("contract_id"), first.alias("first_month"), F.add_months(first, (24 + k % 72).cast("int")).alias("last_month"))
+
+
+CONTRACT_PERIODS_SQL = """
+SELECT s_suppkey AS contract_id, CAST(DATE '1995-01-01' + to_months(CAST(s_suppkey % 24 AS INTEGER)) AS DATE) AS first_month,
+       CAST(DATE '1995-01-01' + to_months(CAST(s_suppkey % 24 + 24 + s_suppkey % 72 AS INTEGER)) AS DATE) AS last_month
+FROM supplier"""
+
+
 def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announced maintenance of a service: windows of 30 to 270 minutes, opened by large signup events."""
     ev = table(spark, sf_dir, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 130))
@@ -540,6 +571,7 @@ VIEW_SQL = {
     "rule_responses": RULE_RESPONSES_SQL,
     "billing_contracts": BILLING_CONTRACTS_SQL,
     "maintenance_windows": MAINTENANCE_SQL,
+    "contract_periods": CONTRACT_PERIODS_SQL,
 }
 
 

@@ -10,6 +10,7 @@ from covenant.plans.adapters import with_views
 from covenant.plans.registry import register
 from covenant.sources import files as fs
 from covenant.sources import sinks as sk
+from covenant.sources import store as st
 from covenant.streaming import penalties as sp
 from covenant.plans.q_profile import _dq_sql, _statistics_sql
 from covenant.plans.q_rules import RULE_CTES
@@ -57,32 +58,54 @@ def parquet_scan(spark, d):
 
 
 @register("text_docs", "SRC-5", oracle="""
-SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha, CAST(strlen(text) + 1 AS BIGINT) AS file_size
+SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha, CAST(strlen(text) AS BIGINT) AS file_size
 FROM documents""")
 def text_docs(spark, d):
+    """Documents written to and read from bulk text files."""
     path = sk.scratch_path(spark, "docs")
-    A.table(spark, d, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    docs = fs.read_documents(spark, path)
-    text = F.when(F.col("text_content").endswith("\n"),
-                  F.expr("substring(text_content, 1, length(text_content) - 1)")).otherwise(F.col("text_content"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"),
-                       F.sha2(text, 256).alias("text_sha"), F.col("file_size").cast("bigint").alias("file_size"))
-
-
-@register("cache_scan", "SRC-6", oracle="""
+    fs.write_documents(A.table(spark, d, "documents"), path, "doc_id", "text")
+    docs = fs.read_bulk_documents(spark, path)
+    return docs.select(F.col("filename").cast("bigint").alias("doc_id"), F.length("text_content").cast("bigint").alias("n_chars"),
+                       F.sha2("text_content", 256).alias("text_sha"), "file_size")
+
+
+@register("file_profile", "SRC-8", oracle="""
+SELECT 'customer.csv' AS file_name, TRUE AS has_size, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS headers,
+       'float,string,float,float,string' AS column_types, count(*) AS total_rows, CAST(least(count(*), 90) AS INTEGER) AS row_count,
+       (SELECT string_agg(CAST(c_custkey AS VARCHAR) || c_name, ',' ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 90) x) AS sample_keys
+FROM customer""")
+def file_profile(spark, d):
+    """The profile of the customers as a CSV file: size, columns, row count and the first rows."""
+    path = sk.scratch_path(spark, "profile") + "/customer.csv"
+    A.table(spark, d, "customer").write.option("header", True).csv(path)
+    p = fs.file_profile(spark, path, ["c_custkey"])
+    key = lambda j: F.concat(F.get_json_object(j, "$.c_custkey").cast("double").cast("bigint").cast("string"), F.get_json_object(j, "$.c_name"))
+    return p.select("file_name", (F.col("file_size") > 0).alias("has_size"), F.array_join("headers", ",").alias("headers"),
+                    F.array_join("column_types", ",").alias("column_types"), "total_rows", "row_count",
+                    F.array_join(F.transform("sample_data", key), ",").alias("sample_keys"))
+
+
+CACHE_RECORDS_SQL = """
 SELECT sha256(u.text) AS cache_key, a.text AS content, CAST(length(u.text) AS BIGINT) AS input_tokens,
-       CAST(length(a.text) AS BIGINT) AS output_tokens
+       CAST(length(a.text) AS BIGINT) AS output_tokens, u.conv_id, u.turn
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-WHERE u.role = 'user'""")
-def cache_scan(spark, d):
+WHERE u.role = 'user'"""
+
+
+def cache_records(spark, d):
+    """A response record per question: its key, the answer, sizes, and when (conversation, turn)."""
     c = A.table(spark, d, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
-                                                      F.col("text").alias("content"))
-    rec = u.join(a, ["conv_id", "turn"]).select(
-        F.sha2("prompt", 256).alias("cache_key"), "content", F.lit("").alias("thinking"),
-        F.struct(F.length("prompt").cast("bigint").alias("input_tokens"),
-                 F.length("content").cast("bigint").alias("output_tokens")).alias("usage"),
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
+    return u.join(a, ["conv_id", "turn"]).select(
+        F.sha2("prompt", 256).alias("cache_key"), "content", F.length("prompt").cast("bigint").alias("input_tokens"),
+        F.length("content").cast("bigint").alias("output_tokens"), "conv_id", "turn")
+
+
+@register("cache_scan", "SRC-6", oracle=f"SELECT cache_key, content, input_tokens, output_tokens FROM ({CACHE_RECORDS_SQL}) r")
+def cache_scan(spark, d):
+    rec = cache_records(spark, d).select(
+        "cache_key", "content", F.lit("").alias("thinking"), F.struct("input_tokens", "output_tokens").alias("usage"),
         F.lit("conversation-model").alias("model"), F.lit(True).alias("cached"),
         F.lit("2024-01-01T00:00:00").alias("timestamp"))
     path = sk.scratch_path(spark, "cache")
@@ -137,18 +160,38 @@ def results_write(spark, d):
                                                F.round(F.sum("penalty"), 4).alias("penalty"))
 
 
-@register("cache_upsert", "SNK-3", oracle=with_views("""
-SELECT model, arg_max(response_id, (created_at, response_id)) AS response_id, max(created_at) AS created_at
-FROM responses GROUP BY model""", "responses"))
+def filled_store(spark, d):
+    """The response store after two upserts: the first turns, then all later ones."""
+    r = cache_records(spark, d)
+    store = st.RecordStore(sk.scratch_path(spark, "store"), r.schema, ("cache_key",), ("conv_id", "turn"))
+    store.upsert(r.where("turn < 2"))
+    store.upsert(r.where("turn >= 2"))
+    return store
+
+
+STORED_SQL = f"""
+SELECT cache_key, arg_max(content, (conv_id, turn)) AS content, arg_max(input_tokens, (conv_id, turn)) AS input_tokens,
+       arg_max(output_tokens, (conv_id, turn)) AS output_tokens, arg_max(conv_id, (conv_id, turn)) AS conv_id, arg_max(turn, (conv_id, turn)) AS turn
+FROM ({CACHE_RECORDS_SQL}) r GROUP BY cache_key"""
+
+
+@register("cache_upsert", "SNK-3", oracle=STORED_SQL)
 def cache_upsert(spark, d):
-    r = A.responses(spark, d).select("model", "response_id", "created_at")
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    out = sk.upsert_cache(r.filter(F.col("created_at") < cut), r.filter(F.col("created_at") >= cut),
-                          ["model"], ["created_at", "response_id"], sk.scratch_path(spark, "upsert"))
-    return out.select("model", "response_id", "created_at")
+    return filled_store(spark, d).read(spark)
+
+
+@register("cache_lookup", ("FLT-6", "SRC-6"), oracle=f"SELECT * FROM ({STORED_SQL}) s WHERE cache_key = (SELECT min(cache_key) FROM ({STORED_SQL}) k)")
+def cache_lookup(spark, d):
+    """One record by its key, from the one bucket that can hold it."""
+    return filled_store(spark, d).lookup(cache_records(spark, d).agg(F.min("cache_key").alias("cache_key")))
 
 
-@register("json_rows", "SNK-4")
+@register("json_rows", "SNK-4", oracle=with_views("""
+SELECT CAST(json_object('incident_id', incident_id, 'service', service, 'severity', severity,
+       'detected_at', strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%f'), 'initial_response_minutes', initial_response_minutes,
+       'resolution_minutes', resolution_minutes, 'resolved_at', strftime(resolved_at, '%Y-%m-%dT%H:%M:%S.%f'), 'impact_value', impact_value,
+       'sla_breached', sla_breached, 'tenant_id', tenant_id) AS VARCHAR) AS json
+FROM incidents""", "incidents"))
 def json_rows(spark, d):
     return sk.json_rows(A.incidents(spark, d))
 

@@ -15,6 +15,8 @@ from covenant.operators import windows as wn
 from covenant.plans import adapters as A
 from covenant.plans.adapters import with_views
 from covenant.plans.registry import register
+from covenant.sources import sinks as sk
+from covenant.streaming import audit as au
 
 AS_OF = "1998-08-01"
 LINE_KEY = list(A.LINE_KEY)
@@ -56,6 +58,22 @@ def cost_by_type(spark, d):
     return cs.cost_by_type(cost_result(spark, d))
 
 
+@register("cost_extraction", ("AGG-7", "AGG-8", "AGG-9"), oracle=with_views("""
+SELECT 'credits=service_credits,hours=outage_hours,monetary=penalty_monetary' AS cost_types,
+       CAST(sum(CAST(penalty_monetary AS DECIMAL(18,4))) + sum(CAST(service_credits AS DECIMAL(18,4))) + sum(CAST(outage_hours AS DECIMAL(18,4))) AS DOUBLE)
+         AS grand_total,
+       (SELECT string_agg(k, ',' ORDER BY l_orderkey, l_linenumber, transaction_count, supplier_id) FROM (
+          SELECT *, l_orderkey || '/' || l_linenumber || '/' || transaction_count AS k FROM cost_result
+          ORDER BY l_orderkey, l_linenumber, transaction_count, supplier_id LIMIT 10) s) AS sample_keys
+FROM cost_result""", "billing", extra={"cost_result": COST_RESULT_SQL}))
+def cost_extraction(spark, d):
+    """The whole cost extraction of a penalty result in one record."""
+    x = cs.cost_extraction(cost_result(spark, d), LINE_KEY)
+    key = lambda j: F.concat_ws("/", *[F.get_json_object(j, f"$.{c}") for c in ("l_orderkey", "l_linenumber", "transaction_count")])
+    return x.select(F.array_join(F.transform("cost_types", lambda t: F.concat_ws("=", t["cost_type"], t["columns"])), ",").alias("cost_types"), "grand_total",
+                    F.array_join(F.transform("sample_rows", key), ",").alias("sample_keys"))
+
+
 @register("cost_columns", "AGG-9", oracle=with_views("""
 SELECT 'monetary' AS cost_type, 'penalty_monetary' AS column_name, count(penalty_monetary) AS parsed_values FROM cost_result
 UNION ALL SELECT 'credits', 'service_credits', count(service_credits) FROM cost_result
@@ -426,6 +444,21 @@ def audit_timeline(spark, d):
     return t.select("id", "entity_type", "entity_id", "action", "prev_action", "prev_id")
 
 
+@register("audit_stream", "AUD-7", oracle=with_views("""
+SELECT id, entity_type, entity_id, action, lag(action) OVER w AS prev_action, lag(id) OVER w AS prev_id, FALSE AS late
+FROM audit_logs WINDOW w AS (PARTITION BY entity_type, entity_id ORDER BY "timestamp", id)""", "audit_logs"))
+def audit_stream(spark, d):
+    """The trail appended by a stream that is started three times, each time with the events of the next ten days."""
+    events = A.audit_logs(spark, d)
+    base = sk.scratch_path(spark, "audit")
+    trail = au.AuditTrail(f"{base}/audit", events.schema, ["entity_type", "entity_id"], ["timestamp", "id"], ["action", "id"])
+    day = F.dayofmonth("timestamp")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.where(part).write.mode("append").parquet(f"{base}/landing")
+        trail.run(f"{base}/landing", f"{base}/progress")
+    return trail.timeline(spark).select("id", "entity_type", "entity_id", "action", "prev_action", "prev_id", "late")
+
+
 @register("activity_counts", "AUD-8", oracle=with_views("""
 SELECT action, entity_type, result_status, count(*) AS n FROM audit_logs GROUP BY ALL""", "audit_logs"))
 def activity_counts(spark, d):
@@ -433,13 +466,15 @@ def activity_counts(spark, d):
 
 
 @register("status_counts", "AGG-21", oracle=with_views("""
-SELECT 'query' AS entity, validation_status AS status, count(*) AS n FROM ledger_queries GROUP BY ALL
+SELECT 'document' AS entity, status, count(*) AS n FROM ledger_documents GROUP BY ALL
+UNION ALL SELECT 'query', validation_status, count(*) FROM ledger_queries GROUP BY ALL
 UNION ALL SELECT 'calculation', execution_status, count(*) FROM calculations GROUP BY ALL
 UNION ALL SELECT 'sanity', sanity_check_status, count(*) FROM calculations GROUP BY ALL
 UNION ALL SELECT 'approval', request_status, count(*) FROM approvals GROUP BY ALL""",
-    "ledger_queries", "calculations", "approvals"))
+    "ledger_documents", "ledger_queries", "calculations", "approvals"))
 def status_counts(spark, d):
-    return lg.status_counts([("query", A.ledger_queries(spark, d), "validation_status"),
+    return lg.status_counts([("document", A.ledger_documents(spark, d), "status"),
+                             ("query", A.ledger_queries(spark, d), "validation_status"),
                              ("calculation", A.calculations(spark, d), "execution_status"),
                              ("sanity", A.calculations(spark, d), "sanity_check_status"),
                              ("approval", A.approvals(spark, d), "request_status")])
@@ -488,6 +523,15 @@ def active_lookup(spark, d):
     return lg.active_approvers(A.users(spark, d), A.approvals(spark, d))
 
 
+@register("proof_lookup", ("FLT-6", "FLT-7"), oracle=with_views(f"""
+SELECT * FROM ({CHAIN_SQL}) c WHERE approval_id = (SELECT max(id) FROM approvals WHERE request_status = 'approved')""",
+    "approvals", "calculations", "ledger_queries", "ledger_documents"))
+def proof_lookup(spark, d):
+    """The proof of one approval, by its id."""
+    wanted = A.approvals(spark, d).where("request_status = 'approved'").agg(F.max("id")).first()[0]
+    return lg.search_proofs(proof_chain(spark, d), approval_id=wanted)
+
+
 @register("proof_search", ("FLT-7", "LIM-3"), oracle=with_views(f"""
 SELECT approval_id, calculation_id, document_id, approval_date FROM ({CHAIN_SQL}) c
 WHERE document_id IN (1, 3, 5) AND approval_date >= TIMESTAMP '1995-01-01' AND approval_date < TIMESTAMP '1998-01-01'

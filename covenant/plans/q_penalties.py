@@ -109,6 +109,17 @@ def sql_passthrough(spark, d):
     return res.withColumn("penalty_monetary", F.round("penalty_monetary", 6))
 
 
+CALENDAR_SQL = ("SELECT EXTRACT(YEAR FROM incident_date) AS year, EXTRACT(MONTH FROM incident_date) AS month, EXTRACT(DAY FROM incident_date) AS day, "
+                "COUNT(*) AS incidents FROM billing GROUP BY EXTRACT(YEAR FROM incident_date), EXTRACT(MONTH FROM incident_date), EXTRACT(DAY FROM incident_date)")
+
+
+@register("calendar_fields", "PRJ-1", oracle=with_views(
+    f"SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(day AS INTEGER) AS day, incidents FROM ({CALENDAR_SQL}) c", "billing"))
+def calendar_fields(spark, d):
+    """A user statement with the EXTRACT forms."""
+    return ex.run_sql(spark, CALENDAR_SQL, {"billing": A.billing(spark, d)})
+
+
 @register("select_all", "PRJ-3", oracle=with_views("SELECT * FROM billing", "billing"))
 def select_all(spark, d):
     return ex.run_sql(spark, ex.default_query("billing"), {"billing": A.billing(spark, d)})

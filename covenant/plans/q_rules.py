@@ -13,6 +13,7 @@ from covenant.operators import windows as wn
 from covenant.plans import adapters as A
 from covenant.plans.adapters import with_views
 from covenant.plans.registry import register
+from covenant.session import written
 
 RULE_STRUCT_SQL = ("STRUCT(rule_id VARCHAR, metric VARCHAR, threshold DOUBLE, threshold_operator VARCHAR, "
                    "penalty_amount DOUBLE, penalty_type VARCHAR, penalty_percentage DOUBLE, description VARCHAR, "
@@ -130,7 +131,8 @@ FROM (SELECT v.*, CAST(date_trunc('month', incident_date) AS DATE) AS month, t.m
       FROM violations v JOIN terms t ON t.contract_id = v.contract_id) x""",
     "rule_responses", "billing_contracts", extra=RULE_CTES))
 def capped_credits(spark, d):
-    v = violations(spark, d).withColumn("month", F.trunc("incident_date", "MM"))
+    # evaluated once: the running sums read the rows twice, for themselves and for the chunks' offsets
+    v = written(violations(spark, d).withColumn("month", F.trunc("incident_date", "MM")), "violations")
     # chunk = (day, block of 2^20 order keys): monotone in the sort order and
     # fine enough that a hot contract-month is spread over many tasks
     r = wn.capped_in_order(v, ["contract_id", "month"], ["incident_date", *LINE_KEY, "metric"], "penalty", F.col("monthly_cap"),
@@ -138,23 +140,22 @@ def capped_credits(spark, d):
     return r.select(*LINE_KEY, "metric", "contract_id", "month", *[F.col(c).cast("double").alias(c) for c in ("penalty", "prior_sum", "credit")])
 
 
-
-@register("monthly_attainment", "AGG-20", oracle=with_views(f"""
-SELECT contract_id, month, round(avg_uptime, 6) AS avg_uptime,
-       CAST(CASE WHEN avg_uptime < 95.0 THEN 25.0 WHEN avg_uptime < 98.0 THEN 15.0 WHEN avg_uptime < 98.9 THEN 10.0
-            WHEN avg_uptime < 99.0 THEN 5.0 ELSE 0.0 END AS DOUBLE) AS credit_pct,
-       avg_uptime < {terms.UPTIME_TARGET} AS below_target
-FROM (SELECT contract_id, CAST(date_trunc('month', incident_date) AS DATE) AS month,
-             CAST(sum(CAST(uptime_percent AS DECIMAL(38,10))) AS DOUBLE) / count(uptime_percent) AS avg_uptime
-      FROM billing_contracts GROUP BY ALL) a""", "billing_contracts"))
+@register("monthly_attainment", "AGG-20", oracle=with_views("""
+SELECT p.contract_id, CAST(p.month AS DATE) AS month, coalesce(a.n, 0) AS measurements, round(a.avg_uptime, 6) AS average,
+       CASE WHEN a.avg_uptime IS NOT NULL THEN coalesce(max(r.penalty_percentage), 0.0) END AS credit_pct
+FROM (SELECT contract_id, unnest(generate_series(first_month, last_month, INTERVAL 1 MONTH)) AS month FROM contract_periods) p
+LEFT JOIN (SELECT contract_id, date_trunc('month', incident_date) AS month, count(uptime_percent) AS n,
+                  CAST(sum(CAST(uptime_percent AS DECIMAL(38,10))) AS DOUBLE) / count(uptime_percent) AS avg_uptime
+           FROM billing_contracts GROUP BY ALL) a ON a.contract_id = p.contract_id AND a.month = p.month
+LEFT JOIN rules r ON r.contract_id = p.contract_id AND r.metric = 'uptime_percent' AND CASE r.threshold_operator
+     WHEN '<' THEN a.avg_uptime < r.threshold WHEN '<=' THEN a.avg_uptime <= r.threshold WHEN '>' THEN a.avg_uptime > r.threshold
+     WHEN '>=' THEN a.avg_uptime >= r.threshold ELSE FALSE END
+GROUP BY p.contract_id, p.month, a.n, a.avg_uptime""", "billing_contracts", "rule_responses", "contract_periods", extra={"rules": RULES_CTE}))
 def monthly_attainment(spark, d):
-    bc = A.billing_contracts(spark, d).withColumn("month", F.trunc("incident_date", "MM"))
-    a = bc.groupBy("contract_id", "month").agg(
-        (F.sum(F.col("uptime_percent").cast("decimal(38,10)")).cast("double") / F.count("uptime_percent"))
-        .alias("avg_uptime"))
-    return a.select("contract_id", "month", F.round("avg_uptime", 6).alias("avg_uptime"),
-                    ru.attainment_tier(F.col("avg_uptime"), terms.UPTIME_TIERS).alias("credit_pct"),
-                    (F.col("avg_uptime") < terms.UPTIME_TARGET).alias("below_target"))
+    """Every month of every contract, with the credit of the contract's own uptime rules."""
+    out = ru.monthly_attainment(A.billing_contracts(spark, d), _rules(spark, d), A.contract_periods(spark, d), ["contract_id"],
+                                "incident_date", "uptime_percent", "uptime_percent")
+    return out.select("contract_id", "month", "measurements", F.round("average", 6).alias("average"), "credit_pct")
 
 
 # ------------------------------------------------------------------ incidents
@@ -181,12 +182,31 @@ SELECT i.*, l.response_limit, l.resolution_limit,
 FROM incidents i LEFT JOIN ({LIMITS_SQL}) l ON l.severity = i.severity"""
 
 
-@register("severity_limits", "RUL-7", oracle=with_views(
-    "SELECT incident_id, severity, response_limit, resolution_limit, response_breach, resolution_breach FROM breaches",
-    "incidents", extra={"breaches": BREACH_CTE}))
+OWN_LIMITS = [*[(None, *x) for x in terms.SEVERITY_LIMITS], *terms.SERVICE_LIMITS]
+_sql_value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+OWN_LIMITS_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in OWN_LIMITS) \
+    + ") l(service, severity, response_limit, resolution_limit)"
+
+
+def _limit_sql(value):
+    """The first stated value from (service, severity) over severity and service to the default."""
+    pick = lambda cond: f"(SELECT min({value}) FROM limits l WHERE {cond})"
+    return (f"coalesce({pick('l.service = i.service AND l.severity = i.severity')}, {pick('l.service IS NULL AND l.severity = i.severity')}, "
+            f"{pick('l.service = i.service AND l.severity IS NULL')}, {pick('l.service IS NULL AND l.severity IS NULL')})")
+
+
+@register("severity_limits", "RUL-7", oracle=with_views(f"""
+SELECT incident_id, service, severity, response_limit, resolution_limit, initial_response_minutes > response_limit AS response_breach,
+       resolution_minutes > resolution_limit AS resolution_breach
+FROM (SELECT i.*, {_limit_sql("response_limit")} AS response_limit, {_limit_sql("resolution_limit")} AS resolution_limit FROM incidents i) x""",
+    "incidents", extra={"limits": OWN_LIMITS_SQL}))
 def severity_limits(spark, d):
-    return incident_breaches(spark, d).select("incident_id", "severity", "response_limit", "resolution_limit",
-                                              "response_breach", "resolution_breach")
+    """Limits of (service, severity), of the severity, of the service, or the default, in this order and value by value."""
+    limits = spark.createDataFrame(OWN_LIMITS, "service string, severity string, response_limit int, resolution_limit int")
+    i = ru.with_limits(A.incidents(spark, d), limits, ["service", "severity"], ["response_limit", "resolution_limit"])
+    return i.select("incident_id", "service", "severity", "response_limit", "resolution_limit",
+                    (F.col("initial_response_minutes") > F.col("response_limit")).alias("response_breach"),
+                    (F.col("resolution_minutes") > F.col("resolution_limit")).alias("resolution_breach"))
 
 
 @register("breach_confusion", "RUL-10", oracle=with_views("""

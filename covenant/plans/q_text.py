@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covenant import terms
 from covenant.functions.columns import sql_list
+from covenant.operators import sqltext as st
 from covenant.operators import text as tx
 from covenant.operators.ledger import registry_frame
 from covenant.plans import adapters as A
@@ -166,6 +167,21 @@ def response_errors(spark, d):
     return e.filter(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count(F.lit(1)).alias("responses"))
 
 
+@register("response_previews", "TXT-7", oracle=with_views(f"""
+SELECT response_id, {STATUS_SQL} AS status, substr(content, 1, {terms.RESPONSE_PREVIEW_CHARS}) AS response_preview
+FROM responses WHERE {STATUS_SQL} IN ('empty', 'unparseable')
+UNION ALL
+SELECT doc_id, 'unparseable', substr(text, 1, {terms.RESPONSE_PREVIEW_CHARS}) FROM documents
+WHERE text <> '' AND ({STATUS_SQL.replace("content", "text")}) = 'unparseable'""", "responses"))
+def response_previews(spark, d):
+    """The beginnings of responses without JSON: of the response log, and of the documents taken as responses."""
+    r = A.responses(spark, d).select("response_id", "content")
+    docs = A.text_table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("response_id"), F.col("text").alias("content"))
+    pick = lambda df, *kinds: df.select("response_id", tx.json_status(F.col("content")).alias("status"),
+                                        tx.preview(F.col("content")).alias("response_preview")).where(F.col("status").isin(*kinds))
+    return pick(r, "empty", "unparseable").unionByName(pick(docs, "unparseable"))
+
+
 @register("query_default", "TXT-8", oracle=with_views(f"""
 SELECT 'terms' AS source, contract_id AS response_id,
        coalesce(nullif(json_extract_string(content, '$.sql_query'), ''), 'SELECT * FROM billing') AS query_text
@@ -220,6 +236,19 @@ def sql_lint_position(spark, d):
     return q.select("query_id", F.concat_ws(",", miss).alias("missing_columns"), (F.size(miss) == 0).alias("valid"))
 
 
+@register("sql_lint_strict", "TXT-9", oracle="""
+SELECT event_id AS query_id,
+       CASE event_type WHEN 'click' THEN 'qualifier X' WHEN 'purchase' THEN 'column USER_' || user_id
+                       WHEN 'error' THEN 'column GHOST,table ARCHIVE_' || user_id ELSE '' END AS findings,
+       event_type IN ('view', 'signup') AS valid
+FROM events""")
+def sql_lint_strict(spark, d):
+    """Names that neither the schema nor the statement itself knows; nothing inside literals or comments."""
+    q = A.statement_log(spark, d)
+    bad = st.lint_names(F.col("sql_text"), A.QUERY_LOG_COLUMNS, ["events"])
+    return q.select("query_id", bad.alias("bad")).select("query_id", F.concat_ws(",", "bad").alias("findings"), (F.size("bad") == 0).alias("valid"))
+
+
 BILLING_COLUMNS = ["l_orderkey", "l_linenumber", "incident_date", "uptime_percent", "avg_response_time",
                    "error_rate", "transaction_count", "supplier_id"]
 
@@ -318,15 +347,34 @@ def schema_profile(spark, d):
     return profiles(spark, d)
 
 
-@register("schema_text", "TXT-3", oracle=f"""
+SCHEMA_TEXT_SQL = f"""
 SELECT table_name, 'Table Name: `' || table_name || '`' || chr(10) || 'Total Columns: ' || CAST(count(*) AS VARCHAR)
        || chr(10) || string_agg(CAST(position AS VARCHAR) || '. `' || column_name || '` (' || type_label || ') = '
                                 || coalesce(sample, 'NULL'), chr(10) ORDER BY position) AS schema_text
-FROM ({_schema_profile_sql()}) p GROUP BY table_name""")
+FROM ({_schema_profile_sql()}) p GROUP BY table_name"""
+
+
+@register("schema_text", "TXT-3", oracle=SCHEMA_TEXT_SQL)
 def schema_text(spark, d):
     return fs.schema_text(profiles(spark, d))
 
 
+DATA_TABLE_SQL = "CASE WHEN lang = 'en' THEN 'customer' WHEN lang = 'de' THEN 'orders' WHEN lang = 'fr' THEN 'no such table' END"
+
+
+@register("prompt_schema", ("TXT-1", "TXT-3"), oracle=with_views(f"""
+SELECT p.doc_id, length(p.prompt || coalesce(chr(10) || s.schema_text, '')) AS prompt_chars,
+       sha256(p.prompt || coalesce(chr(10) || s.schema_text, '')) AS prompt_hash
+FROM (SELECT prompts.doc_id, prompt, {DATA_TABLE_SQL} AS data_table FROM prompts JOIN docs USING (doc_id)) p
+LEFT JOIN ({SCHEMA_TEXT_SQL}) s ON s.table_name = p.data_table""", extra=PROMPT_CTES))
+def prompt_schema(spark, d):
+    """Prompts that end with the schema of the document's data table, where it has one."""
+    docs = docs_in(spark, d).withColumn("data_table", F.when(F.col("lang") == "en", "customer").when(F.col("lang") == "de", "orders")
+                                        .when(F.col("lang") == "fr", "no such table"))
+    p = tx.prompt_table(docs, "document_type", "text", "custom_prompt", "custom_instructions", fs.schema_text(profiles(spark, d)), "data_table")
+    return p.select("doc_id", F.length("prompt").cast("bigint").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_hash"))
+
+
 @register("registry_override", "EXT-1", oracle=with_views(f"""
 SELECT name, arg_max(description, registered_at) AS description, arg_max(n_outputs, registered_at) AS n_outputs,
        max(registered_at) AS version

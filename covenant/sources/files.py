@@ -44,12 +44,23 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
+def _whole_json(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold one document each (an array or an object over several lines), not one a line.
+
+    Looks at the beginnings of the first file: a line that opens an array, or
+    one that opens an object and does not close it.
+    """
+    lines = [r[0].strip() for r in spark.read.text(path).where(F.trim("value") != "").select(F.substring("value", 1, 1_000_000)).limit(1).collect()]
+    return bool(lines) and (lines[0].startswith("[") or (lines[0].startswith("{") and not lines[0].endswith("}")))
+
+
 def read_data(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
-              coerce: bool = True, multiline_json: bool = False) -> DataFrame:
+              coerce: bool = True, multiline_json: bool | None = None) -> DataFrame:
     """SRC-1..4: read by extension (or ``fmt``). CSV is read as text with a
     header and then passed through the one-pass coercion gate instead of
-    the reader's sampling inference; JSON is JSON-lines unless
-    ``multiline_json`` (one document per file)."""
+    the reader's sampling inference; JSON files hold one record a line, or one
+    document each (an array's elements are its records): ``multiline_json``
+    says which, by default the beginning of the data does."""
     fmt = fmt or format_of(path)
     r = spark.read
     if schema is not None:
@@ -58,6 +69,8 @@ def read_data(spark: SparkSession, path: str, fmt: str | None = None, schema: T.
         df = r.option("header", True).option("inferSchema", False).csv(path)
         return co.coerce(df)[0] if coerce and schema is None else df
     if fmt == "json":
+        if multiline_json is None:
+            multiline_json = _whole_json(spark, path)
         return (r.option("multiLine", multiline_json).option("timestampNTZFormat", JSON_TS)
                 .option("timestampFormat", JSON_TS).json(path))
     if fmt == "parquet":
@@ -74,6 +87,49 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                      F.col("value").alias("text_content"), "*").drop("value")
 
 
+#: Ends a document in a bulk text file.
+DOCUMENT_END = "\x1e\n"
+
+
+def write_documents(docs: DataFrame, path: str, name: str = "filename", text: str = "text_content") -> None:
+    """Many documents to few text files: per document its name on a line of its own, its text, and the end mark.
+
+    A name must be one line; a text must not hold the end mark (such rows fail).
+    """
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = F.col(f"`{name}`").cast("string")
+    bad = F.contains(t, F.lit(DOCUMENT_END)) | F.contains(named, F.lit("\n")) | F.contains(named, F.lit(DOCUMENT_END))
+    row = F.when(bad, F.raise_error(F.lit("a document holds the end mark or its name a line break")).cast("string")).otherwise(F.concat(named, F.lit("\n"), t))
+    docs.select(row.alias("value")).write.option("lineSep", DOCUMENT_END).text(path)
+
+
+def read_bulk_documents(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-5, bulk form: the documents of files written by ``write_documents``; large files are split between tasks."""
+    raw = spark.read.option("lineSep", DOCUMENT_END).text(path)
+    name = F.substring_index("value", "\n", 1)
+    text = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 2)")
+    return raw.select(name.alias("filename"), F.octet_length(text).cast("bigint").alias("file_size"), text.alias("text_content"))
+
+
+#: Rows of a data file that its profile shows.
+SAMPLE_ROWS = 90
+
+
+def file_profile(spark: SparkSession, path: str, order: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
+    """SRC-8: a data file in one row: name, size in bytes, its columns with their type labels, all rows, the first ``rows`` by ``order`` as JSON."""
+    df = read_data(spark, path)
+    files = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("file_size"))
+    size = files.first()["file_size"]              # of the listing alone: no file is opened
+    first = df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]) if order else df
+    sample = [r[0] for r in first.limit(rows).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()]
+    labels = [co.type_label(f.dataType) or "string" for f in df.schema.fields]
+    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return total.select(F.lit(os.path.basename(path.rstrip("/"))).alias("file_name"), F.lit(size).cast("bigint").alias("file_size"),
+                        array(df.columns).alias("headers"), array(labels).alias("column_types"), "total_rows",
+                        F.lit(len(sample)).alias("row_count"), array(sample).alias("sample_data"))
+
+
 def read_response_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """SRC-6: cached response records.
 

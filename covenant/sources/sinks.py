@@ -1,4 +1,4 @@
-"""Sinks (SNK-1..4): run ledger, full results, response-cache upsert, JSON rows.
+"""Sinks (SNK-1, SNK-2, SNK-4): ledgers, full results, JSON rows.
 
 Everything is written under the shared checkpoint folder of the cluster
 (``spark.checkpoint.dir``) or a caller-given shared path — never a
@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.operators.windows import latest_per_key
 from covenant.session import checkpoint_dir
 
 
@@ -41,20 +40,6 @@ def write_results(result: DataFrame, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
-def upsert_cache(existing: DataFrame | None, incoming: DataFrame, key: Sequence[str], order: Sequence[str],
-                 path: str, version: int = 0) -> DataFrame:
-    """SNK-3: last write wins per key (aggregate, not a sort per key).
-
-    The new state goes to a folder of its own ``version``, so the store that
-    ``existing`` reads is never overwritten while it is read."""
-    allrows = incoming if existing is None else existing.unionByName(incoming, allowMissingColumns=True)
-    cols = [c for c in allrows.columns if c not in key]
-    latest = latest_per_key(allrows, key, order, cols)
-    target = f"{path.rstrip('/')}/version-{version:08d}"
-    latest.write.mode("overwrite").parquet(target)
-    return allrows.sparkSession.read.schema(latest.schema).parquet(target)
-
-
 def json_rows(df: DataFrame, out: str = "json") -> DataFrame:
     """SNK-4: one JSON text per row; nulls kept, timestamps ISO."""
     return df.select(F.to_json(F.struct(*df.columns),

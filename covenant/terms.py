@@ -46,6 +46,15 @@ SEVERITY_LIMITS = [
     ("low", 60, 480),
 ]
 
+# Limits that a service has of its own (None: any service, any severity, no such limit): likewise the library's defaults
+SERVICE_LIMITS = [
+    # service, severity, initial response limit, resolution limit
+    ("error", "critical", 3, 90),
+    ("purchase", "high", 10, None),
+    ("view", None, None, 400),
+    (None, None, 60, 480),
+]
+
 # --- FIXED VALUES: boolean words accepted by the coercion gate -------------
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no", "t", "f", "y", "n"]
 TRUE_WORDS = ["true", "1", "yes", "y", "t"]
@@ -94,6 +103,7 @@ DOCUMENT_TYPES = [
 GENERIC_TYPE = "custom"
 
 # Response-cache key separator: sha256(system || "||" || prompt)
+RESPONSE_PREVIEW_CHARS = 200
 PROMPT_KEY_SEPARATOR = "||"
 # Proof id: first 16 hex characters of sha256(approval id || ISO time)
 PROOF_ID_HEX_CHARS = 16
