@@ -8,6 +8,13 @@
 5. best-fit packing: the pieces of all documents with their sequences.
 
 Each stage works on all that its predecessor kept.
+
+Null and empty texts fail the quality rules and go with stage 1, as do texts of
+under ten words; a null id is an id like any other there and stays. Repeated rows
+are near duplicates of each other: one stays. An empty table gives an empty table
+of pieces. Other columns, whatever their names, pass through stages 1 to 4
+unchanged, but for ``n_chars``, which stage 4 sets to the masked text's length
+where the table has it.
 """
 
 from __future__ import annotations
@@ -44,8 +51,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = sanitise(docs, whole=True)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = sanitise(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
