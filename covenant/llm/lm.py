@@ -1,14 +1,19 @@
 """Log-bilinear language model with noise-contrastive training.
 
 The context words' vectors, each scaled by its place's weights, add up to a
-predicted vector q. Model words are the ``VOCABULARY`` most frequent ones, dealt
-by rank into ``CLASSES`` classes:
+predicted vector q. Every word is a model word: the ``COMMON`` most frequent ones
+have vectors of their own, all others share those of the bucket that their hash
+gives. The number of buckets follows the number of different words in the
+training documents (about ``BUCKETS`` times its square root), so the model grows
+with the corpus and no token lies outside it. Model words are dealt into about the
+square root of their number of classes:
 
     P(w | context) = softmax over classes (q U' + b) * softmax over the class's words (q R' + b)
+                     * (count(w) + 1) / (tokens of the bucket + its different words + 1)
 
-so normalised probabilities take two short batched matrix products a token.
-Words outside the vocabulary are one model word times their add-one share among
-such words.
+(the last factor for words of buckets only), so normalised probabilities take two
+short batched matrix products a token; a bucket's words and one unseen word share
+its probability by their counts.
 
 Training is one pass over all training documents: every task starts from the
 same vectors and trains on its own part of the corpus (noise-contrastive
@@ -20,6 +25,7 @@ broadcast; the rest of the tokens find their counts by a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +37,8 @@ from pyspark.sql import types as T
 
 from covenant.llm.common import SPACE, Words, crc_remainder, inner_names, passes, stage_table
 
-VOCABULARY = 4096
-CLASSES = 64
+COMMON = 4096
+BUCKETS = 2
 WIDTH = 16
 CONTEXT = 3
 #: Words with their counts (16 bytes each) that are broadcast for lookups.
@@ -44,21 +50,33 @@ RATE = 0.1
 #: Rows of one softmax product, so that its logits stay in the cache.
 ROWS = 4096
 
-#: The token after a text, and model words 0 and 1.
+#: The token after a text, which is model word 0.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-UNKNOWN, STOP = 0, 1
+STOP = 0
 
 
 @dataclass
 class Lexicon:
-    """Sorted hashes and counts of the head; model word of each (0: outside); totals."""
+    """Sorted hashes and counts of the head; model word of each; totals.
+
+    Model words: ``STOP``, the common words, then 1 << ``bits`` buckets.
+    """
     hashes: np.ndarray
     counts: np.ndarray
     words: np.ndarray
     unigram: np.ndarray          # training counts of the model words, by model word
+    bits: int
+    bucket_log: np.ndarray       # log10 of each bucket's tokens + different words + 1
     tokens: int
     distinct: int
 
+    @property
+    def first_bucket(self) -> int:
+        return len(self.unigram) - (1 << self.bits)
+
+    def bucket_word(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64) + self.first_bucket
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, found) of each hash in the head."""
         if not len(self.hashes):
@@ -80,7 +98,12 @@ class Model:
 
 
 def class_size(n: int) -> int:
-    return -(-n // CLASSES)
+    """Model words of a class, of which there are about as many as a class has words."""
+    return max(1, math.isqrt(n))
+
+
+def class_count(n: int) -> int:
+    return -(-n // class_size(n))
 
 
 def initial(unigram: np.ndarray) -> Model:
@@ -88,9 +111,9 @@ def initial(unigram: np.ndarray) -> Model:
     n, size = len(unigram), class_size(len(unigram))
     rng = np.random.default_rng(17)
     p = (unigram + 1.0) / (unigram + 1.0).sum()
-    classes = np.bincount(np.arange(n) // size, weights=p, minlength=CLASSES)
+    classes = np.bincount(np.arange(n) // size, weights=p)
     vectors = lambda k: rng.normal(0, 0.1, (k, WIDTH))
-    u = np.column_stack((vectors(CLASSES), np.log(np.maximum(classes, 1e-12))))
+    u = np.column_stack((vectors(len(classes)), np.log(np.maximum(classes, 1e-12))))
     r = np.column_stack((vectors(n), np.log(p / classes[np.arange(n) // size])))
     return Model(vectors(n).astype(np.float32), np.full((CONTEXT, WIDTH), 1.0, np.float32), u.astype(np.float32), r.astype(np.float32))
 
@@ -103,7 +126,7 @@ def stream(w: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarr
     hashes[at] = w.hash
     distinct, back = np.unique(hashes, return_inverse=True)
     place, found = lexicon.find(distinct)
-    word = np.where(found, lexicon.words[place] if len(lexicon.words) else 0, UNKNOWN)
+    word = np.where(found, lexicon.words[place] if len(lexicon.words) else 0, lexicon.bucket_word(distinct))
     word[distinct == END] = STOP
     return doc, hashes, np.where(found, place, -1)[back], word[back]
 
@@ -182,7 +205,7 @@ class Trainer:
         self.size = class_size(len(unigram))
         p = unigram + 1.0
         cls = np.arange(len(p)) // self.size
-        mass = np.bincount(cls, weights=p, minlength=CLASSES)
+        mass = np.bincount(cls, weights=p)
         self.class_p = mass / p.sum()
         self.word_p = p / mass[cls]
         self.cumulative = np.cumsum(self.word_p)          # a class's words end at its number plus one
@@ -205,7 +228,7 @@ class Trainer:
         x[:, :-1] = predict(m, ctx)
 
         # classes
-        noise = self.rng.choice(CLASSES, CLASS_NOISE, p=self.class_p)
+        noise = self.rng.choice(len(self.class_p), CLASS_NOISE, p=self.class_p)
         true = _sigmoid((x * m.u[cls]).sum(axis=1) - self.class_offset[cls]) - 1
         false = _sigmoid(x @ m.u[noise].T - self.class_offset[noise])
         dq = true[:, None] * m.u[cls] + false @ m.u[noise]
@@ -236,7 +259,7 @@ class Trainer:
         in_rows, in_sums = _sum_rows(ctx.ravel(), np.concatenate([dq * p for p in m.places]))
         self._move(0, in_rows, in_sums / n)
         self._move(1, np.arange(CONTEXT), d_places / n)
-        self._move(2, np.arange(CLASSES), du / n)
+        self._move(2, np.arange(len(du)), du / n)
         self._move(3, r_rows, r_sums / n)
 
 
@@ -266,8 +289,8 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def read_lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD) -> Lexicon:
-    """The head's counts and the model words; reads at most ``head`` rows to the driver."""
+def read_lexicon(counts: DataFrame, common: int = COMMON, head: int = HEAD) -> Lexicon:
+    """The head's counts and the model words; reads at most ``head`` rows and one a bucket to the driver."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     levels = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}
     least, total = 64, 0
@@ -281,15 +304,25 @@ def read_lexicon(counts: DataFrame, vocabulary: int = VOCABULARY, head: int = HE
     h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
     h, n = h[order], n[order]
-    words = np.zeros(len(h), np.int64)
-    common = np.lexsort((h, -n))
-    common = common[h[common] != END][:vocabulary - 2]
-    words[common] = np.arange(2, 2 + len(common))
-    words[h == END] = STOP
-    unigram = np.zeros(2 + len(common))
-    unigram[words] = n
-    unigram[UNKNOWN] = tokens - unigram[1:].sum()
-    return Lexicon(h, n, words, unigram, int(tokens), int(distinct))
+    frequent = np.lexsort((h, -n))
+    frequent = frequent[h[frequent] != END][:common]
+
+    bits = max(4, math.ceil(math.log2(BUCKETS * math.sqrt(distinct + 1))))
+    buckets = counts.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
+    held, different = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    held[buckets.column("b").to_numpy()] = buckets.column("n").to_numpy()
+    different[buckets.column("b").to_numpy()] = buckets.column("words").to_numpy()
+    own = np.concatenate((frequent, np.flatnonzero(h == END)))            # these have model words of their own
+    np.subtract.at(held, (h[own] >> np.uint64(64 - bits)).astype(np.int64), n[own])
+    np.subtract.at(different, (h[own] >> np.uint64(64 - bits)).astype(np.int64), 1)
+
+    unigram = np.concatenate(([0], n[frequent], held)).astype(np.float64)
+    unigram[STOP] = n[h == END].sum()
+    lexicon = Lexicon(h, n, np.zeros(len(h), np.int64), unigram, bits, np.log10(held + different + 1.0), int(tokens), int(distinct))
+    lexicon.words[:] = lexicon.bucket_word(h)
+    lexicon.words[frequent] = np.arange(1, 1 + len(frequent))
+    lexicon.words[h == END] = STOP
+    return lexicon
 
 
 def train_model(docs: DataFrame, lexicon: Lexicon) -> Model:
@@ -328,7 +361,7 @@ def train_model(docs: DataFrame, lexicon: Lexicon) -> Model:
 
 
 def _score(rows: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
-    """Per row what the head and the model give, and the tokens outside the head."""
+    """Per row what the head and the model give, and the tokens outside the head, whose counts are still to be added."""
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +374,9 @@ def _score(rows: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
                 per = lambda x: np.bincount(doc, weights=x, minlength=w.n_docs)
                 found = place >= 0
                 log_count = np.where(found, logs[place], 0.0)
-                outside = word == UNKNOWN
+                bucket = word - lexicon.first_bucket
+                outside = bucket >= 0
+                share = np.where(outside, log_count - lexicon.bucket_log[np.maximum(bucket, 0)], 0.0)
                 model_log = log_probabilities(model, contexts(doc, word), word) / np.log(10)
                 away = np.flatnonzero(~found)
                 order = np.lexsort((hashes[away], doc[away]))
@@ -356,16 +391,16 @@ def _score(rows: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(lo, hi - lo) for c in ("row", "key")), pa.array((w.per_doc + 1).astype(np.int64)),
                      pa.array(per(found & (lexicon.counts[place] > 0) if len(lexicon.counts) else found).astype(np.int64)), pa.array(per(log_count)),
-                     pa.array(per(model_log)), pa.array(per(np.where(outside, log_count, 0.0))), pa.array(per(outside).astype(np.int64)), rest],
-                    names=["row", "key", "n_tokens", "known", "counts_log", "model_log", "outside_log", "outside", "rest"])
+                     pa.array(per(model_log + share)), rest],
+                    names=["row", "key", "n_tokens", "known", "counts_log", "model_log", "rest"])
 
     schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["key"], *T._parse_datatype_string(
-        "n_tokens long, known long, counts_log double, model_log double, outside_log double, outside long, rest array<struct<h long, times long>>").fields])
+        "n_tokens long, known long, counts_log double, model_log double, rest array<struct<h long, times long>>").fields])
     return rows.select("row", "key", "text").mapInArrow(run, schema)
 
 
 def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2,
-              vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+              common: int = COMMON, head: int = HEAD) -> DataFrame:
     """Per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the add-one unigram log10 probability, ``score`` that of
@@ -378,7 +413,7 @@ def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds
     held = crc_remainder(F.col("key"), folds) == held_out
     train = d.where(~held)
     counts = stage_table(_counts(train), "lm-counts")
-    lexicon = read_lexicon(counts, vocabulary, head)
+    lexicon = read_lexicon(counts, common, head)
     model = train_model(train, lexicon)
     scored = stage_table(_score(d.withColumn("row", F.monotonically_increasing_id()), lexicon, model), "lm-scored")
 
@@ -387,11 +422,9 @@ def lm_scores(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds
              .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log")))
     out = scored.drop("rest").join(found, "row", "left").na.fill(0, ["more_known", "more_log"])
     tokens, distinct = lexicon.tokens, lexicon.distinct
-    outside_tokens, outside_distinct = float(lexicon.unigram[UNKNOWN]), distinct - int((lexicon.unigram[1:] > 0).sum())
     log_all = float(np.log10(tokens + distinct + 1.0))
-    log_outside = float(np.log10(outside_tokens + outside_distinct + 1.0))
     return out.select(
         F.col("key").alias(key), held.alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("counts_log") + F.col("more_log") - F.col("n_tokens") * log_all).alias("base_score"),
-        (F.col("model_log") + F.col("outside_log") + F.col("more_log") - F.col("outside") * log_outside).alias("score"))
+        (F.col("model_log") + F.col("more_log")).alias("score"))

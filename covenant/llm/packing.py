@@ -34,7 +34,7 @@ from covenant.llm.common import inner_names, stage_table
 
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 #: Bytes of encoded words that a task keeps, all caches together, and what an entry takes beside its texts.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 
 

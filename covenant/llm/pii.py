@@ -1,37 +1,36 @@
 """Personal data: exact base kinds plus information-theoretic sanitisation (native).
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone
-numbers. Beyond them, words standing beside such an entity can give it away.
-From corpus co-occurrence, with N documents,
+numbers. Beyond them, words can give such an entity away. Terms and units are
+counted over whole documents, in different texts; a unit is the exact value, a
+group that recurs (e-mail domain, phone, network and card prefix), or the kind.
+With N texts,
 
-    IC(e)      = log2(N / docs(e))                    information of entity e
-    PMI(t; e)  = log2(N * docs(t, e) / (docs(t) * docs(e)))
-    disclosure = PMI(t; e) / IC(e)   (1: whoever reads t knows e)
-
-docs(t, e) counts the documents with word t in a context of e, docs(t) and
-docs(e) those with t or e anywhere. A pair with a disclosure of at least
-``threshold``, seen in at least ``support`` different texts, marks t in the
-contexts of e: above ``remove_at`` it is removed, below it generalised.
+    IC(u)      = log2(N / docs(u))                                  information of unit u
+    disclosure = log2(low(docs(t, u) / docs(t)) * N / docs(u)) / IC(u)
 
-A context is ``CONTEXT`` code points on each side of the entity, so pairs grow
-with the number of entities, not with document length times entities.
+where low is the lower confidence bound of P(u | t): 1 means that whoever reads t
+knows u. As IC grows with the corpus, a high disclosure alone is no evidence: the
+word must also stand with u more often than chance allows. By chance a text holds
+an entity of any kind with the base rate r, so
 
-``whole=True`` (the query and the pipeline) counts terms and entities over whole
-documents instead, in different texts, and at units that recur too: the exact
-value, e-mail domain, phone, network and card prefix, and the kind. There is no
-least support: P(u | t) is replaced by its lower confidence bound,
+    P(docs(t, u) of docs(t) or more) <= exp(-docs(t) * KL(docs(t, u) / docs(t) || r))
 
-    disclosure = log2(low(docs(t, u) / docs(t)) * N / docs(u)) / IC(u)
-
-and a flagged word is marked in all documents, wherever it stands.
+must be at most ``alpha`` divided by the number of pairs tested (Bonferroni). The
+texts that this takes depend on r and, through the number of pairs, on the
+logarithm of the corpus only; a word of one text is never evidence. A flagged
+word is marked in all documents, wherever it stands: from ``remove_at`` on it is
+removed, below it generalised.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import inner_names, small_enough, stage_table
+from covenant.llm.common import inner_names, stage_table
 from covenant.llm.spans import count_kind, joined, let, matches, sha256_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -52,16 +51,14 @@ NEEDS = ("@", ".", None, "+")
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]")
 
 WORD = r"[\p{L}\p{N}]++"
-CONTEXT = 48
 THRESHOLD = 0.8
 REMOVE_AT = 0.95
-SUPPORT = 3
-#: One-sided 95 % confidence of P(unit | term).
+#: One-sided 95 % confidence of P(unit | term), and the chance of flagging any word without cause.
 CONFIDENCE = 1.645
+ALPHA = 0.05
 
-#: Bounds of what is broadcast; beyond them the same joins shuffle.
-BROADCAST_TERMS = 500_000
-BROADCAST_TEXTS = 200_000
+#: Bytes of a side up to which it is broadcast; beyond them the same joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _digits(value: Column) -> Column:
@@ -88,15 +85,14 @@ def _valid(kind: int, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end, value, before, after>> of the valid base matches."""
+    """array<struct<start, kind, end, value>> of the valid base matches."""
     out = []
     for kind, (pattern, need) in enumerate(zip(PATTERNS, NEEDS)):
-        found = matches(text, pattern, CONTEXT)
+        found = matches(text, pattern)
         if need:
-            found = F.when(F.contains(text, F.lit(need)), found).otherwise(matches(F.lit(""), "x", CONTEXT))
+            found = F.when(F.contains(text, F.lit(need)), found).otherwise(matches(F.lit(""), "x"))
         out.append(F.transform(F.filter(found, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            s["before"].alias("before"), s["after"].alias("after"))))
+            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
     return F.concat(*out)
 
 
@@ -104,53 +100,6 @@ def text_id(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _context_words(span: Column) -> Column:
-    """array<struct<term, start, end>> of the whole words beside one entity."""
-    left = F.filter(matches(span["before"], WORD), lambda w: ~((w["start"] == 0) & (F.length(span["before"]) == CONTEXT)))
-    right = F.filter(matches(span["after"], WORD), lambda w: ~((w["end"] == CONTEXT) & (F.length(span["after"]) == CONTEXT)))
-
-    def moved(words: Column, base: Column) -> Column:
-        return F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (base + w["start"]).alias("start"), (base + w["end"]).alias("end")))
-    return F.concat(moved(left, span["start"] - F.length(span["before"])), moved(right, span["end"]))
-
-
-def disclosing_terms(found: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT,
-                     support: int = SUPPORT) -> DataFrame:
-    """Per text id: ``added``, the spans of words that disclose an entity beside them.
-
-    ``found``: one row per document (id, spans); ``texts``: (id, text), all
-    documents. Documents are counted as often as they occur; ``support`` counts
-    different texts.
-    """
-    n_docs = found.count()
-    marked = (found.where(F.size("spans") > 0).groupBy("id")
-              .agg(F.count(F.lit(1)).alias("copies"), F.any_value("spans").alias("spans")))
-    mentions = marked.select("id", "copies", F.explode("spans").alias("s"))
-    words = mentions.select("id", "copies", F.sha2(F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")), 256).alias("entity"),
-                            F.explode(_context_words(F.col("s"))).alias("w")).select("id", "copies", "entity", "w.*")
-    words = stage_table(words, "pii-context-words")
-
-    pairs = (words.select("entity", "term", "id", "copies").distinct().groupBy("entity", "term")
-             .agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
-    pairs = stage_table(pairs, "pii-pairs")
-    # docs(e): every mention has a context, so the documents of e are those of its mentions
-    entities = (mentions.select("id", "copies", F.sha2(F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")), 256).alias("entity"))
-                .distinct().groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count(F.lit(1)).alias("entity_texts"))
-                .where(F.col("entity_texts") >= support).drop("entity_texts"))
-    terms = pairs.select("term").distinct()
-    if small_enough(terms, BROADCAST_TERMS):
-        terms = F.broadcast(terms)
-    counts = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-              .join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")))
-    information = F.log2(F.lit(float(n_docs)) / F.col("entity_docs"))
-    pmi = F.log2(F.lit(float(n_docs)) * F.col("both") / (F.col("term_docs") * F.col("entity_docs")))
-    flagged = (pairs.join(entities, "entity").join(counts, "term").where(information > 0)
-               .withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold)
-               .select("entity", "term", (F.col("disclosure") >= remove_at).alias("remove")))
-    return (words.join(flagged, ["entity", "term"]).groupBy("id", "start", "end").agg(F.max("remove").alias("remove"))
-            .groupBy("id").agg(F.collect_list(F.struct("start", "end", "remove")).alias("added")))
-
-
 def blank(text: Column, spans: Column) -> Column:
     """The text with spans (start, end, ...) overwritten by spaces, all positions kept."""
     empty = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit("")), 1, 0).alias("out"))
@@ -188,8 +137,25 @@ def lower_bound(hits: Column, of: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def log_chance(hits: Column, of: Column, rate: float) -> Column:
+    """Upper bound of ln P(X >= hits) for X binomial(of, rate): Chernoff's, exact where all are hits."""
+    p = hits / of
+    part = lambda share, base: F.when(share > 0, share * F.log(share / F.lit(base))).otherwise(0.0)
+    kl = part(p, rate) + (part(1 - p, 1 - rate) if rate < 1 else F.lit(0.0))
+    return F.when(p > rate, -of * kl).otherwise(0.0)
+
+
+def within(df: DataFrame, size: Column, most: int | None = None) -> bool:
+    """Whether the rows of ``df``, ``size`` bytes each, may be broadcast."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+
+
+def _string_bytes(name: str) -> Column:
+    return F.octet_length(name) + 32
+
+
 def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT,
-                     confidence: float = CONFIDENCE) -> DataFrame:
+                     confidence: float = CONFIDENCE, alpha: float = ALPHA) -> DataFrame:
     """term, remove: the words that disclose a unit, counted over whole texts.
 
     ``found``: one row per document (id, spans, words); equal texts count once.
@@ -199,17 +165,16 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
     one unit, so pairs grow with words times recurring units.
     """
     often = stage_table(found.groupBy("id").count().where("count > 1").select("id"), "pii-copies")
-    if small_enough(often, BROADCAST_TEXTS):
+    if within(often, F.lit(96)):
         often = F.broadcast(often)
     one = found.select("id", "spans", "words")
     texts = one.join(often, "id", "left_anti").unionByName(one.join(often, "id", "left_semi").dropDuplicates(["id"]))
-    n = float(found.select("id").distinct().count())
+    n, holding = texts.agg(F.count(F.lit(1)), F.count_if(F.size("spans") > 0)).first()
+    n, rate = float(n), holding / n if n else 0.0
     term_docs = stage_table(texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")), "pii-term-docs")
 
     held = stage_table(texts.where(F.size("spans") > 0).select("id", F.explode(F.array_distinct(F.flatten(F.transform("spans", units)))).alias("unit")), "pii-units")
     unit_docs = held.groupBy("unit").agg(F.count(F.lit(1)).alias("unit_docs")).where(F.col("unit_docs") < n)
-    if small_enough(unit_docs, BROADCAST_TERMS):
-        unit_docs = F.broadcast(unit_docs)
     limit = F.pow(F.col("unit_docs"), F.lit(threshold)) * n ** (1 - threshold) * (1 + 1e-9)
     held = (held.join(unit_docs, "unit").withColumn("unit", F.when(F.col("unit_docs") == 1, F.col("id")).otherwise(F.col("unit")))
             .distinct().groupBy("id").agg(F.collect_list(F.struct("unit", "unit_docs", limit.alias("limit"))).alias("units")))
@@ -218,18 +183,19 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
 
     common = term_docs.where(F.col("term_docs") > most).select("term")
     rare = term_docs.where(F.col("term_docs") <= most)
-    if small_enough(held, BROADCAST_TEXTS):
+    if within(held, F.aggregate(F.transform("units", lambda u: F.octet_length(u["unit"]) + 48), F.lit(96), lambda a, x: a + x)):
         held = F.broadcast(held)
     words = texts.where(F.size("spans") > 0).join(held, "id").select("units", F.explode("words").alias("term"))
-    if small_enough(common, BROADCAST_TERMS):
+    if within(common, _string_bytes("term")):
         words = words.join(F.broadcast(common), "term", "left_anti")
-    pairs = (words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
-             .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")))
+    pairs = stage_table(words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
+                        .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")), "pii-pairs")
+    tests = max(1, pairs.count())
     information = F.log2(F.lit(n) / F.col("unit_docs"))
     pmi = F.log2(lower_bound(F.col("both"), F.col("term_docs"), confidence) * n / F.col("unit_docs"))
-    flagged = stage_table(pairs.withColumn("disclosure", pmi / information).where(F.col("disclosure") >= threshold)
-                          .groupBy("term").agg((F.max("disclosure") >= remove_at).alias("remove")), "pii-flagged")
-    return flagged
+    told = pairs.withColumn("disclosure", pmi / information).where(
+        (F.col("disclosure") >= threshold) & (log_chance(F.col("both"), F.col("term_docs"), rate) <= math.log(alpha / tests)))
+    return stage_table(told.groupBy("term").agg((F.max("disclosure") >= remove_at).alias("remove")), "pii-flagged")
 
 
 def word_places(text: Column, hits: Column) -> Column:
@@ -258,13 +224,13 @@ def word_places(text: Column, hits: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: let(F.split(text, WORD, -1), lambda gaps: placed(words, gaps)))
 
 
-def _whole_added(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
+def _term_spans(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
     """Per text id: ``added``, the places of its disclosing words."""
     flagged = disclosing_words(found, **limits)
-    if small_enough(flagged, BROADCAST_TERMS):
+    if within(flagged, _string_bytes("term")):
         flagged = F.broadcast(flagged)
     ids = stage_table(found.select("id", F.explode("words").alias("term")).join(flagged, "term", "left_semi").select("id").distinct(), "pii-ids")
-    if small_enough(ids, BROADCAST_TEXTS):
+    if within(ids, F.lit(96)):
         ids = F.broadcast(ids)
     clean = texts.join(ids, "id", "left_semi").select("id", let(base_spans(F.col("text")), lambda spans: blank(F.col("text"), spans)).alias("clean"))
     clean = stage_table(clean.dropDuplicates(["id"]), "pii-clean")
@@ -274,11 +240,11 @@ def _whole_added(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
     return clean.join(hits, "id").select("id", word_places(F.col("clean"), F.col("hits")).alias("added"))
 
 
-def _found(docs: DataFrame, key: str, text: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     d = inner_names(docs, {key: "key", text: "text"}).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("id", text_id(F.col("text")))
     found = d.select("key", "id", "text", base_spans(F.col("text")).alias("spans"))
-    return d, stage_table(found.select("key", "id", "spans", *([_words(F.col("text"), F.col("spans")).alias("words")] if whole else [])), "pii-found")
+    return d, stage_table(found.select("key", "id", "spans", _words(F.col("text"), F.col("spans")).alias("words")), "pii-found")
 
 
 def _added(column: str) -> Column:
@@ -286,23 +252,25 @@ def _added(column: str) -> Column:
     return F.coalesce(F.col(column), none)
 
 
-def pii_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole: bool = False, **limits) -> DataFrame:
+def pii_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """Per input row: key, spans (array of start, kind position, end), base kinds and terms.
 
     Null texts are empty and have no spans; repeated rows come back as often;
     texts are read whole; other columns are ignored.
     """
-    texts, found = _found(docs, key, text, whole)
-    added = (_whole_added if whole else disclosing_terms)(found, texts, **limits)
+    texts, found = _found(docs, key, text)
+    added = stage_table(_term_spans(found, texts, **limits), "pii-added")
+    if within(added, F.size("added") * 16 + 96):
+        added = F.broadcast(added)
     out = found.join(added, "id", "left")
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     terms = F.transform(_added("added"), lambda s: F.struct(s["start"].alias("start"), F.lit(TERM).alias("kind"), s["end"].alias("end")))
     return out.select(F.col("key").alias(key), F.concat(base, terms).alias("spans"))
 
 
-def pii_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole: bool = False, **limits) -> DataFrame:
+def pii_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text)."""
-    s = pii_spans(docs, key=key, text=text, whole=whole, **limits)
+    s = pii_spans(docs, key=key, text=text, **limits)
     base = F.filter("spans", lambda x: x["kind"] < TERM)
     return s.select(key, *[count_kind(F.col("spans"), n).alias(f"n_{k}") for n, k in enumerate(BASE_KINDS)],
                     sha256_text(joined(base, KINDS)).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
@@ -328,16 +296,16 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), rebuild))
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", whole: bool = False, **limits) -> DataFrame:
+def sanitise(docs: DataFrame, *, text: str = "text", **limits) -> DataFrame:
     """The input with its text sanitised; all rows and columns are kept.
 
     Base entities become placeholders, disclosing words are generalised to
     ``[WORD]`` or removed. Null texts stay null.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    d, found = _found(docs, docs.columns[0], text, whole)
-    added = stage_table((_whole_added if whole else disclosing_terms)(found, d, **limits), "pii-added")
-    if small_enough(added, BROADCAST_TEXTS):
+    d, found = _found(docs, docs.columns[0], text)
+    added = stage_table(_term_spans(found, d, **limits), "pii-added")
+    if within(added, F.size("added") * 16 + 96):
         added = F.broadcast(added)
     own = F.col(names[text])
     rows = inner_names(docs, names).withColumn("id", text_id(F.coalesce(own, F.lit("")))).join(added, "id", "left")

@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,17 +165,17 @@ def thresholds(labelled: DataFrame, *, max_false: float = MAX_FALSE, delta: floa
     strata = counts.select("stratum").distinct().count()
     part, level_delta = max_false / len(RULES), delta / max(1, strata * len(RULES))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0]}
+    schema = T.StructType([T.StructField("stratum", T.StringType()), *[f for r in RULES for f in (
+        T.StructField(f"cut_{r}", T.IntegerType()), T.StructField(f"bound_{r}", T.DoubleType()))]])
+
+    def run(group: pa.Table) -> pa.Table:
+        rules = group.column("rule").to_numpy()
+        row = [group.column("stratum")[0].as_py()]
         for rule in RULES:
-            own = pdf[pdf["rule"] == rule]
-            row[f"cut_{rule}"], row[f"bound_{rule}"] = select_cutoff(
-                own["level"].to_numpy(), own["good"].to_numpy(), own["bad"].to_numpy(), part, level_delta)
-        return pd.DataFrame([row]).astype({f"cut_{r}": "Int32" for r in RULES})
-
-    schema = "stratum string, " + ", ".join(f"cut_{r} int, bound_{r} double" for r in RULES)
-    out = counts.groupBy("stratum").applyInPandas(run, schema)
-    return stage_table(out, "quality-thresholds")
+            row += select_cutoff(*(group.column(c).to_numpy()[rules == rule] for c in ("level", "good", "bad")), part, level_delta)
+        return pa.table([pa.array([v], t) for v, t in zip(row, [pa.string(), *[pa.int32(), pa.float64()] * len(RULES)])], names=schema.fieldNames())
+
+    return stage_table(counts.groupBy("stratum").applyInArrow(run, schema), "quality-thresholds")
 
 
 def _labelled(measured: DataFrame, labels: DataFrame, label_key: str, label: str) -> DataFrame:

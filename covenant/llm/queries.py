@@ -21,7 +21,7 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker, unless the session sets its own.
-ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -102,7 +102,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from covenant.llm.pii import pii_report
-    return pii_report(table(spark, sf_dir, "documents"), whole=True)
+    return pii_report(table(spark, sf_dir, "documents"))
 
 
 DECONTAMINATION_SQL = r"""

@@ -41,7 +41,7 @@ def corpus():
 @pytest.mark.parametrize("head", [lm.HEAD, 40])
 def test_base_against_brute_force(make_docs, odd_rows, head):
     rows = odd_rows + corpus()[:300] + [(5000 + i, f"only{i} here{i}") for i in range(20)]
-    got = [tuple(r) for r in lm_scores(make_docs(rows), head=head, vocabulary=30).collect()]
+    got = [tuple(r) for r in lm_scores(make_docs(rows), head=head, common=30).collect()]
     want = brute(rows)
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=repr), sorted(want, key=repr)):
@@ -72,3 +72,33 @@ def test_empty(make_docs):
     assert lm_scores(make_docs([])).collect() == []
     r = lm_scores(make_docs([(i, "a b") for i in range(200) if held(i)][:1])).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0
+
+
+def test_every_word_has_a_place_and_buckets_share_all_of_it(spark, make_docs):
+    """Common words and buckets: each bucket's shares, and one unseen word's, add up to one."""
+    rows = corpus()[:200] + [(5000 + i, f"only{i} here{i // 2}") for i in range(300)]
+    docs = make_docs(rows, extra=False)
+    lexicon = lm.read_lexicon(lm._counts(docs), common=20)
+    counts = Counter(t for _, x in rows for t in tokens(x))
+    words = sorted(w for w in counts if w)
+    from covenant.llm.common import SPACE, Words
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h = Words(data, np.array([0, len(data)]), SPACE).hash
+    place, found = lexicon.find(h)
+    assert found.all() and lexicon.distinct == len(counts)
+    model_word = lexicon.words[place]
+    common = {w for w, m in zip(words, model_word) if m < lexicon.first_bucket}
+    assert len(common) == 20 and min(counts[w] for w in common) >= max(counts[w] for w in words if w not in common)
+    total = np.ones(1 << lexicon.bits)
+    for w, m in zip(words, model_word):
+        if m >= lexicon.first_bucket:
+            total[m - lexicon.first_bucket] += counts[w] + 1
+    assert np.allclose(np.log10(total), lexicon.bucket_log)
+    assert lexicon.unigram.sum() == sum(counts.values())
+
+
+def test_the_model_grows_with_the_words(make_docs):
+    sizes = []
+    for n in (50, 800, 12_800):
+        sizes.append(len(lm.read_lexicon(lm._counts(make_docs([(i, f"w{i} v{i}") for i in range(n)], extra=False)), common=10).unigram))
+    assert sizes[0] < sizes[1] < sizes[2]

@@ -46,3 +46,30 @@ def test_stages_against_brute_force(spark, make_docs, odd_rows, tmp_path, tok):
     assert not any(rx.search(t) and ok(rx.search(t)[0]) for _, t in texts for rx, ok in BASE[:1])
     check(texts, corpus_pipeline.packing(spark, current, str(tmp_path)).collect(), tok, 2048)
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len({i for i, _ in left})
+
+
+def write_tables(spark, docs, path):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_empty_tables(spark, make_docs, tmp_path):
+    write_tables(spark, make_docs([], extra=False), tmp_path)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_clashing_columns_nulls_and_repeats(spark, make_docs, tmp_path):
+    """Columns named as the operators' own come through; null, empty and short texts go; of repeated rows one stays."""
+    long = " ".join(f"word{i}" for i in range(30))
+    docs = make_docs([(1, long), (1, long), (2, long.upper()), (None, long.replace("word", "other")), (3, None), (4, ""), (5, "too short")])
+    write_tables(spark, docs, tmp_path)
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        current = stage(spark, current, str(tmp_path))
+        assert current.columns == docs.columns, name
+    rows = current.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 1), (True, 0)] and all(str(r.score) == "2020-01-01" for r in rows)
+    no_chars = corpus_pipeline.pii(spark, docs.drop("n_chars"), str(tmp_path))
+    assert "n_chars" not in no_chars.columns and no_chars.count() == 7

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from covenant.llm.common import SPACE, Words, passes
-from covenant.llm.toxicity import features, toxicity, train
+from covenant.llm.toxicity import _feature_blocks, features, slopes, toxicity, train
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -69,3 +69,44 @@ def test_empty_and_no_labels(spark, make_docs):
     none = spark.createDataFrame([], LABELS)
     assert toxicity(make_docs([]), none).collect() == []
     assert len(toxicity(make_docs([(1, "a b"), (2, None)]), none).collect()) == 2
+
+
+def risk(z, is_pos, prior):
+    """The non-negative risk and its clean part, term by term."""
+    loss = lambda x: np.log1p(np.exp(-x))
+    pos, unl = [x for x, p in zip(z, is_pos) if p], [x for x, p in zip(z, is_pos) if not p]
+    toxic = prior * sum(loss(x) for x in pos) / len(pos)
+    clean = sum(loss(-x) for x in unl) / len(unl) - prior * sum(loss(-x) for x in pos) / len(pos)
+    return toxic + max(0.0, clean), clean
+
+
+def test_slopes_against_differences_of_the_brute_force_risk():
+    rng = np.random.default_rng(4)
+    signs = set()
+    for prior, spread in ((0.2, 1.0), (0.5, 3.0), (0.45, 2.0)):
+        is_pos = np.arange(12) < 5
+        z = rng.normal(0, spread, 12) + np.where(is_pos, 3.0, -3.0)
+        clean = risk(z, is_pos, prior)[1]
+        signs.add(clean < 0)
+        got = slopes(z, is_pos, prior)
+        for i in range(12):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            part = (lambda v: -risk(v, is_pos, prior)[1]) if clean < 0 else (lambda v: risk(v, is_pos, prior)[0])
+            assert abs((part(up) - part(down)) / 2e-5 - got[i]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_counts_and_shift_cover_all_training_documents(spark, make_docs):
+    rows, toxic = corpus(600)
+    docs = make_docs(rows, extra=False)
+    counts, n = _feature_blocks(docs.select("text"))
+    (_, _, data, offsets), *more = passes(pa.array([t for _, t in rows]))
+    lists = [features(Words(d, o, SPACE, lower=True))[1] for d, o in [(data, offsets), *((d, o) for _, _, d, o in more)]]
+    assert n == 600 and (counts == np.bincount(np.concatenate(lists), minlength=len(counts))).all()
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], LABELS)
+    out = toxicity(docs, labels, positives=20, unlabelled=30).collect()
+    train_rows = [r for r in out if not r.held_out]
+    prior = sum(toxic[r.doc_id] for r in train_rows) / len(train_rows)
+    assert abs(sum(r.score for r in train_rows) / len(train_rows) - prior) < 0.01
