@@ -16,10 +16,10 @@ an entity of any kind with the base rate r, so
 
     P(docs(t, u) of docs(t) or more) <= exp(-docs(t) * KL(docs(t, u) / docs(t) || r))
 
-must be at most ``alpha`` divided by the number of pairs tested (Bonferroni). The
-texts that this takes depend on r and, through the number of pairs, on the
-logarithm of the corpus only; a word of one text is never evidence. A flagged
-word is marked in all documents, wherever it stands: from ``remove_at`` on it is
+must be at most ``alpha`` divided by the number of pairs that meet in texts
+(Bonferroni). The texts that this takes depend on r and, through the number of
+pairs, on the logarithm of the corpus only: words of a few texts are no evidence
+in any corpus. A flagged word is marked in all documents, wherever it stands: from ``remove_at`` on it is
 removed, below it generalised.
 """
 
@@ -180,6 +180,8 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
             .distinct().groupBy("id").agg(F.collect_list(F.struct("unit", "unit_docs", limit.alias("limit"))).alias("units")))
     held = stage_table(held, "pii-held")
     most = held.agg(F.max(F.array_max(F.transform("units", lambda u: u["limit"])))).first()[0] or 0.0
+    met = texts.where(F.size("spans") > 0).select("id", F.size("words").alias("n")).join(held.select("id", F.size("units").alias("m")), "id")
+    units_met = met.agg(F.sum(F.col("n") * F.col("m"))).first()[0]              # at least the pairs that meet in any text
 
     common = term_docs.where(F.col("term_docs") > most).select("term")
     rare = term_docs.where(F.col("term_docs") <= most)
@@ -188,9 +190,9 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
     words = texts.where(F.size("spans") > 0).join(held, "id").select("units", F.explode("words").alias("term"))
     if within(common, _string_bytes("term")):
         words = words.join(F.broadcast(common), "term", "left_anti")
-    pairs = stage_table(words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
-                        .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")), "pii-pairs")
-    tests = max(1, pairs.count())
+    pairs = (words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
+                        .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")))
+    tests = max(1, int(units_met or 1))
     information = F.log2(F.lit(n) / F.col("unit_docs"))
     pmi = F.log2(lower_bound(F.col("both"), F.col("term_docs"), confidence) * n / F.col("unit_docs"))
     told = pairs.withColumn("disclosure", pmi / information).where(

@@ -53,9 +53,10 @@ def word_spans(rows):
         holds[t] = units
     docs_t, docs_u = Counter(w for t in texts for w in bags[t]), Counter(u for t in texts for u in holds[t])
     rate = sum(bool(holds[t]) for t in texts) / n
-    both, size = Counter(), {}
+    both, size, tests = Counter(), {}, 0
     for t in texts:
         mine = {t if docs_u[u] == 1 else u: docs_u[u] for u in holds[t] if docs_u[u] < n}
+        tests += len(mine) * len(bags[t])
         for u, c in mine.items():
             for w in bags[t]:
                 if docs_t[w] <= c ** pii.THRESHOLD * n ** (1 - pii.THRESHOLD) * (1 + 1e-9):
@@ -67,7 +68,7 @@ def word_spans(rows):
         low = (p + z2 / 2 / m - pii.CONFIDENCE * math.sqrt(p * (1 - p) / m + z2 / 4 / m / m)) / (1 + z2 / m)
         kl = sum(x * math.log(x / y) for x, y in ((p, rate), (1 - p, 1 - rate)) if x > 0)
         chance = -m * kl if p > rate else 0.0
-        if math.log2(low * n / size[u]) / math.log2(n / size[u]) >= pii.THRESHOLD and chance <= math.log(pii.ALPHA / len(both)):
+        if math.log2(low * n / size[u]) / math.log2(n / size[u]) >= pii.THRESHOLD and chance <= math.log(pii.ALPHA / tests):
             flagged.add(w)
     return {t: {(a, 4, b) for w, a, b in places[t] if w in flagged} for t in texts}
 

@@ -83,9 +83,9 @@ def risk(z, is_pos, prior):
 def test_slopes_against_differences_of_the_brute_force_risk():
     rng = np.random.default_rng(4)
     signs = set()
-    for prior, spread in ((0.2, 1.0), (0.5, 3.0), (0.45, 2.0)):
+    for prior, spread, gap in ((0.2, 1.0, 3.0), (0.5, 3.0, 3.0), (0.3, 2.0, -2.0), (0.2, 1.0, 0.0)):
         is_pos = np.arange(12) < 5
-        z = rng.normal(0, spread, 12) + np.where(is_pos, 3.0, -3.0)
+        z = rng.normal(0, spread, 12) + np.where(is_pos, gap, -gap)
         clean = risk(z, is_pos, prior)[1]
         signs.add(clean < 0)
         got = slopes(z, is_pos, prior)
