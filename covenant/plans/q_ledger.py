@@ -15,6 +15,7 @@ from covenant.operators import windows as wn
 from covenant.plans import adapters as A
 from covenant.plans.adapters import with_views
 from covenant.plans.registry import register
+from covenant.sources import schemas as sc
 from covenant.sources import sinks as sk
 from covenant.streaming import audit as au
 
@@ -587,3 +588,45 @@ def token_usage(spark, d):
         F.count(F.lit(1)).alias("responses"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.min("output_tokens").alias("min_output"),
         F.max("output_tokens").alias("max_output"), F.round(F.avg("output_tokens"), 4).alias("avg_output"))
+
+
+# ------------------------------------------------------------------ integrity
+def _surplus(table, column, check, view):
+    value = f"count({column}) - count(DISTINCT {column})" if check != "missing_key" else f"count(*) - count({column})"
+    return f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{check}' AS \"check\", CAST({value} AS BIGINT) AS rows FROM {view}"
+
+
+def _orphans(table, column, view, parent):
+    return (f"SELECT '{table}', '{column}', 'orphan', CAST(count(*) AS BIGINT) FROM {view} WHERE {column} IS NOT NULL "
+            f"AND {column} NOT IN (SELECT id FROM {parent} WHERE id IS NOT NULL)")
+
+
+INTEGRITY_SQL = "\nUNION ALL ".join(
+    [_surplus(t, "id", c, v) for t, v in (("users", "users"), ("documents", "ledger_documents"), ("queries", "ledger_queries"),
+                                          ("calculations", "calculations"), ("approvals", "approvals"), ("audit_logs", "audit_logs"))
+     for c in ("missing_key", "surplus_key")]
+    + [_surplus("users", "username", "surplus_value", "users"), _surplus("users", "email", "surplus_value", "users"),
+       _surplus("approvals", "calculation_id", "surplus_value", "approvals")]
+    + [_orphans("documents", "uploaded_by", "ledger_documents", "users"), _orphans("queries", "document_id", "ledger_queries", "ledger_documents"),
+       _orphans("calculations", "query_id", "calculations", "ledger_queries"), _orphans("approvals", "calculation_id", "approvals", "calculations"),
+       _orphans("approvals", "approved_by", "approvals", "users"), _orphans("audit_logs", "user_id", "audit_logs", "users")]
+    + [f"SELECT 'audit_logs', '{c}', 'orphan', CAST(0 AS BIGINT)" for c in ("document_id", "query_id", "calculation_id", "approval_id")])
+
+
+@register("ledger_integrity", ("JN-1", "JN-3", "JN-4"), oracle=with_views(
+    INTEGRITY_SQL, "users", "ledger_documents", "ledger_queries", "calculations", "approvals", "audit_logs"))
+def ledger_integrity(spark, d):
+    """Keys, unique values and references of the ledger's tables in their declared schemas."""
+    views = {"users": A.users, "documents": A.ledger_documents, "queries": A.ledger_queries, "calculations": A.calculations,
+             "approvals": A.approvals, "audit_logs": A.audit_logs}
+    return sc.integrity({name: sc.conform(view(spark, d), name) for name, view in views.items()})
+
+
+@register("conformed_calculations", "SNK-1", oracle=with_views("""
+SELECT id, query_id, execution_status, result_rows_count, len(result_data) AS sample_rows, sanity_check_status, sanity_check_details,
+       CAST(NULL AS VARCHAR) AS table_name FROM calculations""", "calculations"))
+def conformed_calculations(spark, d):
+    """Calculations in the declared schema: nested results as JSON, columns that are missing as nulls."""
+    c = sc.conform(A.calculations(spark, d), "calculations")
+    return c.select("id", "query_id", "execution_status", "result_rows_count", F.json_array_length("result_data").cast("bigint").alias("sample_rows"),
+                    "sanity_check_status", "sanity_check_details", "table_name")
