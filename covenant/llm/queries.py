@@ -24,6 +24,10 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
+#: Python workers live on between stages: what they free goes back to the system, small arrays are still reused.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Lets Python workers import this package when it is not installed.
 
@@ -33,6 +37,8 @@ def workers_find_package(spark: SparkSession) -> None:
     if not spark.sparkContext.getConf().contains(ARROW_BATCH[0]):
         spark.conf.set(*ARROW_BATCH)
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
