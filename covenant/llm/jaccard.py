@@ -9,9 +9,10 @@ counts; it is taken only over tiles that can hold a link.
    n-grams, so of any order of the columns, the first ``n - ceil(t n) + 1``
    columns of two linked rows have one in common, and for the smaller row it
    is among its first ``n - ceil(2t/(1+t) n) + 1``; only rows that share such a
-   column meet, and places in the order bound what they can share behind it. The order is by rarity, so common passages come last: document
-   counts are added up over all documents in a sketch of ``CELLS`` counters.
-   Its errors only change the order, which is the same for all rows.
+   column meet, and places in the order bound what they can share behind it. The
+   order is by rarity, so common passages come last: document counts are added up
+   over all documents in a sketch of ``CELLS`` counters. Its errors only change the
+   order, which is the same for all rows.
 3. Rows also carry how many of their columns fall into each of ``BUCKETS``
    buckets; the sum of the smaller counts bounds a pair's overlap, and pairs
    below the bound that their sizes ask for are discarded before any set moves.
@@ -19,11 +20,12 @@ counts; it is taken only over tiles that can hold a link.
    them, first each row with the one it meets most often: overlaps are
    accumulated over column blocks, and a pair is discarded as soon as its count
    and what is left cannot reach the bound.
-5. Links form components; pairs inside one are not multiplied again. Where all rows of a column are in one component, no
-   other pair is needed; where at most ``DIRECT`` rows meet, the pairs between
-   components are multiplied; else the next row is taken as in 4. So no link
-   between different components is lost, and groups of near copies never form
-   all their pairs.
+5. Links form components; pairs inside one are not multiplied again. Where all
+   rows of a column are in one component, no other pair is needed; where at most
+   ``DIRECT`` rows meet, the pairs between components are multiplied; else the next
+   row is taken as in 4, ``PEELS`` times, and then what is left is multiplied. So no
+   link between different components is lost, and groups of near copies do not form
+   all their pairs; rows of different components that share a rare column all meet.
 
 n-grams are compared by 64-bit hashes of whole n-grams.
 """

@@ -189,8 +189,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(c[0], pa.int32())), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])],
                     names=[key, "piece", "start", "length", "ids_crc32"])
-        finally:
-            encoder.forget()           # the worker serves other tasks and stages
+        finally:                       # the worker serves other tasks and stages: reading the file again takes 0.15 s
+            encoder.forget()
+            _ENCODERS.clear()
 
     schema = T.StructType([T.StructField(key, source.schema["k"].dataType), *T._parse_datatype_string(PIECE_COLUMNS).fields])
     return source.mapInArrow(run, schema)
