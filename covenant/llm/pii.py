@@ -231,15 +231,20 @@ def _term_spans(found: DataFrame, texts: DataFrame, **limits) -> DataFrame:
     flagged = disclosing_words(found, **limits)
     if within(flagged, _string_bytes("term")):
         flagged = F.broadcast(flagged)
-    ids = stage_table(found.select("id", F.explode("words").alias("term")).join(flagged, "term", "left_semi").select("id").distinct(), "pii-ids")
-    if within(ids, F.lit(96)):
-        ids = F.broadcast(ids)
-    clean = texts.join(ids, "id", "left_semi").select("id", let(base_spans(F.col("text")), lambda spans: blank(F.col("text"), spans)).alias("clean"))
-    clean = stage_table(clean.dropDuplicates(["id"]), "pii-clean")
-    hits = (clean.select("id", F.posexplode(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0))).alias("i", "word"))
-            .select("id", "i", F.lower("word").alias("term")).join(flagged, "term")
-            .groupBy("id").agg(F.collect_list(F.struct("i", "remove")).alias("hits")))
-    return clean.join(hits, "id").select("id", word_places(F.col("clean"), F.col("hits")).alias("added"))
+    # per text its flagged words: few; the places are found inside the text's row
+    told = stage_table(found.select("id", F.explode("words").alias("term")).join(flagged, "term").distinct()
+                       .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("told")), "pii-told")
+    if within(told, F.aggregate(F.map_keys("told"), F.lit(96), lambda a, x: a + F.octet_length(x) + 16)):
+        told = F.broadcast(told)
+    clean = texts.join(told, "id").select("id", "told", let(base_spans(F.col("text")), lambda spans: blank(F.col("text"), spans)).alias("clean"))
+    clean = clean.dropDuplicates(["id"])
+
+    def hits(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), F.try_element_at("told", F.lower(w)).alias("remove")))
+        return F.filter(numbered, lambda h: h["remove"].isNotNull())
+
+    found_at = let(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0)), hits)
+    return clean.select("id", word_places(F.col("clean"), found_at).alias("added")).where(F.size("added") > 0)
 
 
 def _found(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
