@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from covenant.llm.common import SPACE, Words, crc_remainder, inner_names, passes, stage_table
 
 COMMON = 4096
-BUCKETS = 2
+BUCKETS = 0.5
 WIDTH = 16
 CONTEXT = 3
 #: Words with their counts (16 bytes each) that are broadcast for lookups.
