@@ -15,14 +15,26 @@ hash is that of the head alone:
 
 Equal lines of a calculation are one entry with their count. A calculation
 without lines has the root of an empty leaf. Null fields are kept as nulls.
+
+Trees are built from the lines' hashes, not their texts, and the hashes are
+shuffled once, by calculation (``line_parts``): counts, leaves, inner
+nodes and comparisons follow in the same partitions. Calculations of over
+``HOT_LINES`` lines are built apart, dealt by hash too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covenant.session import written
+
 LEAF_LINES = 512
+#: Lines of a calculation up to which one task builds its tree, and a row may hold it.
+HOT_LINES = 4096
 FAN_OUT = 16
 SAMPLE_ROWS = 20
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
@@ -50,47 +62,114 @@ def digest(text: Column) -> Column:
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"      # SHA-256 of no bytes
 
 
-def proof_lines(costs: DataFrame) -> DataFrame:
-    """(calculation_id, line, count): the cost lines as canonical JSON, equal ones once."""
-    return costs.select("calculation_id", _json(LINE_FIELDS).alias("line")).groupBy("calculation_id", "line").agg(F.count(F.lit(1)).alias("count"))
+def line_texts(costs: DataFrame) -> DataFrame:
+    """(calculation_id, line): every cost line as canonical JSON."""
+    return costs.select("calculation_id", _json(LINE_FIELDS).alias("line"))
+
+
+def proof_lines(costs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(calculation_id, line, count): the cost lines as canonical JSON, equal ones once.
+
+    With ``wanted``, only the lines of its calculations, with its other columns.
+    The texts are written after grouping and joining; fields whose equal texts
+    may stand for different values are grouped by their texts.
+    """
+    plain = ("string", "date", "boolean", "tinyint", "smallint", "int", "bigint")
+    keys = [F.col(c) if k in plain or k.startswith("decimal") else F.col(c).cast("string").alias(c)
+            for c, k in costs.select(*LINE_FIELDS).dtypes]
+    out = costs.select("calculation_id", *keys).groupBy("calculation_id", *LINE_FIELDS).agg(F.count(F.lit(1)).alias("count"))
+    more = []
+    if wanted is not None:
+        out = out.join(wanted, "calculation_id")
+        more = [c for c in wanted.columns if c != "calculation_id"]
+    return out.select("calculation_id", _json(LINE_FIELDS).alias("line"), "count", *more)
+
+
+def line_hashes(costs: DataFrame, dealt: bool = True) -> DataFrame:
+    """(calculation_id, h, count): SHA-256 of each different line, as bytes; lines without a calculation are left out.
+
+    ``dealt``: shuffled once by calculation, so that what follows by calculation needs no other shuffle.
+    """
+    h = costs.where("calculation_id is not null").select("calculation_id", F.unhex(digest(_json(LINE_FIELDS))).alias("h"))
+    return (h.repartition("calculation_id") if dealt else h).groupBy("calculation_id", "h").agg(F.count(F.lit(1)).alias("count"))
+
+
+def line_parts(costs: Sequence[DataFrame], hot_lines: int = HOT_LINES) -> tuple[list[list[DataFrame]], int]:
+    """The line hashes of each of the cost frames, in one or two parts, and the lines of the largest calculation in all.
+
+    The first part has the calculations with at most ``hot_lines`` lines in all
+    frames, dealt by calculation; the second, where there are any, the others:
+    at most one for so many lines, left to later shuffles.
+    """
+    n = reduce(DataFrame.union, [c.select("calculation_id") for c in costs]).where("calculation_id is not null")
+    n = n.groupBy("calculation_id").agg(F.count(F.lit(1)).alias("n"))
+    most = n.agg(F.max("n")).first()[0] or 0
+    if most <= hot_lines:
+        return [[line_hashes(c) for c in costs]], most
+    ids = F.broadcast(written(n.where(F.col("n") > hot_lines).select("calculation_id"), "proof-hot"))
+    of = lambda how: [c.join(ids, "calculation_id", how) for c in costs]
+    return [[line_hashes(c) for c in of("left_anti")], [line_hashes(c, dealt=False) for c in of("left_semi")]], most
+
+
+def over_calculations(costs: Sequence[DataFrame], then: Callable[..., DataFrame], hot_lines: int = HOT_LINES) -> DataFrame:
+    """``then(*hashes, most, whole)`` for each of the ``line_parts``, put together.
+
+    ``most``: lines of the largest calculation or more; ``whole``: whether a row may hold a calculation's tree.
+    """
+    parts, most = line_parts(costs, hot_lines)
+    return reduce(DataFrame.union, [then(*part, most if i else min(most, hot_lines), i == 0) for i, part in enumerate(parts)])
+
+
+def depth_of(n: Column, leaf_lines: int = LEAF_LINES) -> Column:
+    depth = F.lit(0)
+    for d in range(8):
+        depth = depth + (n > leaf_lines * FAN_OUT ** d).cast("int")
+    return depth
+
+
+def top_depth(most: int, leaf_lines: int = LEAF_LINES) -> int:
+    return sum(most > leaf_lines * FAN_OUT ** d for d in range(8))
 
 
 def depths(lines: DataFrame, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """(calculation_id, lines_depth): the fewest levels with at most ``leaf_lines`` different lines a leaf, by expectation."""
     n = lines.groupBy("calculation_id").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.lit(0)
-    for d in range(8):
-        depth = depth + (F.col("n") > leaf_lines * FAN_OUT ** d).cast("int")
-    return n.select("calculation_id", depth.alias("lines_depth"))
+    return n.select("calculation_id", depth_of(F.col("n"), leaf_lines).alias("lines_depth"))
 
 
-def digest_tree(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """All nodes (calculation_id, prefix, lines_depth, entries, digest); the node of prefix '' is the root.
+def tree_steps(lines: DataFrame, levels: DataFrame, top: int | None = None) -> list[DataFrame]:
+    """The tree's nodes (calculation_id, prefix, lines_depth, entries, digest): all leaves, then the nodes above them step by step.
 
     A leaf's entries are ``<line hash>:<count>``, an inner node's ``<next digit>:<child digest>``, both sorted.
+    ``lines`` has the lines' texts (``line``) or hashes (``h``); ``top`` is the
+    greatest depth or more, read from ``levels`` where it is not given.
     """
-    h = lines.select("calculation_id", digest(F.col("line")).alias("h"), "count").join(levels, "calculation_id")
-    entry = F.concat_ws(":", "h", F.col("count").cast("string"))
+    if "h" in lines.columns:
+        h = lines.join(levels, "calculation_id").withColumn("h", F.lower(F.hex("h")))
+    else:
+        h = lines.select("calculation_id", digest(F.col("line")).alias("h"), "count").join(levels, "calculation_id")
 
     def node(df: DataFrame, prefix: Column, item: Column) -> DataFrame:
         g = df.groupBy("calculation_id", "lines_depth", prefix.alias("prefix")).agg(F.array_sort(F.collect_list(item)).alias("entries"))
         return g.withColumn("digest", digest(F.array_join("entries", "\n")))
 
-    leaves = node(h, F.expr("left(h, lines_depth)"), entry)
-    top = levels.agg(F.coalesce(F.max("lines_depth"), F.lit(0))).first()[0]
-    out = leaves
-    level = leaves.where(F.length("prefix") == top)
-    for d in range(top, 0, -1):
-        item = F.concat_ws(":", F.substring("prefix", d, 1), "digest")
-        level = node(level, F.expr(f"left(prefix, {d - 1})"), item)
-        out = out.union(level)
-        if d > 1:
-            level = level.union(leaves.where(F.length("prefix") == d - 1))
-    return out
+    if top is None:
+        top = levels.agg(F.coalesce(F.max("lines_depth"), F.lit(0))).first()[0]
+    steps = [node(h, F.expr("left(h, lines_depth)"), F.concat_ws(":", "h", F.col("count").cast("string")))]
+    for _ in range(top):
+        steps.append(node(steps[-1].where("prefix <> ''"), F.expr("left(prefix, length(prefix) - 1)"), F.concat_ws(":", F.right("prefix", F.lit(1)), "digest")))
+    return steps
+
+
+def digest_tree(lines: DataFrame, levels: DataFrame, top: int | None = None) -> DataFrame:
+    """All nodes of ``tree_steps``; the node of prefix '' is the root."""
+    return reduce(DataFrame.union, tree_steps(lines, levels, top))
 
 
-def roots(tree: DataFrame) -> DataFrame:
-    return tree.where("prefix = ''").select("calculation_id", "lines_depth", F.col("digest").alias("lines_root"))
+def roots(tree: DataFrame | Sequence[DataFrame]) -> DataFrame:
+    """The roots of a tree or of its steps."""
+    steps = [tree] if isinstance(tree, DataFrame) else tree
+    return reduce(DataFrame.union, [t.where("prefix = ''").select("calculation_id", "lines_depth", F.col("digest").alias("lines_root")) for t in steps])
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:
@@ -143,32 +222,45 @@ def with_proof_hash(heads: DataFrame) -> DataFrame:
     return heads.withColumn("proof_hash", digest(_json(HEAD_FIELDS)))
 
 
-def verify(heads: DataFrame, lines: DataFrame, stored: str = "proof_hash") -> DataFrame:
+def verify(heads: DataFrame, lines: DataFrame | Sequence[DataFrame], stored: str = "proof_hash") -> DataFrame:
     """AUD-5: whether the head has the stored hash and the lines have the head's root; a missing hash never verifies.
 
-    The lines' tree is built with the depth that the head records.
+    The lines' tree is built with the depth that the head records. Lines may
+    come in parts with calculations of their own. The heads are computed once.
     """
+    heads = written(heads.withColumn("head_ok", F.coalesce(digest(_json(HEAD_FIELDS)) == F.col(stored), F.lit(False))), "proof-heads")
     levels = heads.select("calculation_id", "lines_depth").distinct()
-    found = roots(digest_tree(lines.join(levels.select("calculation_id"), "calculation_id", "left_semi"), levels))
+    top = levels.agg(F.coalesce(F.max("lines_depth"), F.lit(0))).first()[0]
+    parts = [lines] if isinstance(lines, DataFrame) else lines
+    found = reduce(DataFrame.union, [roots(tree_steps(part, levels, top)) for part in parts])
     j = heads.join(found.select("calculation_id", F.col("lines_root").alias("_root")), "calculation_id", "left")
-    head_ok = F.coalesce(digest(_json(HEAD_FIELDS)) == F.col(stored), F.lit(False))
     lines_ok = F.coalesce(F.coalesce("_root", F.lit(EMPTY_ROOT)) == F.col("lines_root"), F.lit(False))
-    return j.withColumn("head_ok", head_ok).withColumn("lines_ok", lines_ok).withColumn("verified", head_ok & lines_ok).drop("_root")
+    return j.withColumn("lines_ok", lines_ok).withColumn("verified", F.col("head_ok") & F.col("lines_ok")).drop("_root")
 
 
-def inclusion_proof(requests: DataFrame, tree: DataFrame) -> DataFrame:
+def inclusion_proof(requests: DataFrame, tree: DataFrame | Sequence[DataFrame], whole: bool = False) -> DataFrame:
     """Per request (calculation_id, line) its path: nodes (prefix, entries) from the leaf to the root.
 
+    ``tree``: all nodes, or the steps of ``tree_steps``. With ``whole``, for small
+    calculations, a row takes a step's nodes and all stays dealt by calculation.
     Requests for calculations without lines return nothing.
     """
-    depth = tree.where("prefix = ''").select("calculation_id", F.col("lines_depth").alias("_depth"))
-    h = digest(F.col("line"))
+    steps = [tree] if isinstance(tree, DataFrame) else list(tree)
+    depth = steps[0].select("calculation_id", F.col("lines_depth").alias("_depth")).distinct()
+    asked = requests.select("calculation_id", "line").distinct().withColumn("_h", digest(F.col("line"))).join(depth, "calculation_id")
+    if whole:
+        for up, nodes in enumerate(steps):
+            of = nodes.groupBy("calculation_id").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "entries"))).alias(f"_{up}"))
+            asked = asked.join(of, "calculation_id", "left")
+        at = F.sequence(F.col("_depth"), F.lit(0), F.lit(-1))
+        entries = lambda p: F.coalesce(*[F.try_element_at(f"_{up}", p) for up in range(len(steps))])
+        node = lambda p: F.struct(p.alias("prefix"), entries(p).alias("entries"))
+        return asked.select("calculation_id", "line", F.transform(F.transform(at, lambda i: F.col("_h").substr(F.lit(1), i)), node).alias("path"))
     at = F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda i: F.expr("_h").substr(F.lit(1), i))
-    asked = (requests.select("calculation_id", "line").distinct().withColumn("_h", h).join(depth, "calculation_id")
-             .withColumn("prefix", F.explode(at)))
-    nodes = tree.select("calculation_id", "prefix", "entries")
+    nodes = reduce(DataFrame.union, steps).select("calculation_id", "prefix", "entries")
     step = F.struct((-F.length("prefix")).alias("up"), F.col("prefix"), F.col("entries"))
-    path = asked.join(nodes, ["calculation_id", "prefix"], "left").groupBy("calculation_id", "line").agg(F.array_sort(F.collect_list(step)).alias("path"))
+    path = (asked.withColumn("prefix", F.explode(at)).join(nodes, ["calculation_id", "prefix"], "left")
+            .groupBy("calculation_id", "line").agg(F.array_sort(F.collect_list(step)).alias("path")))
     return path.select("calculation_id", "line", F.transform("path", lambda s: F.struct(s["prefix"].alias("prefix"), s["entries"].alias("entries"))).alias("path"))
 
 
@@ -190,20 +282,31 @@ def check_inclusion(paths: DataFrame, root: DataFrame) -> DataFrame:
     return j.select("calculation_id", "line", (walked["ok"] & (walked["want"] == F.col("lines_root"))).alias("included"))
 
 
-def altered_lines(stored: DataFrame, current: DataFrame) -> DataFrame:
+def altered_lines(stored: DataFrame, current: DataFrame, whole: bool = False) -> DataFrame:
     """What changed between two trees of the same depths: (calculation_id, line_hash, before, after) counts.
 
-    Only leaves with different digests are opened.
+    Only leaves with different digests are opened. With ``whole``, for small
+    calculations, rows take a calculation's leaves and all stays dealt by calculation.
     """
-    leaf = F.length("prefix") == F.col("lines_depth")
-    key = ["calculation_id", "prefix"]
-    a = stored.where(leaf).select(*key, F.col("digest").alias("_a"), F.col("entries").alias("_ea"))
-    b = current.where(leaf).select(*key, F.col("digest").alias("_b"), F.col("entries").alias("_eb"))
-    differ = a.join(b, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
     none = F.array().cast("array<string>")
-    ea, eb = F.coalesce("_ea", none), F.coalesce("_eb", none)
     side = lambda only, was: F.transform(only, lambda e: F.struct(e.alias("e"), F.lit(was).alias("was")))
-    gone = differ.select("calculation_id", F.explode(F.concat(side(F.array_except(ea, eb), True), side(F.array_except(eb, ea), False))).alias("x"))
+    changed = lambda ea, eb: F.concat(side(F.array_except(ea, eb), True), side(F.array_except(eb, ea), False))
+    leaf = F.length("prefix") == F.col("lines_depth")
+    if whole:
+        leaves = F.map_from_entries(F.collect_list(F.struct("prefix", F.struct("digest", "entries"))))
+        a, b = [t.where(leaf).groupBy("calculation_id").agg(leaves.alias(m)) for t, m in ((stored, "_a"), (current, "_b"))]
+        keys = lambda m: F.coalesce(F.map_keys(m), none)
+        at = lambda m, p: F.try_element_at(m, p)
+        differ = F.filter(F.array_union(keys("_a"), keys("_b")), lambda p: ~at("_a", p)["digest"].eqNullSafe(at("_b", p)["digest"]))
+        entries = lambda m, p: F.coalesce(at(m, p)["entries"], none)
+        gone = a.join(b, "calculation_id", "full").select("calculation_id", F.explode(F.flatten(
+            F.transform(differ, lambda p: changed(entries("_a", p), entries("_b", p))))).alias("x"))
+    else:
+        key = ["calculation_id", "prefix"]
+        a = stored.where(leaf).select(*key, F.col("digest").alias("_a"), F.col("entries").alias("_ea"))
+        b = current.where(leaf).select(*key, F.col("digest").alias("_b"), F.col("entries").alias("_eb"))
+        differ = a.join(b, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+        gone = differ.select("calculation_id", F.explode(changed(F.coalesce("_ea", none), F.coalesce("_eb", none))).alias("x"))
     part = F.split("x.e", ":")
     count = lambda was: F.coalesce(F.sum(F.when(F.col("x.was") == was, part[1].cast("bigint"))), F.lit(0))
     return gone.groupBy("calculation_id", part[0].alias("line_hash")).agg(count(True).alias("before"), count(False).alias("after"))

@@ -350,15 +350,14 @@ CANON_SQL = "CAST(json_object(" + ", ".join(f"'{f}', CAST({f} AS VARCHAR)" for f
 PROOF_VIEWS = ("approvals", "calculations", "ledger_queries", "ledger_documents", "users", "cost_breakdowns")
 
 
-def line_tree(costs, leaf_lines=LEAF):
-    lines = pr.proof_lines(costs)
-    return lines, pr.digest_tree(lines, pr.depths(lines, leaf_lines))
+def line_tree(hashes, most):
+    return pr.tree_steps(hashes, pr.depths(hashes, LEAF), pr.top_depth(most, LEAF))
 
 
 def proofs(spark, d):
     costs = A.cost_breakdowns(spark, d)
     return pr.proof_heads(A.approvals(spark, d), A.calculations(spark, d), A.ledger_queries(spark, d), A.ledger_documents(spark, d),
-                          A.users(spark, d), costs, pr.roots(line_tree(costs)[1]))
+                          A.users(spark, d), costs, pr.over_calculations([costs], lambda h, most, whole: pr.roots(line_tree(h, most))))
 
 
 def altered_costs(spark, d):
@@ -382,7 +381,7 @@ def proof_doc(spark, d):
 def proof_lines(spark, d):
     """The cost lines of every proof, as rows of their own."""
     a = A.approvals(spark, d).where("request_status = 'approved'").select(F.col("id").alias("approval_id"), "calculation_id")
-    return pr.proof_lines(A.cost_breakdowns(spark, d)).join(a, "calculation_id").select("approval_id", "calculation_id", "line", "count")
+    return pr.proof_lines(A.cost_breakdowns(spark, d), a).select("approval_id", "calculation_id", "line", "count")
 
 
 @register("proof_hash", "AUD-4", oracle=with_views(f"SELECT approval_id, sha256({CANON_SQL}) AS proof_hash FROM proofs", *PROOF_VIEWS, extra=PROOF_CTES))
@@ -398,7 +397,8 @@ def proof_verify(spark, d):
     """Proofs stored without a hash where escalated, with another file name where they have over five lines, and less a cost line."""
     stored = pr.with_proof_hash(proofs(spark, d)).withColumn("proof_hash", F.when(~F.col("requires_escalation"), F.col("proof_hash")))
     stored = stored.withColumn("filename", F.when(F.col("cost_lines") > 5, F.lit("tampered.txt")).otherwise(F.col("filename")))
-    return pr.verify(stored, pr.proof_lines(altered_costs(spark, d))).select("approval_id", "head_ok", "lines_ok", "verified")
+    lines = [part for part, in pr.line_parts([altered_costs(spark, d)])[0]]
+    return pr.verify(stored, lines).select("approval_id", "head_ok", "lines_ok", "verified")
 
 
 @register("proof_altered", "AUD-5", oracle=with_views("""
@@ -408,9 +408,11 @@ FROM cost_json GROUP BY calculation_id, line HAVING count(*) FILTER (WHERE l_lin
     "cost_breakdowns", extra={"cost_json": LINES_CTE}))
 def proof_altered(spark, d):
     """The lines that the stored trees have and the altered ledger has not."""
-    lines = pr.proof_lines(A.cost_breakdowns(spark, d))
-    levels = pr.depths(lines, LEAF)
-    return pr.altered_lines(pr.digest_tree(lines, levels), pr.digest_tree(pr.proof_lines(altered_costs(spark, d)), levels))
+    def compare(stored, current, most, whole):
+        levels, top = pr.depths(stored, LEAF), pr.top_depth(most, LEAF)
+        return pr.altered_lines(pr.tree_steps(stored, levels, top)[0], pr.tree_steps(current, levels, top)[0], whole)
+
+    return pr.over_calculations([A.cost_breakdowns(spark, d), altered_costs(spark, d)], compare)
 
 
 @register("proof_inclusion", "AUD-5", oracle=with_views("""
@@ -419,10 +421,15 @@ UNION ALL SELECT calculation_id, min(line) || ' ', FALSE FROM cost_json GROUP BY
     "cost_breakdowns", extra={"cost_json": LINES_CTE}))
 def proof_inclusion(spark, d):
     """The path of one genuine and one forged line of every calculation, checked against its root."""
-    lines, tree = line_tree(A.cost_breakdowns(spark, d))
-    least = lines.groupBy("calculation_id").agg(F.min("line").alias("line"))
-    asked = least.union(least.select("calculation_id", F.concat("line", F.lit(" "))))
-    return pr.check_inclusion(pr.inclusion_proof(asked, tree), pr.roots(tree))
+    costs = A.cost_breakdowns(spark, d)
+    least = pr.line_texts(costs).groupBy("calculation_id").agg(F.min("line").alias("line"))
+    asked = least.select("calculation_id", F.explode(F.array("line", F.concat("line", F.lit(" ")))).alias("line"))
+
+    def check(hashes, most, whole):
+        tree = line_tree(hashes, most)
+        return pr.check_inclusion(pr.inclusion_proof(asked, tree, whole), pr.roots(tree))
+
+    return pr.over_calculations([costs], check)
 
 
 @register("proof_id", "AUD-6", oracle=with_views("""
