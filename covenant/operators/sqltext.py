@@ -39,49 +39,64 @@ def _array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _kinds(found: Column) -> Column:
+    """array<struct<t, first, name, kind>> of tokens: what does not depend on those around them, computed once a token."""
+    def begin(t: Column) -> Column:
+        return _let(F.struct(t.alias("t"), F.substring(t, 1, 1).alias("first")), named)
+
+    def named(x: Column) -> Column:
+        quoted = x["first"].isin('"', "`") & (F.length(x["t"]) > 1)
+        name = F.upper(F.when(quoted, x["t"].substr(F.lit(2), F.length(x["t"]) - 2)).otherwise(x["t"]))
+        return _let(F.struct(x["t"].alias("t"), x["first"].alias("first"), quoted.alias("quoted"), name.alias("name")), kind)
+
+    def kind(x: Column) -> Column:
+        word = F.rlike(x["first"], F.lit("[A-Za-z_]"))
+        k = (F.when(x["quoted"], "name").when(word, F.when(x["name"].isin(*CLAUSES, *WORDS), "keyword").otherwise("name")).when(x["first"] == "'", "literal")
+             .when(F.rlike(x["first"], F.lit("[0-9]")), "number").otherwise("sign"))
+        return F.struct(x["t"].alias("t"), x["first"].alias("first"), x["name"].alias("name"), k.alias("kind"))
+
+    return F.transform(found, begin)
+
+
 def roles(sql: Column) -> Column:
     """array<struct<name, role>> of all names, upper-cased, in order."""
-    keywords = _array([*CLAUSES, *WORDS])
     clause_of = F.create_map(*[F.lit(x) for kv in CLAUSES.items() for x in kv])
     none = F.array().cast("array<struct<name:string,role:string>>")
     start = F.struct(F.array(F.lit("other")).alias("stack"), F.lit("").alias("prev"), F.lit("").alias("kind"), none.alias("items")).cast(STATE)
 
-    def step(s: Column, t: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        quoted = first.isin('"', "`") & (F.length(t) > 1)
-        name = F.upper(F.when(quoted, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t))
-        word = F.rlike(first, F.lit("[A-Za-z_]"))
-        keyword = word & F.array_contains(keywords, name)
-        is_name = quoted | (word & ~keyword)
-        kind = (F.when(is_name, "name").when(keyword, "keyword").when(first == "'", "literal").when(F.rlike(first, F.lit("[0-9]")), "number").otherwise("sign"))
+    def step(s: Column, x: Column) -> Column:
+        t, first, name, kind, p, pk = x["t"], x["first"], x["name"], x["kind"], s["prev"], s["kind"]
         top = F.element_at(s["stack"], -1)
-        p, pk = s["prev"], s["kind"]
-        last = F.when(F.size(s["items"]) > 0, F.element_at(s["items"], -1))
+        last = F.try_element_at(s["items"], F.lit(-1))
         # a name that follows a finished expression renames it
         after = pk.isin("name", "number", "literal") | (p == ")") | (p == "END")
-        role = (F.when((p == ".") & (last["role"] == "table"), "table").when(p == ".", "column")
-                .when((p == "AS") & (top == "with"), "table").when(p == "AS", "alias")
+        role = (F.when(p == ".", F.when(last["role"] == "table", "table").otherwise("column"))
+                .when(p == "AS", F.when(top == "with", "table").otherwise("alias"))
                 .when((top == "with") & p.isin("WITH", "RECURSIVE", ","), "cte")
                 .when((top == "from") & p.isin("FROM", "JOIN", ",", "LATERAL"), "table")
                 .when((top == "from") & after, "alias")
                 .when(pk == "literal", "unit")
                 .when((top == "select") & after, "alias")
                 .otherwise("word"))
-        items = F.concat(s["items"], F.when(is_name, F.array(F.struct(name.alias("name"), role.alias("role")))).otherwise(none))
         # what follows tells what the name before it was
-        told = F.when((t == "(") & (pk == "name") & (last["role"] == "word"), "function").when(
-            (t == ".") & (pk == "name") & last["role"].isin("word", "alias"), "qualifier").when(
-            (first == "'") & (pk == "name") & (last["role"] == "word"), "type")
-        items = F.when(told.isNotNull(), F.concat(F.slice(s["items"], 1, F.greatest(F.size(s["items"]) - 1, F.lit(0))),
-                                                  F.array(F.struct(last["name"].alias("name"), told.alias("role"))))).otherwise(items)
-        opened = F.when(keyword, clause_of[name])
+        told = F.when(pk == "name", F.when((t == "(") & (last["role"] == "word"), "function").when(
+            (t == ".") & last["role"].isin("word", "alias"), "qualifier").when((first == "'") & (last["role"] == "word"), "type"))
+        items = (F.when(kind == "name", F.concat(s["items"], F.array(F.struct(name.alias("name"), role.alias("role")))))
+                 .when(told.isNotNull(), F.concat(F.slice(s["items"], 1, F.greatest(F.size(s["items"]) - 1, F.lit(0))),
+                                                  F.array(F.struct(last["name"].alias("name"), told.alias("role"))))).otherwise(s["items"]))
+        opened = F.when(kind == "keyword", clause_of[name])
         below = F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
         stack = (F.when(t == "(", F.concat(s["stack"], F.array(F.lit("other"))))
                  .when((t == ")") & (F.size(s["stack"]) > 1), below)
                  .when(opened.isNotNull(), F.concat(below, F.array(opened))).otherwise(s["stack"]))
-        return F.struct(stack.alias("stack"), F.when(is_name, t).otherwise(F.upper(t)).alias("prev"), kind.alias("kind"), items.alias("items")).cast(STATE)
+        return F.struct(stack.alias("stack"), F.when(kind == "name", t).otherwise(F.upper(t)).alias("prev"), kind.alias("kind"), items.alias("items"))
 
-    return F.aggregate(tokens(sql), start, step)["items"]
+    return F.aggregate(_kinds(tokens(sql)), start, step)["items"]
 
 
 def lint_names(sql: Column, available: Sequence[str], tables: Sequence[str] | None = None) -> Column:

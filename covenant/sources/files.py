@@ -37,6 +37,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+def spread_rows(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Rows that cost much each, dealt so that a task gets at most about ``rows_per_task``, however large the input."""
+    return spread(df, max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)))
+
+
 def format_of(path: str) -> str:
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in FORMATS:

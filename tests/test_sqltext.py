@@ -46,3 +46,11 @@ def test_the_plain_lint_reports_what_the_strict_one_does_not(spark):
 def test_long_texts(spark, text):
     out = spark.createDataFrame([(text,)], "s string").select(st.lint_names(F.col("s"), ["c1"])).first()[0]
     assert len(out) in (1, 299)
+
+
+def test_statements_are_dealt_by_their_number(spark, monkeypatch):
+    from covenant.plans import adapters as A
+    monkeypatch.setattr(A, "STATEMENTS_PER_TASK", 10)
+    log = A.statement_log(spark, "/root/testdata/sf0.001")
+    sizes = [r[0] for r in log.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == log.count() and len(sizes) >= sum(sizes) // 10 and max(sizes) <= 20
