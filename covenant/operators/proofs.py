@@ -181,14 +181,18 @@ def cost_summary(costs: DataFrame) -> DataFrame:
     cells = costs.groupBy("calculation_id", F.coalesce("cost_type", F.lit("")).alias("t"), F.coalesce("cost_currency", F.lit("USD")).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), money("original_cost").alias("o"), money("calculated_cost").alias("k"), money("delta_cost").alias("d"))
     text = lambda key, *amounts: F.concat_ws("=", key, F.concat_ws("/", *[F.coalesce(F.col(a), F.lit(0)).cast("decimal(28,4)").cast("string") for a in amounts]))
-    joined = lambda item: F.array_join(F.array_sort(F.collect_list(item)), ",")
-    by_type = (cells.groupBy("calculation_id", "t").agg(money("o").alias("o"), money("k").alias("k"), money("d").alias("d"))
-               .groupBy("calculation_id").agg(joined(text(F.col("t"), "o", "k", "d")).alias("by_type")))
-    by_currency = (cells.groupBy("calculation_id", "c").agg(money("k").alias("k"))
-                   .groupBy("calculation_id").agg(joined(text(F.col("c"), "k")).alias("by_currency")))
-    total = cells.groupBy("calculation_id").agg(F.sum("n").alias("cost_lines"), money("o").alias("total_original"),
-                                                money("k").alias("total_calculated"), money("d").alias("total_delta"))
-    return total.join(by_type, "calculation_id").join(by_currency, "calculation_id")
+    joined = lambda items: F.array_join(F.array_sort(items), ",")
+    # the cells of a calculation, far fewer than its lines, are dealt once; types, then calculations, are grouped there
+    add = lambda a, x: (a + F.coalesce(x["k"], F.lit(0))).cast("decimal(28,4)")
+    types = cells.repartition("calculation_id").groupBy("calculation_id", "t").agg(
+        F.sum("n").alias("n"), money("o").alias("o"), money("k").alias("k"), money("d").alias("d"), F.collect_list(F.struct("c", "k")).alias("c"))
+    total = types.groupBy("calculation_id").agg(
+        F.sum("n").alias("cost_lines"), money("o").alias("total_original"), money("k").alias("total_calculated"), money("d").alias("total_delta"),
+        joined(F.collect_list(text(F.col("t"), "o", "k", "d"))).alias("by_type"), F.flatten(F.collect_list("c")).alias("c"))
+    currency = lambda c: F.concat_ws("=", c, F.aggregate(
+        F.filter("c", lambda x: x["c"] == c), F.lit(0).cast("decimal(28,4)"), add).cast("string"))
+    by_currency = joined(F.transform(F.array_distinct(F.transform("c", lambda x: x["c"])), currency))
+    return total.withColumn("by_currency", by_currency).drop("c")
 
 
 def proof_heads(approvals: DataFrame, calculations: DataFrame, queries: DataFrame, documents: DataFrame, users: DataFrame,
@@ -207,8 +211,9 @@ def proof_heads(approvals: DataFrame, calculations: DataFrame, queries: DataFram
     d = documents.select(F.col("id").alias("document_id"), "filename", "document_type", F.date_format("upload_date", ISO_SECONDS).alias("upload_date"))
     u = users.select(F.col("id").alias("_by"), F.col("username").alias("approved_by"), F.col("email").alias("approver_email"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(28,4)").alias(c)
-    p = (a.join(c, "calculation_id").join(q, "query_id").join(d, "document_id").join(u, "_by", "left")
-         .join(cost_summary(costs), "calculation_id", "left").join(root, "calculation_id", "left"))
+    # all by calculation first, so that its rows are dealt once
+    p = (a.join(c, "calculation_id").join(cost_summary(costs), "calculation_id", "left").join(root, "calculation_id", "left")
+         .join(q.join(d, "document_id"), "query_id").join(u, "_by", "left"))
     done = {"cost_lines": F.coalesce("cost_lines", F.lit(0)).cast("bigint").alias("cost_lines"),
             "lines_depth": F.coalesce("lines_depth", F.lit(0)).cast("int").alias("lines_depth"),
             "lines_root": F.coalesce("lines_root", F.lit(EMPTY_ROOT)).alias("lines_root"),

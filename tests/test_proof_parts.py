@@ -46,3 +46,14 @@ def test_texts_and_nodes_are_not_shuffled(spark, costs):
     for name in ("proof_altered", "proof_inclusion"):
         dealt = _dealt(E.queries()[name](spark, "/root/testdata/sf0.001"))
         assert dealt and not [x for x in dealt if "prefix" in x or "line#" in x], name
+
+
+def test_summary_deals_cells_once(spark):
+    rows = [(1, "a", "EUR", "1.0", None), (1, "a", None, "2.0", "0.5"), (1, "b", "EUR", "4.0", "1.0"), (1, None, "USD", None, None), (2, None, None, None, None)]
+    costs = spark.createDataFrame(rows, "calculation_id int, cost_type string, cost_currency string, calculated_cost string, delta_cost string").select(
+        "calculation_id", "cost_type", "cost_currency", *[F.col(c).cast("decimal(18,4)") for c in ("calculated_cost", "delta_cost")],
+        F.lit("1").cast("decimal(18,4)").alias("original_cost"))
+    summary = pr.cost_summary(costs)
+    got = {r.calculation_id: (r.cost_lines, r.by_type, r.by_currency) for r in summary.collect()}
+    assert got == {1: (4, "=1.0000/0.0000/0.0000,a=2.0000/3.0000/0.5000,b=1.0000/4.0000/1.0000", "EUR=5.0000,USD=2.0000"), 2: (1, "=1.0000/0.0000/0.0000", "USD=0.0000")}
+    assert len(_dealt(pr.cost_summary(costs))) == 2
