@@ -91,6 +91,16 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*out)
 
 
+#: Rows of a table that one task counts.
+ROWS_PER_TASK = 1_000_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions, by id, as give a task about ``ROWS_PER_TASK`` rows; smaller tables as they are."""
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(tasks, "id") if tasks > max(1, df.rdd.getNumPartitions()) else df
+
+
 def integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, check, rows) of the conformed ``tables``, every check with its count.
 
@@ -100,6 +110,9 @@ def integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     spark = next(iter(tables.values())).sparkSession
     checks, parts = [], []
+    # hash tables over keys hold a task's rows: a task gets a bounded number of them, however large a file's splits are
+    tables = {name: dealt(df.select("id", *dict.fromkeys(c for c in (*SYSTEM_TABLES[name].unique, *SYSTEM_TABLES[name].references) if c != "id")))
+              for name, df in tables.items()}
     for name, df in tables.items():
         table = SYSTEM_TABLES[name]
         keys = ["id", *[u for u in table.unique if u != "id"]]

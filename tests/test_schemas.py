@@ -35,3 +35,16 @@ def test_integrity(spark, empty):
             ("approvals", "id", "missing_key"): 0, ("approvals", "id", "surplus_key"): 0, ("approvals", "calculation_id", "surplus_value"): 1,
             ("approvals", "approved_by", "orphan"): 2}
     assert got == ({k: 0 for k in want} if empty else want)
+
+
+def test_integrity_bounds_a_tasks_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from covenant.sources import schemas as sc
+    monkeypatch.setattr(sc, "ROWS_PER_TASK", 100)
+    df = spark.range(0, 2000, 1, 1).union(spark.range(0, 10, 1, 1))
+    sizes = [r[0] for r in sc.dealt(df).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 2010 and max(sizes) < 250
+    users = df.select("id", F.concat(F.lit("u"), F.col("id")).alias("username"), F.lit(None).cast("string").alias("email"))
+    got = {tuple(r)[1:3]: r["rows"] for r in sc.integrity({"users": sc.conform(users, "users")}).collect()}
+    assert got == {("id", "missing_key"): 0, ("id", "surplus_key"): 10, ("username", "surplus_value"): 10, ("email", "surplus_value"): 0}
