@@ -4,7 +4,7 @@ A proof's head is one row; its cost lines stay rows of their own. The lines of
 a calculation are digested by a tree: a leaf holds the lines whose SHA-256
 begins with the same hex digits, and every inner node the digests of its up to
 16 children. The number of digits, the tree's depth, follows from the number of
-lines, so a leaf holds about ``LEAF_LINES`` lines and no row grows with the
+lines, so a leaf holds about ``LEAF_LINES`` lines and no node grows with the
 calculation. The root and the depth are fields of the head, and the proof's
 hash is that of the head alone:
 
