@@ -1,7 +1,8 @@
 """Shared helpers of the training-data operators.
 
 * ``stage_table`` cuts lineage by writing Parquet below the shared checkpoint
-  folder (``spark.checkpoint.dir``), so a lost executor costs a re-read only.
+  folder (``spark.checkpoint.dir``), so a lost executor costs a re-read only;
+  ``temporary_tables`` removes the tables of a block at its end.
 * ``Words`` finds and hashes the words of a batch of texts with numpy passes
   over the Arrow buffers: no Python object per word.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -158,14 +161,51 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below the shared checkpoint folder and reads it back."""
+#: Paths written inside the open blocks of ``temporary_tables``, innermost last.
+_BLOCKS: ContextVar[tuple[list[str], ...]] = ContextVar("temporary_tables", default=())
+
+
+def stage_table(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Writes ``df`` below the shared checkpoint folder and reads it back.
+
+    ``keep``: the table outlives the block of ``temporary_tables`` that it is written in.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
+    blocks = _BLOCKS.get()[:-1] if keep else _BLOCKS.get()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the staged tables of the block at its end; what leaves it must read only kept ones."""
+    paths: list[str] = []
+    outer = _BLOCKS.set((*_BLOCKS.get(), paths))
+    try:
+        yield
+    finally:
+        _BLOCKS.reset(outer)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Packed bitmap of ``2 ** bits`` places: the low bits of the column's values.
+
+    Put together in blocks of 4 kB by Spark, so the driver gathers the bitmap and no value.
+    """
+    place = F.col(column).bitwiseAND((1 << bits) - 1) + 1           # Spark numbers places from 1
+    blocks = rows.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((max(1, (1 << bits) >> 15), 4096), dtype=np.uint8)
+    for r in blocks.collect():
+        out[r.block - 1] = np.frombuffer(r.bits, np.uint8)
+    return np.packbits(np.unpackbits(out.ravel(), bitorder="little"))
+
+
 def inner_names(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Only the columns asked for, under private names.
 

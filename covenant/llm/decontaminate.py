@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covenant.llm.common import NOT_ALNUM, Words, inner_names, passes, shingles, small_enough, stage_table
+from covenant.llm.common import NOT_ALNUM, Words, bitmap, inner_names, passes, shingles, small_enough, stage_table, temporary_tables
 
 WINDOW = 10
 SHINGLE = 3
@@ -53,12 +53,6 @@ def _in_document(w: Words, k: int) -> np.ndarray:
     return np.flatnonzero(w.doc[:n] == w.doc[k - 1:]) if n > 0 else np.zeros(0, np.int64)
 
 
-def _bitmap(places: list[int]) -> np.ndarray:
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[places] = True
-    return np.packbits(bits)
-
-
 def _hits(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
     place = hashes & _MASK
     return (packed[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
@@ -134,11 +128,6 @@ def _candidates(docs: DataFrame, ks: list[int], packed: np.ndarray, window: int)
     return docs.select("row", "key", "text").mapInArrow(run, schema)
 
 
-def _places(rows: DataFrame, column: str) -> list[int]:
-    """Distinct bitmap places, at most 2^BITS of them."""
-    return [r[0] for r in rows.select(F.col(column).bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
-
-
 def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per input row: key, row (number), n_words, n_hit, items (sorted texts of the ids).
@@ -152,7 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     wins = wins.withColumn("id", F.sha2(F.array_join("words", " "), 256))
     ks = sorted(r[0] for r in wins.select("k").distinct().collect())
     each = wins.select("k", F.explode("shingles").alias("shingle")).distinct()
-    counts = _shingle_counts(d, ks, _bitmap(_places(each, "shingle")))
+    counts = _shingle_counts(d, ks, bitmap(each, "shingle", BITS))
 
     # the rarest shingle of every distinct window, and its first place in the window
     places = (wins.dropDuplicates(["id"]).select("id", "k", "words", F.posexplode("shingles").alias("at", "shingle"))
@@ -162,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
               .select("id", "k", "words", F.size("words").alias("length"), "rarest.shingle", "rarest.at"))
     prefix = stage_table(prefix, "window-prefixes")
 
-    found = stage_table(_candidates(d, ks, _bitmap(_places(prefix, "shingle")), window), "window-candidates")
+    found = stage_table(_candidates(d, ks, bitmap(prefix, "shingle", BITS), window), "window-candidates")
     side = F.broadcast(prefix) if small_enough(prefix, BROADCAST_WINDOWS) else prefix
     c = found.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*")
     start = F.col("place") - F.col("at")
@@ -193,7 +182,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
     """The rows in which no window occurs, with all their columns."""
     columns = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = inner_names(docs, columns).withColumn("text_id", F.sha2(F.coalesce(F.col(columns[text]), F.lit("")).cast("binary"), 256))
-    hit = contamination(rows, items, key="text_id", text=columns[text], **names).where("n_hit > 0").select("text_id").distinct()
-    hit = stage_table(hit, "contaminated-texts")
+    with temporary_tables(docs.sparkSession):
+        hit = contamination(rows, items, key="text_id", text=columns[text], **names).where("n_hit > 0").select("text_id").distinct()
+        hit = stage_table(hit, "contaminated-texts", keep=True)
     hit = F.broadcast(hit) if small_enough(hit, BROADCAST_TEXTS) else hit
     return rows.join(hit, "text_id", "left_anti").select(*[F.col(n).alias(c) for c, n in columns.items()])

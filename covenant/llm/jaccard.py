@@ -22,9 +22,9 @@ counts; it is taken only over tiles that can hold a link.
    and what is left cannot reach the bound.
 5. Links form components; pairs inside one are not multiplied again. Where all
    rows of a column are in one component, no other pair is needed; where at most
-   ``DIRECT`` rows meet, the pairs between components are multiplied; else the next
-   row is taken as in 4, ``PEELS`` times, and then what is left is multiplied. So no
-   link between different components is lost, and groups of near copies do not form
+   ``DIRECT`` rows meet, the pairs between components are multiplied; else the least
+   rows of ``PEELS`` components are taken as in 4, all at once, and then what is left
+   is multiplied. So no link between different components is lost, and groups of near copies do not form
    all their pairs; rows of different components that share a rare column all meet.
 
 n-grams are compared by 64-bit hashes of whole n-grams.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from covenant.llm.common import SPACE, Words, inner_names, mix, passes, shingles, small_enough, stage_table
+from covenant.llm.common import SPACE, Words, bitmap, inner_names, mix, passes, shingles, small_enough, stage_table, temporary_tables
 from covenant.llm.graph import components
 
 #: Counters of the rarity sketch (16 bits each, 2 MB), and its blocks when summed.
@@ -57,7 +57,7 @@ TILE = 256
 COLUMNS = 2048
 #: Rows that meet in a column up to which all their pairs are multiplied.
 DIRECT = 256
-#: Rows taken one by one from larger meetings before the rest is multiplied at once.
+#: Rows, of as many components, taken from larger meetings before the rest is multiplied at once.
 PEELS = 4
 #: Bits of the bitmap that lets sets of candidates through; 512 kB.
 BITS = 22
@@ -247,12 +247,10 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int) -> Data
     """(row, grams) of those of ``rows`` that are in a pair, read from the texts."""
     wanted = pairs.select("row").union(pairs.select("pivot")).distinct().join(rows.select("row", "d1", "d2", "size"), "row")
     wanted = stage_table(wanted, "wanted-sets")
-    places = [r[0] for r in wanted.select(F.col("d1").bitwiseAND((1 << BITS) - 1).cast("int")).distinct().collect()]
-    if not places:
+    packed = bitmap(wanted, "d1", BITS)
+    if not packed.any():
         return docs.sparkSession.createDataFrame([], "row long, grams array<long>")
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[places] = True
-    found = _sets(docs, n, np.packbits(bits)).join(wanted, ["d1", "d2", "size"])
+    found = _sets(docs, n, packed).join(wanted, ["d1", "d2", "size"])
     return stage_table(found.groupBy("d1", "d2", "size", "row").agg(F.any_value("grams").alias("grams")).select("row", "grams"), "sets")
 
 
@@ -314,8 +312,13 @@ def _with_links(comps: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, d
 
 def classes_and_components(docs: DataFrame, *, key: str, text: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows have row, key, size, d1, d2; classes d1, d2, size, rep, least_key, copies, component."""
+    with temporary_tables(docs.sparkSession):
+        return _classes_and_components(docs, key, text, shingle, num, den)
+
+
+def _classes_and_components(docs: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     d = inner_names(docs, {key: "key", text: "text"}).withColumn("row", F.monotonically_increasing_id())
-    inc = stage_table(_incidence(d, shingle, rarity_sketch(d, shingle), num, den), "incidence")
+    inc = stage_table(_incidence(d, shingle, rarity_sketch(d, shingle), num, den), "incidence", keep=True)
     rows = inc.select("row", "key", "size", "d1", "d2")
     classes = stage_table(rows.where("size > 0").groupBy("d1", "d2", "size").agg(
         F.min("row").alias("rep"), F.min("key").alias("least_key"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -334,35 +337,35 @@ def classes_and_components(docs: DataFrame, *, key: str, text: str, shingle: int
     comps = components(stage_table(_links(first, sets, num, den), "links").select("u", "v"))
     later = _apart(met.select("row", "pivot").join(first, ["row", "pivot"], "left_anti"), comps)
     comps = _with_links(comps, stage_table(later, "pairs"), sets, num, den)
-    taken = 0
-    while True:
+    groups = groups.where("row <> pivot").select("gram", "row", "size", "at", "head")
+    for peeled in (False, True):
         # what is left to compare: rows of a column, without its done pivots, in different components
-        rest = groups.where("row <> pivot").select("gram", "row", "size", "at", "head").join(comps.withColumnRenamed("node", "row"), "row", "left")
-        rest = rest.withColumn("component", F.coalesce("component", "row"))
+        rest = groups.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
         mixed = rest.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"),
-                                         F.min("row").alias("pivot"), F.max("head").alias("any_head")).where("a < b and any_head").select("gram", "n", "pivot")
+                                         F.max("head").alias("any_head")).where("a < b and any_head").select("gram", "n")
         rest = stage_table(rest.join(mixed, "gram"), "groups")
-        small = (F.col("n") <= DIRECT) | F.lit(taken >= PEELS)
-        taken += 1
+        small = (F.col("n") <= DIRECT) | F.lit(peeled)
         few, many = rest.where(small), rest.where(~small)
         other = few.where("head").select("gram", *[F.col(c).alias(f"other_{c}") for c in ("row", "size", "at", "component")])
         behind = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))      # places are from 0
         pairs = (few.join(other, "gram").where("other_size <= size and component <> other_component")
                  .where(behind * (num + den) >= (F.col("size") + F.col("other_size")) * num)
                  .select(F.greatest("row", "other_row").alias("row"), F.least("row", "other_row").alias("pivot"), "size", "other_size"))
-        head = many.where("row = pivot").select("gram", F.col("component").alias("pivot_component"), F.col("size").alias("other_size"))
-        more = many.where("row <> pivot").join(head, "gram").where("component <> pivot_component").select("row", "pivot", "size", "other_size")
+        least = many.groupBy("gram", "component").agg(F.min(F.struct("row", "size")).alias("least"))
+        least = least.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy("least.row"))).where(F.col("place") <= PEELS)
+        least = least.select("gram", F.col("component").alias("pivot_component"), F.col("least.row").alias("pivot"), F.col("least.size").alias("other_size"))
+        more = many.join(least, "gram").where("component <> pivot_component").select("row", "pivot", "size", "other_size")
         fits = F.least("size", "other_size") * den >= F.greatest("size", "other_size") * num
         pairs = pairs.union(more).where(fits).select("row", "pivot").distinct()
         pairs = stage_table(_possible(pairs, wanted, num, den), "pairs")
         if not pairs.isEmpty():
             sets = sets.union(_sets_of(pairs, wanted.join(sets, "row", "left_anti"), d, shingle))
             comps = _with_links(comps, pairs, sets, num, den)
-        groups = many.select("gram", "row", "size", "at", "head", "pivot")
-        if groups.isEmpty():
+        if many.isEmpty():
             break
+        groups = many.join(least.select("gram", F.col("pivot").alias("row")), ["gram", "row"], "left_anti").select(*groups.columns)
     joined = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return rows, stage_table(joined.withColumn("component", F.coalesce("component", "rep")), "class-components")
+    return rows, stage_table(joined.withColumn("component", F.coalesce("component", "rep")), "class-components", keep=True)
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -389,14 +392,15 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     set, any one stays.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows, classes = classes_and_components(docs, key=key, text=text, shingle=shingle, num=num, den=den)
-    grouped = classes.groupBy("component").agg(F.min(F.struct(F.col("least_key").isNull(), "least_key", "rep")).alias("first"),
-                                               F.sum("copies").alias("members"))
-    chosen = classes.join(grouped.where("members > 1"), "component").select(
-        "d1", "d2", "size", (F.col("rep") == F.col("first.rep")).alias("stays"), "least_key")
-    same = rows.join(chosen.where("stays"), ["d1", "d2", "size"]).where(F.col("key").eqNullSafe(F.col("least_key")))
-    repeated = same.groupBy("d1", "d2", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("repeated", F.lit(True)).drop("n")
-    decisions = stage_table(chosen.join(repeated, ["d1", "d2", "size"], "left"), "duplicate-decisions")
+    with temporary_tables(docs.sparkSession):
+        rows, classes = classes_and_components(docs, key=key, text=text, shingle=shingle, num=num, den=den)
+        grouped = classes.groupBy("component").agg(F.min(F.struct(F.col("least_key").isNull(), "least_key", "rep")).alias("first"),
+                                                   F.sum("copies").alias("members"))
+        chosen = classes.join(grouped.where("members > 1"), "component").select(
+            "d1", "d2", "size", (F.col("rep") == F.col("first.rep")).alias("stays"), "least_key")
+        same = rows.join(chosen.where("stays"), ["d1", "d2", "size"]).where(F.col("key").eqNullSafe(F.col("least_key")))
+        repeated = same.groupBy("d1", "d2", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("repeated", F.lit(True)).drop("n")
+        decisions = stage_table(chosen.join(repeated, ["d1", "d2", "size"], "left"), "duplicate-decisions", keep=True)
     side = F.broadcast(decisions) if small_enough(decisions, BROADCAST_CLASSES) else decisions
 
     marked = _with_digests(inner_names(docs, names), names[text], shingle).join(side, ["d1", "d2", "size"], "left")

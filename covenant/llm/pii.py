@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import inner_names, stage_table
+from covenant.llm.common import inner_names, stage_table, temporary_tables
 from covenant.llm.spans import count_kind, joined, let, matches, sha256_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -266,7 +266,8 @@ def pii_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **lim
     texts are read whole; other columns are ignored.
     """
     texts, found = _found(docs, key, text)
-    added = stage_table(_term_spans(found, texts, **limits), "pii-added")
+    with temporary_tables(docs.sparkSession):
+        added = stage_table(_term_spans(found, texts, **limits), "pii-added", keep=True)
     if within(added, F.size("added") * 16 + 96):
         added = F.broadcast(added)
     out = found.join(added, "id", "left")
@@ -310,8 +311,9 @@ def sanitise(docs: DataFrame, *, text: str = "text", **limits) -> DataFrame:
     ``[WORD]`` or removed. Null texts stay null.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    d, found = _found(docs, docs.columns[0], text)
-    added = stage_table(_term_spans(found, d, **limits), "pii-added")
+    with temporary_tables(docs.sparkSession):
+        d, found = _found(docs, docs.columns[0], text)
+        added = stage_table(_term_spans(found, d, **limits), "pii-added", keep=True)
     if within(added, F.size("added") * 16 + 96):
         added = F.broadcast(added)
     own = F.col(names[text])

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -122,3 +123,50 @@ def test_prefixes_of_linked_rows_meet():
 def test_empty(make_docs):
     assert jaccard_components(make_docs([])).collect() == []
     assert keep_one_of_each(make_docs([])).collect() == []
+
+
+def staged(spark):
+    from covenant.session import checkpoint_dir
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    return {n for n in os.listdir(folder) if n.startswith("llm-")}
+
+
+def test_only_the_decisions_stay_on_disk(spark, make_docs, odd_rows):
+    docs, before = make_docs(cases(odd_rows)[:150]), staged(spark)
+    out = keep_one_of_each(docs)
+    left = staged(spark) - before
+    assert [n.rsplit("-", 1)[0] for n in left] == ["llm-duplicate-decisions"]
+    assert out.count() == len(out.select("doc_id", "text").collect()) > 0
+
+
+def test_large_meetings_take_two_rounds(make_docs, odd_rows, monkeypatch):
+    """Pivots of several components are taken at once, so rounds do not grow with PEELS."""
+    rounds, possible = [], jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda *a: rounds.append(1) or possible(*a))
+    monkeypatch.setattr(jaccard, "DIRECT", 2)
+    rows = cases(odd_rows)
+    want, _ = brute(rows, 5, 80, 100)
+    got = [tuple(r) for r in jaccard_components(make_docs(rows), shingle=5, num=80, den=100).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(rounds) <= 3
+
+
+@pytest.mark.parametrize("links", [[], [(5, 1)], [(2, 1), (3, 2), (4, 3), (9, 8), (9, 7)], [(i + 1, i) for i in range(40)]])
+def test_components_of_links(spark, links):
+    from covenant.llm.graph import components
+    before = staged(spark)
+    out = components(spark.createDataFrame(links, "u long, v long"))
+    least = {n: n for e in links for n in e}
+    for _ in least:
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    assert sorted(tuple(r) for r in out.collect()) == sorted(least.items())
+    assert len(staged(spark) - before) == 1
+
+
+def test_bitmaps_are_put_together_by_spark(spark):
+    from covenant.llm.common import bitmap
+    values = [0, 1, 7, 8, 32767, 32768, (1 << 22) - 1, -1, -(1 << 60), 1 << 40, 123456789012345]
+    bits = np.unpackbits(bitmap(spark.createDataFrame([(v,) for v in values * 2], "v long"), "v", 22))
+    assert sorted(np.flatnonzero(bits).tolist()) == sorted({v & ((1 << 22) - 1) for v in values})
+    assert not bitmap(spark.createDataFrame([], "v long"), "v", 22).any()
