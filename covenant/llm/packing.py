@@ -20,6 +20,7 @@ the input are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -46,6 +47,8 @@ def _byte_level() -> list[str]:
 
 
 _BYTE_LEVEL = _byte_level()
+#: Characters of runs that are pre-tokens of their own behind letters; no apostrophe, which begins contractions.
+MARKS = ".,;:!?#*$%&|<>"
 
 
 class _Apart(Exception):
@@ -76,22 +79,24 @@ class WordEncoder:
             cache.older = {}
         self.held = 0
 
-    def kept(self, size: int) -> None:
-        """Counts an entry of the young generations; at half the allowance they become the old ones."""
-        self.held += size
-        if self.held > CACHE_BYTES // 2:
-            for cache in (self.spaced, self.bare):
-                cache.older = dict(cache)
-                cache.clear()
-            self.held = 0
+    def age(self) -> None:
+        """The young generations become the old ones."""
+        for cache in (self.spaced, self.bare):
+            cache.older = dict(cache)
+            cache.clear()
+        self.held = 0
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def letters(self, text: str) -> bytes:
         """Ids of one pre-token: letters, with a space before them or none."""
-        level = "".join(map(_BYTE_LEVEL.__getitem__, text.encode()))
-        return np.array([t.id for t in self.model.tokenize(level)], dtype="<u4").tobytes()
+        if text.isascii():                     # letters stand for themselves
+            level = text.replace(" ", _BYTE_LEVEL[32])
+        else:
+            level = "".join(map(_BYTE_LEVEL.__getitem__, text.encode()))
+        ids = [t.id for t in self.model.tokenize(level)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -124,13 +129,19 @@ class _Cache(dict):
 
     def keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 64:
-            self.encoder.kept(ENTRY_BYTES + len(word) + len(ids))
+            encoder = self.encoder
+            encoder.held += ENTRY_BYTES + len(word) + len(ids)
+            if encoder.held > CACHE_BYTES // 2:
+                encoder.age()
             self[word] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        if word in self.older:
-            return self.keep(word, self.older[word])
+        ids = self.older.get(word)
+        if ids is not None:
+            return self.keep(word, ids)
+        if word.isalpha():                     # so without white space
+            return self.keep(word, self.encoder.letters(self.lead + word))
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Apart
         if "\n" in word:
@@ -140,10 +151,9 @@ class _Cache(dict):
                 return self.encoder.raw(self.lead + word)
             feed = self.encoder.newline
             return self[head] + b"".join(feed + bare[x] for x in lines)
-        if word.isalpha():
-            return self.keep(word, self.encoder.letters(self.lead + word))
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():
-            return self.keep(word, self[word[:-1]] + self.encoder.bare[word[-1]])
+        head = word.rstrip(MARKS)
+        if len(head) < len(word) and head[-1:].isalpha():
+            return self.keep(word, self[head] + self.encoder.bare[word[len(head):]])
         return self.keep(word, self.encoder.raw(self.lead + word))
 
 

@@ -71,3 +71,13 @@ def test_exchange_saves_bins(spark):
 
 def test_empty(make_docs):
     assert best_fit_pack(make_docs([]), tokenizer_path()).collect() == []
+
+
+def test_words_before_marks_are_not_encoded_as_texts(tok, monkeypatch):
+    """Letters and the marks behind them are two pre-tokens; the marks are encoded once."""
+    from covenant.llm.packing import WordEncoder
+    encoder, seen = WordEncoder(tokenizer_path()), []
+    monkeypatch.setattr(encoder, "raw", lambda t, raw=encoder.raw: seen.append(t) or raw(t))
+    text = " ".join(f"{w}{m}" for w in ("alpha", "Żółw", "naïve", "x") for m in ("$$$", "***", ",%%", "!?", "'s.", "."))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert all("'" in t or t.strip("$*,%!?.\n") == "" for t in seen)
