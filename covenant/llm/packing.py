@@ -79,6 +79,11 @@ class WordEncoder:
             cache.older = {}
         self.held = 0
 
+    def close(self) -> None:
+        """Lets go of all: encoder and caches refer to each other, and Python would find that only long after."""
+        self.forget()
+        del self.spaced, self.bare, self.model, self.tokenizer
+
     def age(self) -> None:
         """The young generations become the old ones."""
         for cache in (self.spaced, self.bare):
@@ -157,17 +162,6 @@ class _Cache(dict):
         return self.keep(word, self.encoder.raw(self.lead + word))
 
 
-def _encoder(path: str) -> WordEncoder:
-    key = os.path.abspath(path)
-    if key not in _ENCODERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[key] = WordEncoder(path)
-    return _ENCODERS[key]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter."""
     head = length % capacity or capacity
@@ -187,7 +181,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", tex
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        encoder = WordEncoder(tokenizer)
         try:
             for batch in batches:
                 keys, rows = batch.column("k"), []
@@ -200,8 +195,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", tex
                     [keys.take(pa.array(c[0], pa.int32())), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])],
                     names=[key, "piece", "start", "length", "ids_crc32"])
         finally:                       # the worker serves other tasks and stages: reading the file again takes 0.15 s
-            encoder.forget()
-            _ENCODERS.clear()
+            encoder.close()
+            pa.system_memory_pool().release_unused()      # what malloc holds of it, too
 
     schema = T.StructType([T.StructField(key, source.schema["k"].dataType), *T._parse_datatype_string(PIECE_COLUMNS).fields])
     return source.mapInArrow(run, schema)

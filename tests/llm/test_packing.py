@@ -81,3 +81,21 @@ def test_words_before_marks_are_not_encoded_as_texts(tok, monkeypatch):
     text = " ".join(f"{w}{m}" for w in ("alpha", "Żółw", "naïve", "x") for m in ("$$$", "***", ",%%", "!?", "'s.", "."))
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
     assert all("'" in t or t.strip("$*,%!?.\n") == "" for t in seen)
+
+
+def test_a_closed_encoder_is_freed_at_once():
+    """A worker serves many tasks, each with an encoder of its own: none may wait for Python's search for cycles."""
+    import gc
+    import weakref
+
+    from covenant.llm.packing import WordEncoder
+    encoder = WordEncoder(tokenizer_path())
+    encoder.encode("some words, some more")
+    left = weakref.ref(encoder)
+    gc.disable()
+    try:
+        encoder.close()
+        del encoder
+        assert left() is None
+    finally:
+        gc.enable()
