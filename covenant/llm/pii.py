@@ -160,43 +160,48 @@ def disclosing_words(found: DataFrame, *, threshold: float = THRESHOLD, remove_a
 
     ``found``: one row per document (id, spans, words); equal texts count once.
     A word can reach the threshold for u only with
-    docs(t) <= docs(u) ** threshold * N ** (1 - threshold), so commoner words
-    never meet units. Units of a single text have the same counts there and are
-    one unit, so pairs grow with words times recurring units.
+    docs(t) <= docs(u) ** threshold * N ** (1 - threshold). Units of a single text
+    have the same counts there and are one unit. Of all units, one in just the
+    word's texts with entities would be told best, so a word that fails either
+    condition there fails it for every unit and meets none; neither do units of
+    fewer texts than chance asks of words that stand in nothing else.
     """
     often = stage_table(found.groupBy("id").count().where("count > 1").select("id"), "pii-copies")
     if within(often, F.lit(96)):
         often = F.broadcast(often)
     one = found.select("id", "spans", "words")
     texts = one.join(often, "id", "left_anti").unionByName(one.join(often, "id", "left_semi").dropDuplicates(["id"]))
-    n, holding = texts.agg(F.count(F.lit(1)), F.count_if(F.size("spans") > 0)).first()
-    n, rate = float(n), holding / n if n else 0.0
-    term_docs = stage_table(texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")), "pii-term-docs")
-
-    held = stage_table(texts.where(F.size("spans") > 0).select("id", F.explode(F.array_distinct(F.flatten(F.transform("spans", units)))).alias("unit")), "pii-units")
+    holds = F.size("spans") > 0
+    n, holding = texts.agg(F.count(F.lit(1)), F.count_if(holds)).first()
+    n, rate = float(n), holding / n if holding else 1.0
+    held = stage_table(texts.where(holds).select("id", F.explode(F.array_distinct(F.flatten(F.transform("spans", units)))).alias("unit")), "pii-units")
     unit_docs = held.groupBy("unit").agg(F.count(F.lit(1)).alias("unit_docs")).where(F.col("unit_docs") < n)
+    held = stage_table(held.join(unit_docs, "unit").withColumn("unit", F.when(F.col("unit_docs") == 1, F.col("id")).otherwise(F.col("unit"))).distinct(), "pii-held")
+    met = texts.where(holds).select("id", F.size("words").alias("n")).join(held.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id")
+    tests = max(1, int(met.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 1))          # at least the pairs that meet in any text
+    most_chance = math.log(alpha / tests)
+
+    # what no unit can make up for: too few texts with entities for the word, however many of them hold the unit
+    told_most = lower_bound(F.col("held_docs"), F.col("term_docs"), confidence)
+    terms = (texts.select(holds.alias("holds"), F.explode("words").alias("term"))
+                  .groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"), F.count_if("holds").alias("held_docs"))
+                  .where((F.col("held_docs") > 0) & (log_chance(F.col("held_docs"), F.col("term_docs"), rate) <= most_chance)
+                         & (told_most * (1 + 1e-9) >= F.pow(F.col("held_docs") / n, F.lit(1 - threshold)))))
+    terms = stage_table(terms.select("term", "term_docs"), "pii-terms")
     limit = F.pow(F.col("unit_docs"), F.lit(threshold)) * n ** (1 - threshold) * (1 + 1e-9)
-    held = (held.join(unit_docs, "unit").withColumn("unit", F.when(F.col("unit_docs") == 1, F.col("id")).otherwise(F.col("unit")))
-            .distinct().groupBy("id").agg(F.collect_list(F.struct("unit", "unit_docs", limit.alias("limit"))).alias("units")))
-    held = stage_table(held, "pii-held")
-    most = held.agg(F.max(F.array_max(F.transform("units", lambda u: u["limit"])))).first()[0] or 0.0
-    met = texts.where(F.size("spans") > 0).select("id", F.size("words").alias("n")).join(held.select("id", F.size("units").alias("m")), "id")
-    units_met = met.agg(F.sum(F.col("n") * F.col("m"))).first()[0]              # at least the pairs that meet in any text
-
-    common = term_docs.where(F.col("term_docs") > most).select("term")
-    rare = term_docs.where(F.col("term_docs") <= most)
+    held = (held.where(log_chance(F.col("unit_docs"), F.col("unit_docs"), rate) <= most_chance)
+                .groupBy("id").agg(F.collect_list(F.struct("unit", "unit_docs", limit.alias("limit"))).alias("units")))
     if within(held, F.aggregate(F.transform("units", lambda u: F.octet_length(u["unit"]) + 48), F.lit(96), lambda a, x: a + x)):
         held = F.broadcast(held)
-    words = texts.where(F.size("spans") > 0).join(held, "id").select("units", F.explode("words").alias("term"))
-    if within(common, _string_bytes("term")):
-        words = words.join(F.broadcast(common), "term", "left_anti")
-    pairs = (words.join(rare, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
-                        .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")))
-    tests = max(1, int(units_met or 1))
+    if within(terms, _string_bytes("term")):
+        terms = F.broadcast(terms)
+    words = texts.where(holds).join(held, "id").select("units", F.explode("words").alias("term"))
+    pairs = (words.join(terms, "term").select("term", "term_docs", F.explode(F.filter("units", lambda u: u["limit"] >= F.col("term_docs"))).alias("u"))
+                  .groupBy("term", "term_docs", "u.unit", "u.unit_docs").agg(F.count(F.lit(1)).alias("both")))
     information = F.log2(F.lit(n) / F.col("unit_docs"))
     pmi = F.log2(lower_bound(F.col("both"), F.col("term_docs"), confidence) * n / F.col("unit_docs"))
     told = pairs.withColumn("disclosure", pmi / information).where(
-        (F.col("disclosure") >= threshold) & (log_chance(F.col("both"), F.col("term_docs"), rate) <= math.log(alpha / tests)))
+        (F.col("disclosure") >= threshold) & (log_chance(F.col("both"), F.col("term_docs"), rate) <= most_chance))
     return stage_table(told.groupBy("term").agg((F.max("disclosure") >= remove_at).alias("remove")), "pii-flagged")
 
 

@@ -46,6 +46,22 @@ def test_chance(spark):
     assert math.log(exact) <= got[1] < 0
 
 
+def test_words_that_no_unit_can_make_up_for_meet_none(make_docs, monkeypatch):
+    """Of hundreds of words, many of them beside entities, only what such texts hold beyond chance is kept and joined."""
+    sizes, stage = {}, pii.stage_table
+
+    def staged(df, name, **more):
+        out = stage(df, name, **more)
+        if "term" in out.columns:
+            sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(pii, "stage_table", staged)
+    rows = common_rows() + [(5000 + i, f"{FILL[i]} helpdesk once{i} user{i}@desk.example.org") for i in range(12)]
+    rows += [(7000 + i, f"{FILL[i % 40]} seldom{i} pair{i // 2} " + (f"u{i}@host{i}.example.org" if i % 2 else "none")) for i in range(200)]
+    assert term_words(make_docs(rows)) == {(5000 + i, "helpdesk") for i in range(12)}
+    assert set(sizes.values()) == {1}
+
+
 def test_bound(spark):
     got = spark.range(1).select(*[pii.lower_bound(F.lit(a), F.lit(b), 1.645) for a, b in ((1, 1), (20, 20), (5, 10))]).first()
     for g, (a, b) in zip(got, ((1, 1), (20, 20), (5, 10))):
