@@ -13,8 +13,9 @@ counts; it is taken only over tiles that can hold a link.
    order is by rarity, so common passages come last: document counts are added up
    over all documents in a sketch of ``CELLS`` counters. Its errors only change the
    order, which is the same for all rows.
-3. Rows also carry how many of their columns fall into each of ``BUCKETS``
-   buckets; the sum of the smaller counts bounds a pair's overlap, and pairs
+3. Rows also carry, for buckets in proportion to their size, whether an odd number of
+   their columns falls into each. A bucket that is odd in one row of a pair only holds a
+   column that only one of them has; this bounds the overlap, and pairs
    below the bound that their sizes ask for are discarded before any set moves.
 4. Tiles. The rows that meet in a column are multiplied with the least of
    them, first each row with the one it meets most often: overlaps are
@@ -49,8 +50,9 @@ from covenant.llm.graph import components
 #: Counters of the rarity sketch (16 bits each, 2 MB), and its blocks when summed.
 CELLS = 1 << 20
 SKETCH_BLOCKS = 64
-#: Buckets of the counts that bound overlaps (16 bits each).
-BUCKETS = 64
+#: Least buckets a column of the counts that bound overlaps (a bit each), and most a row: 8 kB.
+BUCKETS = 1
+MOST_BUCKETS = 1 << 16
 #: Rows multiplied with one row in a tile.
 TILE = 256
 #: Columns of a block of the product.
@@ -148,18 +150,36 @@ def prefixes(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketch: np.ndarr
 
 
 def bucket_counts(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
-    """Each row's columns by bucket; empty (no bound) where a count needs more than 16 bits."""
-    at = doc * BUCKETS + (mix(h ^ _SALT) >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    return [r.tobytes() if r.max() < 65535 else b"" for r in np.minimum(counts, 65535).astype(np.uint16)]
+    """Each row's size (8 bytes) and its columns by bucket, modulo 2, one bit a bucket.
+
+    Buckets are a power of two and go by the low bits of a hash, so the halves of
+    a longer row's bits, combined by exclusive or, are its bits for half the buckets.
+    """
+    sizes = np.bincount(doc, minlength=n)
+    wide = np.ceil(np.log2(np.maximum(sizes * BUCKETS, 8))).astype(np.int64)
+    buckets = np.minimum(np.int64(1) << wide, MOST_BUCKETS)
+    first = np.concatenate(([0], np.cumsum(buckets)))
+    at = first[doc] + (mix(h ^ _SALT) & (buckets[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [int(size).to_bytes(8, "little") + odd[a:b] for size, a, b in zip(sizes, first // 8, first[1:] // 8)]
+
+
+def _folded(odd: bytes, width: int) -> int:
+    out = 0
+    for a in range(0, len(odd), width):
+        out ^= int.from_bytes(odd[a:a + width], "little")
+    return out
 
 
 def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Most columns that each pair of rows can share, by their bucket counts."""
-    free = np.array([not x or not y for x, y in zip(a, b)])
-    blank = bytes(2 * BUCKETS)
-    x, y = (np.frombuffer(b"".join(v or blank for v in side), np.uint16).reshape(-1, BUCKETS) for side in (a, b))
-    return np.where(free, np.iinfo(np.int64).max, np.minimum(x, y).sum(axis=1, dtype=np.int64))
+    """Most columns that each pair of rows can share, by their bucket counts; no bound without both."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x and y:
+            width = min(len(x), len(y)) - 8
+            apart = (_folded(x[8:], width) ^ _folded(y[8:], width)).bit_count()
+            out[i] = (int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little") - apart) // 2
+    return out
 
 
 def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:

@@ -108,6 +108,32 @@ def test_bucket_bounds_hold():
     assert most[-1] > 1 << 40
 
 
+@pytest.mark.parametrize("n", [400, 4000, 20_000])
+def test_bounds_tell_large_rows_apart(n):
+    """Pairs well below the similarity asked for go before their sets move, whatever the rows' sizes."""
+    rng = np.random.default_rng(n)
+    for other in (n, n * 9 // 10):
+        for share in (0, 50, 80):
+            pool = rng.integers(0, 1 << 62, 2 * n).astype(np.uint64)
+            both = other * share // 100
+            a, b = np.unique(pool[:n]), np.unique(pool[n - both:n - both + other])
+            counts = jaccard.bucket_counts(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), 2)
+            most = jaccard.overlap_bounds(counts[:1], counts[1:])[0]
+            assert len(np.intersect1d(a, b)) <= most < -(-(len(a) + len(b)) * 80 // 180)
+            assert max(map(len, counts)) <= 8 + n // 4
+
+
+@pytest.mark.parametrize("buckets", [8, 64, 1 << 16])
+def test_bounds_hold_between_rows_of_all_sizes(monkeypatch, buckets):
+    monkeypatch.setattr(jaccard, "MOST_BUCKETS", buckets)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 4000, k).astype(np.uint64)) for k in (1, 2, 5, 9, 40, 200, 201, 1500, 3000)] + [np.zeros(0, np.uint64)]
+    counts = jaccard.bucket_counts(np.repeat(np.arange(10), [len(x) for x in sets]), np.concatenate(sets), 10)
+    for x, c in zip(sets, counts):
+        assert (jaccard.overlap_bounds([c] * 10, counts) >= [len(np.intersect1d(x, y)) for y in sets]).all()
+        assert jaccard.overlap_bounds([c], [c])[0] == len(x)
+
+
 def test_prefixes_of_linked_rows_meet():
     rng = np.random.default_rng(2)
     sketch = rng.integers(0, 50, jaccard.CELLS).astype(np.uint16)
