@@ -110,10 +110,14 @@ def _entries(prints: DataFrame, segments: int) -> DataFrame:
 
 
 def _meet(entries: DataFrame, distance: int) -> DataFrame:
-    """Links (u, v) between fingerprints of one cell, compared exactly."""
+    """Links (u, v) between fingerprints of one cell, compared exactly.
+
+    Spark sizes the entries like the fingerprints that they were exploded from, 33 or
+    65 times too small, and would broadcast them through the driver; so the join is named.
+    """
     a, b = entries.select("cell", F.col("f").alias("u")), entries.select("cell", F.col("f").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-    return a.join(b, "cell").where(near).select("u", "v")
+    return a.hint("merge").join(b.hint("merge"), "cell").where(near).select("u", "v")
 
 
 def fingerprint_links(prints: DataFrame, *, distance: int = DISTANCE, segments: int | None = None,

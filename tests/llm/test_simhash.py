@@ -99,3 +99,16 @@ def test_crowded_ball_stays_linear(spark):
     values = sorted(ball)
     want = sum((a ^ b).bit_count() <= 2 for i, a in enumerate(values) for b in values[:i])
     assert H.fingerprint_links(prints, cell_rows=16).count() == want
+
+
+def test_entries_are_never_broadcast(spark):
+    """A small table of fingerprints has 33 or 65 entries each, which Spark's estimate leaves out."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("f"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for segments in (16, 32, 64):
+        met = plan(H._meet(H._entries(prints, segments), 2))
+        assert "SortMergeJoin" in met and "Broadcast" not in met
+    # of the whole plan, only the list of crowded cells may be broadcast: at most one a cell_rows of the entries
+    links = plan(H.fingerprint_links(prints))
+    joins = [line for line in links.splitlines() if "BroadcastHashJoin" in line]
+    assert all("LeftAnti" in j or "LeftSemi" in j for j in joins)
